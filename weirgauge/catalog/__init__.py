@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from weirgauge.catalog import traffic  # noqa: F401
+from weirgauge.catalog import analysis, traffic  # noqa: F401
 from weirgauge.catalog.registry import ORACLES, QUERIES  # noqa: F401

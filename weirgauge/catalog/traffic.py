@@ -352,12 +352,12 @@ def _top_sql(dimension: str, metric: str, limit: int, configured: bool) -> str:
     key = _KEY_SQL.get(dimension, f"{dimension}::VARCHAR")
     source = f"{dims.RATE_CTE}, w AS (SELECT *, {_AUTO} AS rate FROM rated)" if configured else (
         "w AS (SELECT *, greatest(sample_rate, 1) AS rate FROM flows)")
-    value = "round(100.0 * value / total, 2)" if metric == "percentage" else "round(value, 2)"
+    value = "round(value / total * 100, 2)" if metric == "percentage" else "round(value, 2)"
     return f"""{source}, g AS (SELECT {key} AS key, {_METRIC_SQL[metric]} AS value FROM w GROUP BY 1),
 t AS (SELECT sum(value) AS total FROM g),
 r AS (SELECT *, row_number() OVER (ORDER BY value DESC, key) AS rank FROM g)
 SELECT rank::INT AS rank, key, {_LABEL if dimension == 'protocol' else 'key'} AS label, {value}::DOUBLE AS value,
-round(100.0 * value / total, 2)::DOUBLE AS percent FROM r, t WHERE rank <= {limit}"""
+round(value / total * 100, 2)::DOUBLE AS percent FROM r, t WHERE rank <= {limit}"""
 
 
 TOP_QUERIES = [
@@ -389,7 +389,7 @@ query("top_src_ip_from_rollup", _top_sql("src_ip", "bps", 20, True))(
 z AS (SELECT src_ip, zone_name, row_number() OVER (PARTITION BY src_ip ORDER BY plen DESC, zone_name DESC, prefix_type DESC) AS rn FROM a JOIN zone ON {dims.sql_holds('addr', 'zone')} AND active),
 g AS (SELECT coalesce(zone_name, 'N/D') AS key, sum(bytes * greatest(sample_rate, 1))::BIGINT * 8 / 7200.0 AS value FROM flows f LEFT JOIN z ON z.src_ip = f.src_ip AND rn = 1 GROUP BY 1),
 t AS (SELECT sum(value) AS total FROM g)
-SELECT row_number() OVER (ORDER BY value DESC, key)::INT AS rank, key, key AS label, round(value, 2)::DOUBLE AS value, round(100.0 * value / total, 2)::DOUBLE AS percent FROM g, t ORDER BY rank LIMIT 10""",
+SELECT row_number() OVER (ORDER BY value DESC, key)::INT AS rank, key, key AS label, round(value, 2)::DOUBLE AS value, round(value / total * 100, 2)::DOUBLE AS percent FROM g, t ORDER BY rank LIMIT 10""",
 )
 def _top_zone(s, d):
     # The rollup by source is what meets the prefixes, not the flows.
@@ -402,7 +402,7 @@ def _top_zone(s, d):
     "ranking_with_others",
     f"""w AS (SELECT *, greatest(sample_rate, 1) AS rate FROM flows), g AS (SELECT dst_ip AS key, sum(bytes * rate)::DOUBLE AS value FROM w GROUP BY 1),
 t AS (SELECT sum(value) AS total FROM g),
-r AS (SELECT key, round(value, 2) AS value, round(100.0 * value / total, 2) AS percent, row_number() OVER (ORDER BY value DESC, key) AS rank FROM g, t),
+r AS (SELECT key, round(value, 2) AS value, round(value / total * 100, 2) AS percent, row_number() OVER (ORDER BY value DESC, key) AS rank FROM g, t),
 k AS (SELECT * FROM r WHERE rank <= 50), n AS (SELECT count(*) AS n FROM k)
 SELECT min(rank)::INT AS rank, CASE WHEN rank >= 8 AND n > 8 THEN '__others__' ELSE key END AS key, CASE WHEN rank >= 8 AND n > 8 THEN 'Outros' ELSE key END AS label,
 round(sum(value), 2)::DOUBLE AS value, round(sum(percent), 2)::DOUBLE AS percent, CASE WHEN min(rank) >= 8 AND min(n) > 8 THEN count(*) ELSE 0 END AS grouped_items,

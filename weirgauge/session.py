@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,15 +41,25 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``.  Only where
-    that is unset (tests on one machine) a local folder is chosen.
+    Only where that is unset (tests on one machine) a local folder is made and set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weirgauge-ckpt-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="weirgauge-stage-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read back.
+
+    Used where a small result of a large scan is needed several times: the scan runs
+    once, a lost executor costs a re-read and not a re-scan, and the file sizes let
+    Spark see that the result is small enough to broadcast.
+    """
+    path = f"{shared_folder(df.sparkSession)}/weirgauge/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
