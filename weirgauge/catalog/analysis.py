@@ -63,11 +63,11 @@ for _direction, _metric in (("receives", "packets_s"), ("sends", "bits_s")):
     _args = (_direction, _metric)
     query(
         f"peak_baseline_{_direction}",
-        f"{_sql} SELECT sensor, interface_id, '{_direction}' AS direction, round(p95, 3)::DOUBLE AS baseline_p95, round(p99, 3)::DOUBLE AS baseline_p99 FROM b",
+        f"{_sql} SELECT sensor, interface_id, '{_direction}' AS direction, round(p95, 6)::DOUBLE AS baseline_p95, round(p99, 6)::DOUBLE AS baseline_p99 FROM b",
     )(
         lambda s, d, a=_args: peaks.baseline(
             series.interface_series(flows(s, d), rates.current_rates(dims.rate_config(s, d)), *a), plan.SERIES
-        ).withColumns({c: F.round(c, 3) for c in ("baseline_p95", "baseline_p99")})
+        ).withColumns({c: F.round(c, 6) for c in ("baseline_p95", "baseline_p99")})
     )
     query(
         f"local_peaks_{_direction}",

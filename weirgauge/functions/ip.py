@@ -11,12 +11,13 @@ Everything here stays in the JVM; no Python UDF is needed, not even for IPv6.
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weirgauge.functions.scalars import bind
+
 MAPPED_KEY_PREFIX = "0" * 20 + "ffff"
 MAPPED_TEXT_PREFIX = "::ffff:"
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -35,11 +36,6 @@ def ipv4_key(ipv4: Column) -> Column:
     return F.concat(F.lit(MAPPED_KEY_PREFIX), _hex8(ipv4))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``, so that plans stay small."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _dotted_tail_as_groups(text: Column) -> Column:
     """``::ffff:1.2.3.4`` with its dotted quad written as two hexadecimal groups."""
 
@@ -48,7 +44,7 @@ def _dotted_tail_as_groups(text: Column) -> Column:
         head = F.regexp_replace(text, _IPV4_TAIL, "")
         return F.concat(head, F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
 
-    return F.when(text.contains("."), _bind(F.regexp_extract(text, _IPV4_TAIL, 0), rewrite)).otherwise(text)
+    return F.when(text.contains("."), bind(F.regexp_extract(text, _IPV4_TAIL, 0), rewrite)).otherwise(text)
 
 
 def _ipv6_key(text: Column) -> Column:
@@ -74,15 +70,15 @@ def _ipv6_key(text: Column) -> Column:
         halves = F.struct(
             groups(F.substring_index(body, "::", 1)).alias("left"), groups(right).alias("right"), gap.alias("gap")
         )
-        return F.when(~body.rlike("::.*::|:::"), _bind(halves, assemble))
+        return F.when(~body.rlike("::.*::|:::"), bind(halves, assemble))
 
-    return _bind(_dotted_tail_as_groups(F.lower(text)), split)
+    return bind(_dotted_tail_as_groups(F.lower(text)), split)
 
 
 def ip_key(text: Column) -> Column:
     """Key of IPv4 or IPv6 text; null when the text is not an address."""
     clean = F.trim(text)
-    return F.when(clean.rlike(IPV4_PATTERN), ipv4_key(clean)).when(clean.contains(":"), _ipv6_key(clean))
+    return F.when(clean.rlike(IPV4_PATTERN), ipv4_key(clean)).when(clean.contains(":"), bind(clean, _ipv6_key))
 
 
 def _octets_text(key: Column) -> Column:
@@ -101,7 +97,7 @@ def _compressed_groups(key: Column) -> Column:
             shown = F.when(full.rlike(pattern), F.replace(gap, F.lit("|"), F.lit(""))).otherwise(shown)
         return F.when(key.isNull(), None).when(full == "0:0:0:0:0:0:0:0", "::").otherwise(shown)
 
-    return _bind(F.concat_ws(":", *groups), compress)
+    return bind(F.concat_ws(":", *groups), compress)
 
 
 def key_text(key: Column) -> Column:
@@ -113,14 +109,12 @@ def safe_ip(text: Column, default: str = "::") -> Column:
     """Canonical address text, ``default`` when the text is not an address."""
     clean = F.trim(text)
 
-    def v6_text(key: Column) -> Column:
+    def shown(key: Column) -> Column:
         mapped = F.concat(F.lit(MAPPED_TEXT_PREFIX), _octets_text(key))
         return F.when(key.startswith(MAPPED_KEY_PREFIX), mapped).otherwise(_compressed_groups(key))
 
-    return F.coalesce(
-        F.when(clean.rlike(IPV4_PATTERN), clean).when(clean.contains(":"), _bind(_ipv6_key(clean), v6_text)),
-        F.lit(default),
-    )
+    v6 = F.when(clean.contains(":"), bind(clean, lambda t: bind(_ipv6_key(t), shown)))
+    return F.when(clean.rlike(IPV4_PATTERN), clean).otherwise(F.coalesce(v6, F.lit(default)))
 
 
 def to_mapped(text: Column) -> Column:
@@ -187,14 +181,18 @@ def _filled(key: Column, length: Column, low: bool) -> Column:
     return F.when(length >= 128, key).otherwise(masked)
 
 
+def _block_edge(key: Column, length: Column, low: bool) -> Column:
+    return bind(F.struct(key.alias("k"), length.alias("n")), lambda s: _filled(s["k"], s["n"], low))
+
+
 def network_key(key: Column, length: Column) -> Column:
     """First address of the block of ``length`` bits that holds ``key``."""
-    return _filled(key, length, low=True)
+    return _block_edge(key, length, low=True)
 
 
 def network_last_key(key: Column, length: Column) -> Column:
     """Last address of the block of ``length`` bits that holds ``key``."""
-    return _filled(key, length, low=False)
+    return _block_edge(key, length, low=False)
 
 
 def network_key_at(key: Column, length: int) -> Column:
@@ -211,11 +209,18 @@ def network_key_at(key: Column, length: int) -> Column:
 
 
 def norm_cidr(cidr: Column) -> Column:
-    """Block text with its host bits cleared."""
-    length = cidr_length(cidr)
-    key = ip_key(F.substring_index(cidr, "/", 1))
-    shown = F.when(is_ipv4_key(key), length - 96).otherwise(length)
-    return F.concat(key_text(network_key(key, length)), F.lit("/"), shown.cast("string"))
+    """Block text with its host bits cleared; null when unreadable."""
+
+    def shown(block: Column) -> Column:
+        bits = F.when(is_ipv4_key(block["k"]), block["n"] - 96).otherwise(block["n"])
+        return F.concat(key_text(block["k"]), F.lit("/"), bits.cast("string"))
+
+    def cleared(text: Column) -> Column:
+        length = cidr_length(text)
+        key = ip_key(F.substring_index(text, "/", 1))
+        return bind(F.struct(network_key(key, length).alias("k"), length.alias("n")), shown)
+
+    return bind(cidr, cleared)
 
 
 def key_in_cidr(key: Column, cidr: str) -> Column:

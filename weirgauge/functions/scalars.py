@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,17 +27,29 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text.isin("", "null", "NULL"), None).otherwise(text)
 
 
-def safe_int(text: Column, default=0, low: int = 0, high: int | None = None) -> Column:
-    """Integer from hex or decimal text; fractions are cut, failures give ``default``."""
-    clean = F.trim(text.cast("string"))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``: keeps plans and generated code small."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _unusual_int(text: Column) -> Column:
+    """Hexadecimal, fractional or exponent text as an integer, null when it is none of these."""
+    clean = F.trim(text)
     hex_digits = F.regexp_extract(clean, "^0[xX]([0-9a-fA-F]{1,15})$", 1)
     from_hex = F.when(hex_digits != "", F.conv(hex_digits, 16, 10).try_cast("bigint"))
-    # A plain run of digits skips the float step, which would lose digits past 2^53.
-    whole = F.when(clean.rlike(r"^[+-]?\d{1,18}$"), clean.try_cast("bigint"))
     number = clean.try_cast("double")
     from_float = F.when(~F.isnan(number) & (F.abs(number) < 9.2e18), number.try_cast("bigint"))
-    fallback = default if isinstance(default, Column) else F.lit(default)
-    value = F.greatest(F.coalesce(from_hex, whole, from_float, fallback.cast("bigint")), F.lit(low).cast("bigint"))
+    return F.coalesce(from_hex, from_float)
+
+
+def safe_int(text: Column, default=0, low: int = 0, high: int | None = None) -> Column:
+    """Integer from hex or decimal text; fractions are cut, failures give ``default``.
+
+    Plain digits take a single cast; only other text reaches the slower forms.
+    """
+    plain = text.cast("string").try_cast("bigint")
+    fallback = (default if isinstance(default, Column) else F.lit(default)).cast("bigint")
+    value = F.greatest(F.coalesce(plain, bind(text.cast("string"), _unusual_int), fallback), F.lit(low).cast("bigint"))
     return value if high is None else F.least(value, F.lit(high).cast("bigint"))
 
 
@@ -44,11 +58,17 @@ def safe_int(text: Column, default=0, low: int = 0, high: int | None = None) ->
 
 def proto_num(text: Column) -> Column:
     """Protocol number from a name or number, clamped to 0..255."""
-    name = F.lower(F.trim(text))
-    expression = safe_int(name, 0, 0, 255)
-    for known, number in PROTOCOL_NUMBERS.items():
-        expression = F.when(name == known, F.lit(number).cast("bigint")).otherwise(expression)
-    return F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(expression).cast("int")
+
+    def parsed(name: Column) -> Column:
+        expression = safe_int(name, 0, 0, 255)
+        for known, number in PROTOCOL_NUMBERS.items():
+            expression = F.when(name == known, F.lit(number).cast("bigint")).otherwise(expression)
+        return expression.cast("int")
+
+    plain = text.cast("string").try_cast("int")
+    return F.when(plain.between(0, 255), plain).otherwise(
+        F.coalesce(bind(F.lower(F.trim(text.cast("string"))), parsed), F.lit(0))
+    )
 
 
 def proto_name(number: Column) -> Column:
@@ -75,14 +95,20 @@ def proto_number_literal(value: str | int) -> int:
 
 def flags_num(text: Column) -> Column:
     """Flag bits from hex or decimal text, or from names joined by ``+``, ``|`` or ``,``."""
-    clean = F.lower(F.trim(text))
-    numeric = clean.rlike(r"^(0x.*|\d+\.?\d*|\.\d+)$")
-    tokens = F.split(clean, r"[+|,\s]+")
-    by_name = F.lit(0)
-    for name, bit in TCP_FLAG_BITS.items():
-        by_name = by_name + F.when(F.array_contains(tokens, name.lower()), bit).otherwise(0)
-    value = F.when(numeric, safe_int(clean, 0, 0, 65535).cast("int")).otherwise(by_name.cast("int"))
-    return F.when(text.isNull() | (clean == ""), F.lit(0)).otherwise(value)
+
+    def from_names(clean: Column) -> Column:
+        bits = F.lit(0)
+        tokens = F.split(clean, r"[+|,\s]+")
+        for name, bit in TCP_FLAG_BITS.items():
+            bits = bits + F.when(F.array_contains(tokens, name.lower()), bit).otherwise(0)
+        return bits.cast("int")
+
+    def parsed(clean: Column) -> Column:
+        numeric = clean.rlike(r"^(0x.*|\d+\.?\d*|\.\d+)$")
+        return F.when(numeric, safe_int(clean, 0, 0, 65535).cast("int")).otherwise(from_names(clean))
+
+    plain = text.try_cast("int")
+    return F.when(plain.between(0, 65535), plain).otherwise(F.coalesce(bind(F.lower(F.trim(text)), parsed), F.lit(0)))
 
 
 def has_flag(flags: Column, name: str) -> Column:
@@ -98,21 +124,29 @@ def flags_name(flags: Column) -> Column:
 # --- time ------------------------------------------------------------------
 
 
+def _iso_ts(text: Column) -> Column:
+    pattern = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(pattern), colon.try_cast("timestamp"))
+
+
+def _epoch_ts(text: Column) -> Column:
+    number = text.try_cast("double")
+    seconds = F.when(number > MILLISECOND_EPOCH_FLOOR, number / 1000).otherwise(number)
+    return F.when(seconds < 253402300800, F.timestamp_micros(F.round(seconds * 1000000).try_cast("bigint")))
+
+
 def parse_ts(text: Column, now: Column | None = None) -> Column:
     """Timestamp from epoch seconds, epoch milliseconds or ISO text (naive means UTC).
 
     ``now`` replaces missing or unreadable values; without it they stay null.
     """
-    clean = F.trim(text)
-    number = F.when(clean.rlike(r"^(\d+\.?\d*|\.\d+)$"), clean.try_cast("double"))
-    seconds = F.when(number > MILLISECOND_EPOCH_FLOOR, number / 1000).otherwise(number)
-    epoch = F.when(seconds < 253402300800, F.timestamp_micros(F.round(seconds * 1000000).try_cast("bigint")))
-    iso = F.when(
-        clean.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"),
-        F.regexp_replace(clean, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"),
-    )
-    parsed = F.when(blank_to_null(text).isNotNull(), F.coalesce(epoch, iso))
-    return parsed if now is None else F.coalesce(parsed, now)
+
+    def parsed(clean: Column) -> Column:
+        return F.when(clean.rlike(r"^(\d+\.?\d*|\.\d+)$"), _epoch_ts(clean)).otherwise(_iso_ts(clean))
+
+    value = F.when(blank_to_null(text).isNotNull(), bind(F.trim(text), parsed))
+    return value if now is None else F.coalesce(value, now)
 
 
 def bucket(ts: Column, seconds: int) -> Column:

@@ -22,7 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``flow_raw`` rows with address keys and ``flow_date``."""
-    base = table(spark, sf_dir, "lineitem").select(
+    return project_flows(table(spark, sf_dir, "lineitem"))
+
+
+def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a file stream."""
+    schema = table(spark, sf_dir, "lineitem").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    return project_flows(source)
+
+
+def project_flows(lineitem: DataFrame) -> DataFrame:
+    base = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus",
         F.expr("l_orderkey*7919 + l_partkey*104729 + l_suppkey*31 + l_linenumber*17").alias("h"),
     )
