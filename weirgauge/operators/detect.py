@@ -43,6 +43,15 @@ def grouping_of(group_by: Column, detection_key: Column | None = None) -> Column
     return F.when(F.upper(F.coalesce(detection_key, F.lit(""))).contains("SINGLE_FLOW"), "conversation").otherwise(by_text)
 
 
+def _top_port(weight: Column, port: str) -> Column:
+    """Port of the heaviest row, the higher port on a tie.
+
+    Weight and port share one integer, so this is a plain maximum and the aggregation
+    stays a hash aggregation.
+    """
+    return (F.max(weight * 65536 + F.col(port)) % 65536).cast("int")
+
+
 def _group_sums(seconds: Column) -> list[Column]:
     packets, size = F.col("packets") * F.col("rate"), F.col("bytes") * F.col("rate")
     return [
@@ -52,8 +61,8 @@ def _group_sums(seconds: Column) -> list[Column]:
         F.count_distinct("dst_ip_all").alias("unique_dst_ips"),
         F.count_distinct("dst_port_all").alias("unique_dst_ports"),
         F.count_distinct("src_port_all").alias("unique_src_ports"),
-        F.max_by("dst_port_all", F.struct(packets, F.col("dst_port_all"))).alias("top_dst_port"),
-        F.max_by("src_port_all", F.struct(packets, F.col("src_port_all"))).alias("top_src_port"),
+        _top_port(packets, "dst_port_all").alias("top_dst_port"),
+        _top_port(packets, "src_port_all").alias("top_src_port"),
         F.min("flow_time").alias("first_seen"),
         F.max("flow_time").alias("last_seen"),
         F.max(seconds).alias("window_seconds"),
@@ -101,19 +110,41 @@ def with_sides(flows: DataFrame, zone_prefixes: DataFrame) -> DataFrame:
     return zoned.filter("zone_id IS NOT NULL")
 
 
+def _prepared(rules: DataFrame) -> DataFrame:
+    """Rules with their free-text fields resolved once, and one row per side they look at.
+
+    Columns carry the prefix ``r_``.  What is left for each pair of flow and rule is a
+    comparison of numbers and a lookup in a short list.
+    """
+    enabled = rules.filter(F.coalesce(F.col("enabled").cast("boolean"), F.lit(True)))
+    out = enabled.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+    both = F.array(F.lit("transmits"), F.lit("receives"))
+    proto = F.upper(F.trim(F.coalesce("r_protocol", F.lit("ALL"))))
+    columns = {
+        "r_side": F.explode(F.when(F.col("r_direction") == "both", both).otherwise(F.array("r_direction"))),
+        "r_dns": proto == "DNS",
+        "r_proto": F.when(proto.isin("ALL", "ANY", "", "DNS"), None).otherwise(scalars.proto_num(F.lower(proto))),
+        "r_grouping": grouping_of(F.col("r_group_by"), F.col("r_detection_key")),
+    }
+    for side in ("src", "dst"):
+        text = F.lower(F.regexp_replace(F.coalesce(F.col(f"r_{side}_port"), F.lit("any")), r"\s", ""))
+        listed = F.transform(F.split(F.replace(text, F.lit("!"), F.lit("")), ","), lambda x: x.try_cast("int"))
+        columns[f"r_{side}_any"] = text.isin("", "any", "all", "*")
+        columns[f"r_{side}_not"] = text.startswith("!")
+        columns[f"r_{side}_list"] = listed
+    return out.withColumns(columns)
+
+
 def _rule_applies() -> Column:
-    """Rule predicates on a flow row; rule columns carry the prefix ``r_``."""
-    proto = F.upper(F.coalesce("r_protocol", F.lit("ALL")))
+    """Whether a prepared rule applies to a flow row."""
     dns = (F.col("proto") == 17) & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
-    protocol = F.when(proto.isin("ALL", "ANY", ""), F.lit(True)).when(proto == "DNS", dns).otherwise(
-        F.col("proto") == scalars.proto_num(F.lower(proto))
-    )
-    direction = F.col("r_direction").isin("both") | (F.col("r_direction") == F.col("side"))
-    return (
-        protocol & direction
-        & scalars.port_matches_column(F.col("r_src_port"), F.col("src_port"))
-        & scalars.port_matches_column(F.col("r_dst_port"), F.col("dst_port"))
-    )
+    protocol = F.col("r_proto").isNull() | (F.col("r_proto") == F.col("proto"))
+
+    def port(side: str) -> Column:
+        hit = F.coalesce(F.array_contains(F.col(f"r_{side}_list"), F.col(f"{side}_port")), F.lit(False))
+        return F.col(f"r_{side}_any") | (hit != F.col(f"r_{side}_not"))
+
+    return protocol & (~F.col("r_dns") | dns) & port("src") & port("dst")
 
 
 def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
@@ -127,8 +158,7 @@ def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whi
     """
     # Flows are reduced to what rules can tell apart before they meet zones and rules.
     five = ["src_ip", "src_ip_key", "src_port", "dst_ip", "dst_ip_key", "dst_port", "proto"]
-    enabled = rules.filter(F.coalesce(F.col("enabled").cast("boolean"), F.lit(True)))
-    renamed = enabled.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+    prepared = _prepared(rules)
     reduced = (
         flows.groupBy(*five, "flow_time")
         .agg(
@@ -139,12 +169,11 @@ def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whi
         .withColumn("rate", F.lit(1).cast("bigint"))
     )
     zoned = with_sides(reduced, zone_prefixes)
-    met = zoned.join(renamed, (F.col("zone_id") == F.col("r_zone_id")) & _rule_applies())
+    met = zoned.join(prepared, (F.col("zone_id") == F.col("r_zone_id")) & (F.col("side") == F.col("r_side")) & _rule_applies())
     if whitelist is not None:
         controls = {c: F.col(f"r_{c}") for c in pfx.CONTROLS}
         met = pfx.drop_whitelisted(met.withColumns(controls), "dst_ip_key", whitelist).drop(*controls)
-    mode = grouping_of(F.col("r_group_by"), F.col("r_detection_key"))
-    rows = _whole_copies(met).withColumns({"grouping": mode, "subnet": ip.prefix24(F.col("src_ip"))})
+    rows = _whole_copies(met).withColumns({"grouping": F.col("r_grouping"), "subnet": ip.prefix24(F.col("src_ip"))})
     kept = {
         part: F.when(F.col("grouping").isin(*[g for g, parts in GROUPINGS.items() if part in parts]), F.col(part)) for part in PARTS
     }

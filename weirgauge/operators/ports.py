@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgauge.operators.ordered import ordered_scan
+
 BIN = 64
 
 
@@ -54,6 +56,12 @@ def conflicting_ids(rows: DataFrame, key: str, identity: list[str], row_id: str)
     entry conflicts when it holds two identities itself or an overlapping entry of a
     meeting protocol holds a different one.
     """
+    # Addresses whose ranges never touch are settled by one ordered pass and not cut into bins.
+    touching = ordered_scan(
+        rows.select(key, row_id, "port_start", "port_end"), [key], F.floor(F.col("port_start") / 1024), ["port_start", "port_end", row_id],
+        {"__furthest": ("max_before", F.col("port_end"))},
+    ).filter(F.col("__furthest") >= F.col("port_start")).select(key).distinct()
+    rows = rows.join(touching, key, "left_semi")
     who = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in identity])
     spread = with_bins(rows.select(row_id, key, "protocol", "port_start", "port_end", who.alias("who")))
     entry = [key, "port_bin", "protocol", "port_mask"]
