@@ -58,16 +58,11 @@ def safe_int(text: Column, default=0, low: int = 0, high: int | None = None) ->
 
 def proto_num(text: Column) -> Column:
     """Protocol number from a name or number, clamped to 0..255."""
-
-    def parsed(name: Column) -> Column:
-        expression = safe_int(name, 0, 0, 255)
-        for known, number in PROTOCOL_NUMBERS.items():
-            expression = F.when(name == known, F.lit(number).cast("bigint")).otherwise(expression)
-        return expression.cast("int")
-
     plain = text.cast("string").try_cast("int")
+    names = F.create_map(*[F.lit(v) for pair in PROTOCOL_NUMBERS.items() for v in pair])
+    named = F.try_element_at(names, F.lower(F.trim(text.cast("string"))))
     return F.when(plain.between(0, 255), plain).otherwise(
-        F.coalesce(bind(F.lower(F.trim(text.cast("string"))), parsed), F.lit(0))
+        F.coalesce(named, safe_int(text.cast("string"), 0, 0, 255).cast("int"), F.lit(0))
     )
 
 

@@ -184,12 +184,13 @@ def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whi
     grouped = (
         rows.withColumns({**kept, "bucket": bucket})
         .groupBy("r_rule_id", "zone_id", "side", "grouping", "bucket", "proto", *PARTS)
-        .agg(
-            *_group_sums(seconds),
-            *[F.first(f"r_{c}").alias(c) for c in ("vector", "metric", "warning_value", "critical_value", "detection_key")],
-        )
+        .agg(*_group_sums(seconds))
+        .withColumnRenamed("r_rule_id", "rule_id")
     )
-    return threshold_hits(_rates(grouped)).withColumnRenamed("r_rule_id", "rule_id")
+    # Rule attributes come back by a join on few groups: carried through the aggregation they
+    # would turn it from a hash into a sort aggregation.
+    traits = rules.select("rule_id", "vector", "metric", "warning_value", "critical_value", "detection_key")
+    return threshold_hits(_rates(grouped.join(traits, "rule_id")))
 
 
 def threshold_hits(groups: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weirgauge.functions import ip, scalars
 from weirgauge.operators.ordered import ordered_scan
+from weirgauge.session import staged
 
 # Field order of header-less CSV, and the names accepted for each field.
 DEFAULT_FIELDS = [
@@ -109,24 +110,31 @@ def split_lines(lines: DataFrame, output_format: str = "auto", delimiter: str =
 def carry_headers(split: DataFrame) -> DataFrame:
     """Add ``names``: the header in force on each line, null before the first one.
 
-    Most files hold no header, or the same one throughout: those are settled by a join with
-    the few files that have one.  Only files whose header changes are ordered.
+    One pass that looks at header lines only gives a small stored table with a row per file
+    that has any.  Without such files nothing more is done; files that keep one header are
+    settled by a join; only files whose header changes are ordered.
     """
     at = F.struct("block", "seq")
     named = F.transform("cells", normal_name)
-    headers = (
+    headers = staged(
         split.filter("kind = 'header'").groupBy(F.col("file").alias("__file"))
         .agg(F.min(at).alias("__from"), F.min(named).alias("__low"), F.max(named).alias("__high"))
     )
-    joined = split.join(headers, F.col("file") == F.col("__file"), "left")
-    steady = joined.filter(F.col("__low").isNull() | (F.col("__low") == F.col("__high")))
-    simple = steady.withColumn("names", F.when(at > F.col("__from"), F.col("__low")))
-    changing = joined.filter(F.col("__low") != F.col("__high"))
-    scanned = ordered_scan(
-        changing, ["file"], F.col("block"), ["block", "seq"], {"names": ("last", F.when(F.col("kind") == "header", named))}
-    )
+    if headers.isEmpty():
+        return split.withColumn("names", F.lit(None).cast("array<string>"))
     extra = ["__file", "__from", "__low", "__high"]
-    return simple.drop(*extra).unionByName(scanned.drop(*extra))
+    if headers.filter("__low != __high").isEmpty():
+        joined = split.join(headers, F.col("file") == F.col("__file"), "left")
+        return joined.withColumn("names", F.when(at > F.col("__from"), F.col("__low"))).drop(*extra)
+    changing = headers.filter("__low != __high").select("__file")
+    apart = F.col("file") == F.col("__file")
+    steady = split.join(changing, apart, "left_anti").join(headers, apart, "left")
+    simple = steady.withColumn("names", F.when(at > F.col("__from"), F.col("__low"))).drop(*extra)
+    scanned = ordered_scan(
+        split.join(changing, apart, "left_semi"), ["file"], F.col("block"), ["block", "seq"],
+        {"names": ("last", F.when(F.col("kind") == "header", named))},
+    )
+    return simple.unionByName(scanned)
 
 
 def records(split: DataFrame, fallback: list[str] | None = None) -> DataFrame:
