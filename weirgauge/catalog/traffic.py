@@ -11,6 +11,7 @@ from weirgauge.functions import ip, scalars
 from weirgauge.operators import filters as flt
 from weirgauge.operators import prefixes as pfx
 from weirgauge.operators import rates, rollup, series, topn
+from weirgauge.plans import specs
 from weirgauge.sources import dims
 from weirgauge.sources.lineitem_flows import flows, table
 
@@ -492,6 +493,68 @@ def _meta(s, d):
     return topn.with_interface_meta(totals, latest(dims.interfaces(s, d), ["sensor", "if_index"], "updated_at"))
 
 
+# --- checked requests -------------------------------------------------------
+
+
+def _rollups(s, d, *names):
+    rows = flows(s, d)
+    return {name: rollup.dash_rollup(rows, name) for name in names}
+
+
+_W = "flow_time BETWEEN TIMESTAMP '2026-07-10 12:10:20' AND TIMESTAMP '2026-07-10 13:20:40'"
+
+
+@query(
+    "request_top_ports_from_rollup",
+    f"""{dims.RATE_CTE}, w AS (SELECT *, {_AUTO} AS rate FROM rated WHERE {_W} AND proto <> 1 AND sensor IN ('edge-0', 'edge-2')), g AS (SELECT dst_port::VARCHAR AS key, sum(bytes * rate)::BIGINT * 8 / 4220.0 AS value FROM w GROUP BY 1), t AS (SELECT sum(value) AS total FROM g)
+SELECT row_number() OVER (ORDER BY value DESC, key)::INT AS rank, key, key AS label, round(value, 2)::DOUBLE AS value, round(value / total * 100, 2)::DOUBLE AS percent FROM g, t ORDER BY rank LIMIT 5""",
+)
+def _request_top(s, d):
+    spec = specs.QuerySpec(
+        "top_n", datetime(2026, 7, 10, 12, 10, 20), datetime(2026, 7, 10, 13, 20, 40), "bits_per_second", "dst_port", limit=5,
+        filters=[{"field": "protocol", "operator": "neq", "value": "icmp"}, {"field": "sensor", "operator": "in", "value": ["edge-0", "edge-2"]}],
+    )
+    return spec.run(flows(s, d), rates.current_rates(dims.rate_config(s, d)), _rollups(s, d, "dst_port"))
+
+
+@query(
+    "request_series_with_comparison",
+    f"""{dims.RATE_CTE}, w AS (SELECT sensor AS key, time_bucket(INTERVAL '300 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, sum(packets * in_rate)::BIGINT / 300.0 AS v FROM rated WHERE input_if > 0 AND flow_time < TIMESTAMP '2026-07-10 14:00:00' GROUP BY ALL),
+a AS (SELECT * FROM w WHERE bucket >= TIMESTAMP '2026-07-10 13:00:00'), b AS (SELECT key, bucket + INTERVAL 1 HOUR AS bucket, v FROM w WHERE bucket < TIMESTAMP '2026-07-10 13:00:00')
+SELECT coalesce(a.key, b.key) AS key, coalesce(a.bucket, b.bucket) AS bucket, round(a.v, 3)::DOUBLE AS value, round(b.v, 3)::DOUBLE AS previous_value FROM a FULL JOIN b ON a.key = b.key AND a.bucket = b.bucket""",
+)
+def _request_series(s, d):
+    spec = specs.QuerySpec(
+        "timeseries", datetime(2026, 7, 10, 13), datetime(2026, 7, 10, 13, 59, 59, 999999), "pps", direction="ingress", group_by="sensor", resolution=300,
+        comparison="previous_period",
+    )
+    spec.end = datetime(2026, 7, 10, 14)
+    out = spec.run(flows(s, d).filter("flow_time < TIMESTAMP '2026-07-10 14:00:00'"), rates.current_rates(dims.rate_config(s, d)))
+    return out.select("key", "bucket", F.round("value", 3).alias("value"), F.round("previous_value", 3).alias("previous_value"))
+
+
+@query(
+    "request_kpi_peak_bps",
+    f"""w AS (SELECT time_bucket(INTERVAL '60 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, sum(bytes * greatest(sample_rate, 1))::BIGINT * 8 / 60.0 AS v FROM flows WHERE {_W} GROUP BY ALL) SELECT 'total' AS key, round(max(v), 2)::DOUBLE AS max FROM w""",
+)
+def _request_kpi(s, d):
+    spec = specs.QuerySpec("kpi", datetime(2026, 7, 10, 12, 10, 20), datetime(2026, 7, 10, 13, 20, 40), "bps", resolution=60, calculation="max")
+    return spec.run(flows(s, d), None, _rollups(s, d, "series")).withColumn("max", F.round("max", 2))
+
+
+@query(
+    "request_table_series",
+    f"""{dims.RATE_CTE}, u AS (SELECT 'download' AS direction, proto, flow_time, bytes * in_rate AS b FROM rated WHERE input_if = 2 AND sensor = 'edge-1' UNION ALL SELECT 'download', proto, flow_time, bytes * in_rate FROM rated WHERE output_if = 2 AND input_if <> 2 AND sensor = 'edge-1' AND false)
+SELECT direction, proto, time_bucket(INTERVAL '120 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, round(sum(b)::BIGINT * 8 / 120.0, 3)::DOUBLE AS value FROM u WHERE {_W} GROUP BY ALL""",
+)
+def _request_table(s, d):
+    request = specs.TableRequest(
+        "traffic_bps", datetime(2026, 7, 10, 12, 10, 20), datetime(2026, 7, 10, 13, 20, 40), "protocol", "download", "edge-1", 2, interval_ms=120_000
+    )
+    out = request.run(flows(s, d), rates.current_rates(dims.rate_config(s, d)))
+    return out.withColumn("value", F.round("value", 3))
+
+
 # --- prefix joins -----------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.functions import ip, scalars
+from weirgauge.session import staged
 
 
 def prefix_table(df: DataFrame, cidr: str = "prefix") -> DataFrame:
@@ -216,7 +217,8 @@ def geo_edges(flows: DataFrame, geo: DataFrame, group_by: str = "city", top_n: i
         )
     sums = [F.sum(c).alias(c) for c in ("bytes", "packets", "flows")]
     spots = [F.min(f"{s}_{c}").alias(f"{s}_{c}") for s in ("src", "dst") for c in ("lat", "lon")]
-    per_detail = (
+    # Read by the totals, the protocols and the ASNs: stored once, the flows are scanned once.
+    per_detail = staged(
         located.withColumns({"src_place": _place(group_by, "src"), "dst_place": _place(group_by, "dst")})
         .groupBy("src_place", "dst_place", "proto", "dst_asn")
         .agg(*sums, *spots)

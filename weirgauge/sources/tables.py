@@ -66,11 +66,11 @@ def table_status(df: DataFrame, ts: str = "flow_time") -> DataFrame:
 def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
     """Store flows by date, ordered inside each file so that row-group statistics prune.
 
-    Rows are spread by date and a hash of the endpoints: one date never becomes one task.
+    The rebalance hint groups rows by date and lets Spark split a heavy date into as many
+    tasks, and join light ones into as few, as the advisory partition size asks for.
     """
-    spread = F.pmod(F.xxhash64("sensor", "src_ip", "dst_ip"), F.lit(64))
     (
-        flows.repartition("flow_date", spread)
+        flows.hint("rebalance", "flow_date")
         .sortWithinPartitions("flow_date", "sensor", "flow_time")
         .write.mode(mode)
         .partitionBy("flow_date")
