@@ -282,7 +282,15 @@ def _feedback(s, d):
     return peaks.apply_feedback(cases(s, d), given).select("id", "operator_label")
 
 
-@query("exported_training_cases")
+@query(
+    "exported_training_cases",
+    f"""{CASES_CTE}, t AS (SELECT *, strftime(peak_time, '%Y-%m-%dT%H:%M:%SZ') AS u, strftime(peak_time - INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%S') || '-03:00' AS l FROM cases)
+SELECT to_json(struct_pack(case_id := 'peak-analysis-' || id, input := struct_pack(technical_report := '', sensor := sensor, interface_id := interface_id, direction := direction, metric := metric, protocol := upper(dominant_protocol),
+peak := struct_pack(peak_time_utc := u, peak_time_local := l, peak_value := peak_value, score := 0.0::DOUBLE), baseline := struct_pack(p95 := 0.0::DOUBLE, p99 := baseline_p99),
+dominant_group := struct_pack(dst_ip := dominant_dst_ip, dst_port := dominant_dst_port, protocol := dominant_protocol, unique_src_count := 0, share_packets := 0.0::DOUBLE, share_bits := 0.0::DOUBLE)),
+expected_output := struct_pack(classification := classification, evidence_status := evidence_status, recommended_action := 'alert_only', operator_label := '', operator_vector := '', operator_best_action := ''),
+metadata := struct_pack(created_at := '', peak_time_utc := u, peak_time_local := l, timezone := 'America/Sao_Paulo', analysis_source := 'manual', job_id := NULL::INT, run_id := NULL::INT, is_negative_sample := is_negative_sample, duplicate_of_id := NULL::INT, operator_comment := '')))::VARCHAR AS value FROM t""",
+)
 def _export(s, d):
     rows = cases(s, d).withColumns(
         {

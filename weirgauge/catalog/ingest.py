@@ -414,7 +414,14 @@ def _stream_freshness(s, d):
     return out.select("sensor", "last_complete_sample_at", "ingestion_lag_seconds", "data_status")
 
 
-@query("stream_events_by_quiet_period")
+@query(
+    "stream_events_by_quiet_period",
+    f"""{_HITS}, st AS (SELECT *, ws + INTERVAL 60 SECOND - INTERVAL 1 MICROSECOND AS seen FROM done), g0 AS (SELECT *, CASE WHEN epoch(seen - lag(seen) OVER w) <= 120 THEN 0 ELSE 1 END AS opens FROM st WINDOW w AS (PARTITION BY sensor, dst_ip ORDER BY seen)),
+g1 AS (SELECT *, sum(opens) OVER (PARTITION BY sensor, dst_ip ORDER BY seen) AS n FROM g0),
+se AS (SELECT sensor, dst_ip, n, min(seen) AS first_seen, max(seen) AS last_seen, max(value) AS pv, count(*) AS points, arg_min(value, seen) AS tv, arg_max(value, seen) AS lv FROM g1 GROUP BY ALL)
+SELECT sensor, dst_ip, first_seen, last_seen, round(pv, 3)::DOUBLE AS peak_value, points, round(tv, 3)::DOUBLE AS trigger_value, round(lv, 3)::DOUBLE AS last_value FROM se, (SELECT max(flow_time) AS newest FROM flows) m WHERE last_seen + INTERVAL 120 SECOND <= newest - INTERVAL 5 MINUTE""",
+)
 def _stream_events(s, d):
     events = sw.event_stream(_hits(s, d), ["sensor", "dst_ip"])
-    return sw.run_to_end(events, "events").select("sensor", "dst_ip", "first_seen", "last_seen", "peak_value", "points", "trigger_value", "last_value")
+    out = sw.run_to_end(events, "events").select("sensor", "dst_ip", "first_seen", "last_seen", "peak_value", "points", "trigger_value", "last_value")
+    return out.withColumns({c: F.round(c, 3) for c in ("peak_value", "trigger_value", "last_value")})
