@@ -40,8 +40,8 @@ def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFra
     with its lowest and with its highest identity come from two aggregates; if those differ
     the lookup is ambiguous.  No list of candidates is built.
     """
-    wanted = lookups.select(*LOOKUP).distinct()
-    usable = wanted.filter(F.col("public_port").between(0, 65535)).withColumn("port_bin", ports.port_bin(F.col("public_port")))
+    in_range = F.when(F.col("public_port").between(0, 65535), ports.port_bin(F.col("public_port")))
+    wanted = lookups.select(*LOOKUP).distinct().withColumn("port_bin", in_range)
     live = live_mappings(mappings, batches).withColumnRenamed("public_ip", "__ip")
     spread = live.withColumn("__bin", F.explode(ports.bins(F.col("port_start"), F.col("port_end"))))
     match = (
@@ -60,34 +60,31 @@ def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFra
         "port_start", "port_end",
     )
     rank = [exact_protocol, exact_connector, approved, F.col("batch_id"), confidence]
+    hit = F.col("__ip").isNotNull()
     up = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], who.alias("who"), F.col("protocol").alias("p"), F.col("subscriber_name").alias("n"))
     down = F.struct(*[(-r).alias(f"r{i}") for i, r in enumerate(rank)], who.alias("who"))
+    # Lookups without a candidate stay in through the outer join, so the grouping is the
+    # whole answer; while the mappings are small enough to broadcast it also needs no
+    # second shuffle after the one that made the lookups distinct.
     found = (
-        usable.join(spread, match)
+        wanted.join(spread, match, "left")
         .groupBy(*LOOKUP)
-        .agg(F.max(up).alias("hi"), F.min(down).alias("lo"), F.count(F.lit(1)).alias("match_count"))
+        .agg(F.max(F.when(hit, up)).alias("hi"), F.min(F.when(hit, down)).alias("lo"), F.count("__ip").alias("match_count"))
     )
-    same = F.lit(True)
-    for c in LOOKUP:
-        same = same & F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}"))
     ambiguous = F.col("hi.who") != F.col("lo.who")
     sure = F.col("hi").isNotNull() & ~ambiguous
-    return (
-        wanted.alias("w")
-        .join(found.alias("f"), same, "left")
-        .select(
-            *[F.col(f"w.{c}") for c in LOOKUP],
-            F.col("hi").isNotNull().alias("matched"),
-            F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"),
-            F.when(sure, F.col("hi.who.private_ip")).alias("private_ip"),
-            F.when(sure, F.nullif("hi.who.subscriber_id", F.lit(""))).alias("subscriber_id"),
-            F.when(sure, F.col("hi.n")).alias("subscriber_name"),
-            F.when(sure, F.col("hi.who.port_start")).alias("port_start"),
-            F.when(sure, F.col("hi.who.port_end")).alias("port_end"),
-            F.when(sure, F.col("hi.p")).alias("protocol"),
-            F.when(sure, F.col("hi.r3")).alias("batch_id"),
-            F.coalesce("match_count", F.lit(0)).alias("match_count"),
-        )
+    return found.select(
+        *LOOKUP,
+        F.col("hi").isNotNull().alias("matched"),
+        F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"),
+        F.when(sure, F.col("hi.who.private_ip")).alias("private_ip"),
+        F.when(sure, F.nullif("hi.who.subscriber_id", F.lit(""))).alias("subscriber_id"),
+        F.when(sure, F.col("hi.n")).alias("subscriber_name"),
+        F.when(sure, F.col("hi.who.port_start")).alias("port_start"),
+        F.when(sure, F.col("hi.who.port_end")).alias("port_end"),
+        F.when(sure, F.col("hi.p")).alias("protocol"),
+        F.when(sure, F.col("hi.r3")).alias("batch_id"),
+        "match_count",
     )
 
 
