@@ -670,3 +670,16 @@ FROM g JOIN pr ON pr.src_place = g.src_place AND pr.dst_place = g.dst_place AND
 def _geo(s, d):
     rows = rates.recorded_rate(flows(s, d))
     return pfx.geo_edges(rows, pfx.prefix_table(dims.geo_prefixes(s, d)), "city", 60, 7200)
+
+
+@query(
+    "top_country_by_bytes",
+    f"""{dims.ASN_CTE}, a AS (SELECT DISTINCT src_ip, {dims.sql_ip('src_ip')} AS addr FROM flows),
+c AS (SELECT src_ip, country, row_number() OVER (PARTITION BY src_ip ORDER BY plen DESC, country DESC) AS rn FROM a JOIN asnp ON {dims.sql_holds('addr', 'asnp')}),
+g AS (SELECT coalesce(country, 'N/D') AS key, sum(bytes * greatest(sample_rate, 1))::DOUBLE AS value FROM flows f LEFT JOIN c ON c.src_ip = f.src_ip AND rn = 1 GROUP BY 1), t AS (SELECT sum(value) AS total FROM g)
+SELECT row_number() OVER (ORDER BY value DESC, key)::INT AS rank, key, key AS label, round(value, 2)::DOUBLE AS value, round(value / total * 100, 2)::DOUBLE AS percent FROM g, t""",
+)
+def _top_country(s, d):
+    small = rollup.dash_rollup(flows(s, d), "src_ip").withColumn("src_ip_key", ip.ipv4_key(F.col("src_ip")))
+    placed = pfx.longest_prefix(small, "src_ip_key", pfx.prefix_table(dims.asn_prefixes(s, d)), {"country": "country"})
+    return topn.top_n(placed.withColumn("country", F.coalesce("country", F.lit("N/D"))), "country", "bytes", 7200)

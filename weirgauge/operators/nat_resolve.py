@@ -88,6 +88,21 @@ def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFra
     )
 
 
+def with_subscriber(flows: DataFrame, resolved: DataFrame, lookup: dict[str, Column]) -> DataFrame:
+    """Flows with the subscriber behind them, ``N/D`` where none is certain.
+
+    ``lookup`` gives each ``LOOKUP`` column as an expression on the flows.
+    """
+    named = flows.withColumns({f"__{c}": lookup[c] for c in LOOKUP})
+    known = resolved.filter("matched AND NOT ambiguous").select(
+        *[F.col(c).alias(f"__r_{c}") for c in LOOKUP], F.coalesce("subscriber_id", "private_ip").alias("__who")
+    )
+    same = F.col("__connector").eqNullSafe(F.col("__r_connector"))
+    for c in LOOKUP[:-1]:
+        same = same & (F.col(f"__{c}") == F.col(f"__r_{c}"))
+    return named.join(known, same, "left").select(*flows.columns, F.coalesce("__who", F.lit("N/D")).alias("subscriber"))
+
+
 def shared_public_ip(lookups: DataFrame, mappings: DataFrame, batches: DataFrame) -> DataFrame:
     """Whether any live mapping of the address covers the time, on the connector or on none.
 

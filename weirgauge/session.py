@@ -41,16 +41,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made and set.
+    Only where that is unset (tests on one machine) a local folder is made.
     """
+    global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weirgauge-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="weirgauge-stage-")
+    return _own_folder
 
 
 def staged(df: DataFrame) -> DataFrame:
