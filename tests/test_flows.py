@@ -147,3 +147,21 @@ def test_plans_have_no_nested_loops_and_prune_columns(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert "TakeOrderedAndProject" in plan
     assert "l_shipdate" not in plan and "l_extendedprice" not in plan
+
+
+def test_requests_choose_a_rollup_only_when_it_fits(spark):
+    from weirgauge.plans.specs import QuerySpec, TableRequest
+
+    raw = flows(spark, DATA)
+    rolled = {"dst_port": rollup.dash_rollup(raw, "dst_port")}
+    spec = QuerySpec("top_n", START, END, "bytes", "dst_port", limit=8)
+    assert spec.rollup_name() == "dst_port" and rollup.is_covered(rolled["dst_port"], START, END)
+    assert rows_of(spec.run(raw, None, rolled)) == rows_of(spec.run(raw))
+    assert QuerySpec("top_n", START, END, "bytes", "dst_port", filters=[{"field": "src_ip", "value": "10.0.0.0/8"}]).rollup_name() is None
+    assert QuerySpec("top_n", START, END, "duration", "dst_port").rollup_name() is None
+    assert not rollup.is_covered(rolled["dst_port"], START - timedelta(days=1), END)
+    for bad in (dict(kind="top_n", dimension="nope"), dict(kind="top_n", limit=101), dict(kind="timeseries", metric="bytes"), dict(kind="kpi", resolution=7), dict(kind="sql")):
+        with pytest.raises(ValueError):
+            QuerySpec(**{"start": START, "end": END, **bad})
+    with pytest.raises(ValueError):
+        TableRequest("traffic_bps", START - timedelta(days=8), END)

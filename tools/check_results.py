@@ -33,9 +33,7 @@ def cell(value):
 
 def table_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    body = sorted(tuple(cell(r[i]) for i in order) for r in [tuple(r) for r in rows]) if False else [
-        tuple(cell(r[i]) for i in order) for r in rows
-    ]
+    body = [tuple(cell(r[i]) for i in order) for r in rows]
     return [columns[i] for i in order], sorted(body, key=lambda r: tuple("" if x is None else x for x in r))
 
 

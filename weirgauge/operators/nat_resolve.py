@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.operators import ports
-from weirgauge.operators.filters import ts_lit  # noqa: F401  (re-exported for callers)
 
 
 def live_mappings(mappings: DataFrame, batches: DataFrame) -> DataFrame:

@@ -104,9 +104,16 @@ def hybrid(flows: DataFrame, rollup: DataFrame, name: str, start: datetime, end:
     return merge_rollup(dash_rollup(edges, name).unionByName(inner))
 
 
-def covered(rollup: DataFrame, start: datetime, end: datetime) -> Column:
-    """Whether a rollup reaches back to the window start (aggregate, one row)."""
-    return (F.min("minute") <= ts_lit(start)) & (F.max("minute") >= ts_lit(interior_minutes(start, end)[1]))
+def is_covered(rollup: DataFrame, start: datetime, end: datetime) -> bool:
+    """Whether a stored rollup reaches over the whole minutes of a window.
+
+    One minimum and maximum of the minute, which Parquet statistics answer cheaply.
+    """
+    first, last = interior_minutes(start, end)
+    if first >= last:
+        return False
+    inside = (F.min("minute") <= ts_lit(first)) & (F.max("minute") >= ts_lit(last - timedelta(minutes=1)))
+    return bool(rollup.agg(inside.alias("inside")).first()["inside"])
 
 
 def scaled(df: DataFrame, keys: list[str], flows: str = "flows") -> DataFrame:

@@ -114,9 +114,9 @@ class QuerySpec:
         return "series" if self.group_by in ("total", "protocol", "sensor", "interface") else None
 
     def source(self, flows: DataFrame, rollups: dict[str, DataFrame] | None = None) -> DataFrame:
-        """Rows to aggregate: a rollup with raw edges where one fits, else the raw window."""
+        """Rows to aggregate: a rollup with raw edges where one fits and covers the window, else raw flows."""
         name = self.rollup_name()
-        if name and rollups and name in rollups:
+        if name and rollups and name in rollups and rollup.is_covered(rollups[name], self.start, self.end):
             rows = rollup.hybrid(flows, rollups[name], name, self.start, self.end)
             keys = {f"{c}_key": ip.ip_key(F.col(c)) for c in ("src_ip", "dst_ip") if c in rows.columns}
             rows = rows.withColumns(keys) if keys else rows

@@ -37,20 +37,11 @@ def expired_dates(df: DataFrame, days: int, now: Column) -> DataFrame:
     return df.select("flow_date").distinct().filter(F.col("flow_date") < F.to_date(now - F.expr(f"INTERVAL {int(days)} DAYS")))
 
 
-def cleanup_report(df: DataFrame, ts: str, days: int, now: Column) -> DataFrame:
-    """What a cleanup would delete: count before, count and range of the doomed rows."""
-    old = F.col(ts) < now - F.expr(f"INTERVAL {int(days)} DAYS")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(old).alias("rows_deleted"),
-        F.min(F.when(old, F.col(ts))).alias("deleted_from"),
-        F.max(F.when(old, F.col(ts))).alias("deleted_to"),
-    )
-
-
-def cleanup_minutes(df: DataFrame, ts: str, minutes: int, now: Column) -> DataFrame:
-    """Same report for an age in minutes."""
-    old = F.col(ts) < now - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+def cleanup_report(df: DataFrame, ts: str, age: int, now: Column, unit: str = "DAYS") -> DataFrame:
+    """What a cleanup of rows older than ``age`` days, hours or minutes would delete."""
+    if unit not in ("DAYS", "HOURS", "MINUTES"):
+        raise ValueError(f"unit not allowed: {unit}")
+    old = F.col(ts) < now - F.expr(f"INTERVAL {int(age)} {unit}")
     return df.agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(old).alias("rows_deleted"),
