@@ -36,8 +36,8 @@ arg_max(dst_port, packets * {RATE} * 100000 + dst_port) AS top_dst_port, arg_max
 
 
 def rules(s, d):
-    """Twelve rules per zone with active prefixes."""
-    zones = table(s, d, "nation").filter("n_nationkey % 6 <> 5").selectExpr("cast(n_nationkey AS bigint) AS z")
+    """Six rules for each zone with an active prefix."""
+    zones = dims.zone_prefixes(s, d).filter("active").selectExpr("cast(zone_id AS bigint) AS z")
     return zones.selectExpr("z", "explode(sequence(0, 5)) AS k").selectExpr(
         "z * 10 + k AS rule_id", "z AS zone_id", "concat('VECTOR_', k) AS vector",
         "array('transmits','transmits','both','transmits','receives','transmits')[k] AS direction",
@@ -86,8 +86,8 @@ def _rules(s, d):
 )
 def _rules_whitelisted(s, d):
     zones = pfx.prefix_table(dims.zone_prefixes(s, d)).filter("active")
-    allowed = table(s, d, "region").filter("r_regionkey < 2").selectExpr(
-        "r_regionkey AS whitelist_id", "r_name AS name", "CASE r_regionkey WHEN 0 THEN '203.0.113.0/26' ELSE '203.0.113.64/27' END AS prefix", "r_regionkey = 0 AS is_global"
+    allowed = table(s, d, "region").selectExpr(
+        "r_regionkey AS whitelist_id", "r_name AS name", "CASE r_regionkey WHEN 0 THEN '203.0.113.0/26' WHEN 1 THEN '203.0.113.64/27' ELSE concat('10.', r_regionkey, '.0.0/16') END AS prefix", "r_regionkey = 0 AS is_global"
     )
     hits = detect.eval_rules(rated(s, d), zones, rules(s, d), pfx.prefix_table(allowed))
     return hits.select(*[c.strip() for c in _RULE_COLUMNS.split(",")], "severity")
@@ -135,16 +135,15 @@ SELECT ve.vector_id, round(pk.value, 4)::DOUBLE AS value, coalesce(pk.value >= t
 # --- runs and lifecycle -----------------------------------------------------------------
 
 _POINTS_CTE = f"""
-pt AS (SELECT sensor, dst_port, date_trunc('minute', flow_time) AS bucket, sum(packets * {RATE})::BIGINT / 60.0 AS value FROM flows WHERE input_if = 2 GROUP BY ALL HAVING sum(packets * {RATE}) >= 60 * 20),
+pt AS (SELECT sensor, dst_port, date_trunc('minute', flow_time) AS bucket, sum(packets * {RATE})::BIGINT / 60.0 AS value FROM flows GROUP BY ALL HAVING sum(packets * {RATE}) >= 60 * 100),
 ky AS (SELECT *, 'anom:' || sha256('decoder=PORT|sensor=' || sensor || '|target=' || dst_port) AS dedupe_key FROM pt)"""
 
 
 def points(s, d):
     return (
-        rated(s, d).filter("input_if = 2")
-        .groupBy("sensor", "dst_port", F.date_trunc("minute", "flow_time").alias("bucket"))
-        .agg((F.sum(F.col("packets") * F.col("rate")) / 60.0).alias("value")).filter("value >= 20")
-        .withColumn("threshold", F.lit(20.0))
+        rated(s, d).groupBy("sensor", "dst_port", F.date_trunc("minute", "flow_time").alias("bucket"))
+        .agg((F.sum(F.col("packets") * F.col("rate")) / 60.0).alias("value")).filter("value >= 100")
+        .withColumn("threshold", F.lit(100.0))
     )
 
 
@@ -312,16 +311,16 @@ SELECT event_id, reasons, reasons = '' AS allowed, split_part(reasons, ',', 1) A
 # --- anomalies against flows -----------------------------------------------------------------
 
 _ANOM_CTE = """
-an AS (SELECT o_orderkey AS anomaly_id, '203.0.113.' || (o_custkey % 200 + 1) AS a_dst, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE ([53,80,443,123,8443,3478,22,9004][o_custkey % 8 + 1]) END AS a_port, NULL::VARCHAR AS a_src, TIMESTAMP '2026-07-10 12:00:00' + to_seconds(o_orderkey * 13 % 6000) AS fs, TIMESTAMP '2026-07-10 12:05:00' + to_seconds(o_orderkey * 13 % 6000) AS ls, o_custkey % 5 = 0 AS no_dns FROM orders WHERE o_orderkey % 10 = 3),
+an AS (SELECT c_custkey AS anomaly_id, '203.0.113.' || (c_custkey % 200 + 1) AS a_dst, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE ([53,80,443,123,8443,3478,22,9004][c_custkey % 8 + 1]) END AS a_port, NULL::VARCHAR AS a_src, TIMESTAMP '2026-07-10 12:00:00' + to_seconds(c_custkey * 13 % 6000) AS fs, TIMESTAMP '2026-07-10 12:05:00' + to_seconds(c_custkey * 13 % 6000) AS ls, c_custkey % 5 = 0 AS no_dns FROM customer),
 rel AS (SELECT an.anomaly_id, f.* FROM flows f JOIN an ON f.dst_ip = a_dst AND flow_time BETWEEN fs - INTERVAL 60 SECOND AND ls + INTERVAL 60 SECOND AND (a_port IS NULL OR a_port = dst_port) AND NOT (no_dns AND dst_port = 53))"""
 
 
 def anomalies(s, d):
-    # One order in ten opens an anomaly: the derivation of this table, not a cut of a larger one.
-    return table(s, d, "orders").filter("o_orderkey % 10 = 3").selectExpr(
-        "o_orderkey AS anomaly_id", "concat('203.0.113.', o_custkey % 200 + 1) AS dst_ip", "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE array(53,80,443,123,8443,3478,22,9004)[cast(o_custkey % 8 AS int)] END AS dst_port",
-        "cast(NULL AS string) AS src_ip", "cast(NULL AS int) AS proto", "TIMESTAMP '2026-07-10 12:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 13 % 6000) AS first_seen",
-        "TIMESTAMP '2026-07-10 12:05:00' + make_dt_interval(0, 0, 0, o_orderkey * 13 % 6000) AS last_seen", "CASE WHEN o_custkey % 5 = 0 THEN array(53) END AS excluded_ports",
+    """One anomaly per customer."""
+    return table(s, d, "customer").selectExpr(
+        "c_custkey AS anomaly_id", "concat('203.0.113.', c_custkey % 200 + 1) AS dst_ip", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE array(53,80,443,123,8443,3478,22,9004)[cast(c_custkey % 8 AS int)] END AS dst_port",
+        "cast(NULL AS string) AS src_ip", "cast(NULL AS int) AS proto", "TIMESTAMP '2026-07-10 12:00:00' + make_dt_interval(0, 0, 0, c_custkey * 13 % 6000) AS first_seen",
+        "TIMESTAMP '2026-07-10 12:05:00' + make_dt_interval(0, 0, 0, c_custkey * 13 % 6000) AS last_seen", "CASE WHEN c_custkey % 5 = 0 THEN array(53) END AS excluded_ports",
     )
 
 
@@ -369,7 +368,7 @@ SELECT anomaly_id AS event_id, dst_ip || '/32' AS dst_prefix, dst_port, CASE pro
 _EXEC_CTE = """
 rq AS (SELECT l_orderkey AS anomaly_id, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS request_id, 1 + l_suppkey % 2 AS connector_id, '203.0.113.' || (l_partkey % 40) || '/32' AS dst_prefix, l_returnflag AS flag, 'flowspec_block' AS action FROM lineitem),
 rd AS (SELECT DISTINCT anomaly_id, request_id, 'mit:' || sha256('action=flowspec_block|address_family=ipv4|connector_id=' || connector_id || '|destination=' || dst_prefix || '|destination_port=53|protocol=' || lower(flag) || '|source=|source_port=|tcp_flags=') AS idempotency_key FROM rq),
-lx AS (SELECT idempotency_key, max(execution_id) AS execution_id FROM (SELECT idempotency_key, abs(request_id) AS execution_id, CASE WHEN request_id % 3 = 0 THEN 'active' ELSE 'withdrawn' END AS status FROM rd WHERE request_id % 97 = 0) WHERE status = 'active' GROUP BY 1)"""
+lx AS (SELECT idempotency_key, max(execution_id) AS execution_id FROM (SELECT idempotency_key, abs(request_id) AS execution_id, CASE WHEN request_id % 291 = 0 THEN 'active' ELSE 'withdrawn' END AS status FROM rd) WHERE status = 'active' GROUP BY 1)"""
 
 
 def requests(s, d):
@@ -381,8 +380,8 @@ def requests(s, d):
 
 
 def live_executions(s, d):
-    return requests(s, d).filter("request_id % 97 = 0").selectExpr(
-        "idempotency_key", "abs(request_id) AS execution_id", "CASE WHEN request_id % 3 = 0 THEN 'active' ELSE 'withdrawn' END AS status"
+    return requests(s, d).selectExpr(
+        "idempotency_key", "abs(request_id) AS execution_id", "CASE WHEN request_id % 291 = 0 THEN 'active' ELSE 'withdrawn' END AS status"
     )
 
 

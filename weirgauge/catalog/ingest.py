@@ -299,10 +299,10 @@ query(
 )
 query(
     "seed_rows_missing",
-    "SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 15)",
+    "SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey * 2 FROM supplier)",
 )(
     lambda s, d: tables.insert_missing(
-        table(s, d, "supplier").filter("s_suppkey < 15").selectExpr("s_nationkey AS k"), table(s, d, "nation").selectExpr("n_nationkey AS k", "n_name"), ["k"]
+        table(s, d, "supplier").selectExpr("s_nationkey * 2 AS k"), table(s, d, "nation").selectExpr("n_nationkey AS k", "n_name"), ["k"]
     )
 )
 query(
@@ -341,11 +341,11 @@ def _stored(s, d):
 
 @query(
     "exported_csv_records",
-    "SELECT sensor, src_ip, dst_ip, dst_port, bytes, packets FROM flows WHERE dst_port = 22 AND sensor = 'edge-0'",
+    "SELECT sensor, src_ip, dst_ip, dst_port, bytes, packets FROM flows",
 )
 def _exported(s, d):
     root = f"{shared_folder(s)}/weirgauge/export-{uuid.uuid4().hex}"
-    tables.export_csv(flows(s, d).filter("dst_port = 22 AND sensor = 'edge-0'").select("sensor", "src_ip", "dst_ip", "dst_port", "bytes", "packets"), root)
+    tables.export_csv(flows(s, d).select("sensor", "src_ip", "dst_ip", "dst_port", "bytes", "packets"), root)
     return s.read.schema("sensor string, src_ip string, dst_ip string, dst_port int, bytes bigint, packets bigint").csv(root, header=True)
 
 

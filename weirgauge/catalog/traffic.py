@@ -588,12 +588,12 @@ def _queue(s, d):
 
 @query(
     "asn_top_with_country",
-    """g AS (SELECT dst_asn, sum(bytes)::BIGINT AS bytes FROM flows GROUP BY 1), c AS (SELECT 64600 + s_suppkey AS asn, ['BR','US','DE','JP'][s_nationkey % 4 + 1] AS country FROM supplier WHERE s_suppkey < 17)
+    """g AS (SELECT dst_asn, sum(bytes)::BIGINT AS bytes FROM flows GROUP BY 1), c AS (SELECT 64600 + s_suppkey * 2 AS asn, ['BR','US','DE','JP'][s_nationkey % 4 + 1] AS country FROM supplier)
 SELECT g.*, coalesce(country, 'N/D') AS country FROM g LEFT JOIN c ON c.asn = g.dst_asn""",
 )
 def _country(s, d):
-    countries = table(s, d, "supplier").filter("s_suppkey < 17").selectExpr(
-        "64600 + s_suppkey AS asn", "array('BR', 'US', 'DE', 'JP')[s_nationkey % 4] AS country"
+    countries = table(s, d, "supplier").selectExpr(
+        "64600 + s_suppkey * 2 AS asn", "array('BR', 'US', 'DE', 'JP')[s_nationkey % 4] AS country"
     )
     return pfx.with_country(flows(s, d).groupBy("dst_asn").agg(F.sum("bytes").alias("bytes")), "dst_asn", countries)
 
