@@ -25,7 +25,7 @@ MIN_WORDS = 50
 MIN_GROUP = 200  # documents that a sketch needs to speak for its group
 REACH = 3  # a fence lies this many quartile distances away
 # measure: the quartile distance that a fence assumes at least, whether low values are judged too
-MEASURES = {"symbol_rate": (20, False), "dup_line_rate": (60, False), "repeat_rate": (60, False), "word_length": (40, True)}
+MEASURES = {"symbol_rate": (20, False), "dup_line_rate": (150, False), "repeat_rate": (120, False), "word_length": (40, True)}
 SYMBOLS = "#*$%&|<>"
 
 
