@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from weirgauge.llm import line_dedup, mixing, ngram_join, quality_rules, sharding  # noqa: F401
+from weirgauge.llm import line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding  # noqa: F401
 from weirgauge.llm.common import ORACLES, QUERIES  # noqa: F401
