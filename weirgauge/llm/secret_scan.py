@@ -136,6 +136,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [of(kind).alias(f"n_{kind}") for kind in KINDS[:3]]
     base = F.filter("found", lambda s: s["kind"] != KINDS[3])
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
