@@ -56,7 +56,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         .when(F.size("w") > 0, one)
         .otherwise(F.array().cast("array<bigint>"))
     )
-    return rows.select("node", F.array_sort(F.array_distinct(raw)).alias("sh"))
+    return rows.select("node", F.sort_array(F.array_distinct(raw)).alias("sh"))
 
 
 def least_overlap(n: int, m: int) -> int:

@@ -42,22 +42,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def id_bytes(texts: list[str | None], encode, known: dict[str, bytes]) -> Iterator[bytes]:
+_models: dict = {}  # of this Python worker: tokenizer and ids of frequent chunks, by path
+
+
+def model_of(path: str) -> tuple:
+    """The tokenizer at ``path`` and the ids known of its chunks; loaded once for a worker."""
+    if path not in _models:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
+        from tokenizers import Tokenizer
+
+        _models[path] = Tokenizer.from_file(path), {}
+    return _models[path]
+
+
+def id_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """Token ids of each text as little-endian 32-bit numbers.
 
     White space separates the words of this tokenizer and has no ids, so a text has the
-    ids of its chunks between blanks; those of frequent chunks are kept in ``known``.
+    ids of its chunks between blanks; those of frequent chunks are kept.
     """
-    split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    model, known = model_of(path)
+    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    fresh = list(set().union(*split).difference(known))
+    if len(known) + len(fresh) > CACHED:
+        known.clear()
+        fresh = list(set().union(*split))
+    for chunk, found in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
     for chunks in split:
-        fresh = [c for c in set(chunks) if c not in known]
-        if fresh:
-            if len(known) > CACHED:
-                known.clear()
-                fresh = list(set(chunks))
-            for chunk, ids in zip(fresh, encode(fresh), strict=True):
-                known[chunk] = np.array(ids, dtype="<u4").tobytes()
-        yield b"".join([known[c] for c in chunks])
+        yield b"".join(map(known.__getitem__, chunks))
+
+
+def at_once(texts: Iterator[str], characters: int = 2_000_000) -> Iterator[list[str]]:
+    """Runs of texts with about so many characters together."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= characters:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -66,18 +94,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        encode = lambda chunks: [e.ids for e in model.encode_batch(chunks, add_special_tokens=False)]
-        known: dict[str, bytes] = {}
         for batch in batches:
             rows = []
-            texts = (t.as_py() for t in batch.column("text"))
-            for one, ids in zip(batch.column("doc_id").to_pylist(), _each(texts, encode, known), strict=True):
+            texts = (t.as_py() or "" for t in batch.column("text"))
+            found = (ids for some in at_once(texts) for ids in id_bytes(some, tokenizer))
+            for one, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids += end
                 total = len(ids) // 4
                 for number, start in enumerate(range(0, total, capacity)):
@@ -92,22 +113,16 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     return named.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _each(texts, encode, known) -> Iterator[bytes]:
-    for text in texts:
-        yield from id_bytes([text], encode, known)
-
-
 def configurations(sizes: list[int], capacity: int) -> np.ndarray:
-    """Every multiset of sizes that fits, as rows of counts; smaller sizes come last."""
-    out = []
-    for many in range(1, LARGE):
-        for chosen in itertools.combinations_with_replacement(range(len(sizes)), many):
-            if sum(sizes[i] for i in chosen) <= capacity:
-                row = np.zeros(len(sizes))
-                for i in chosen:
-                    row[i] += 1
-                out.append(row)
-    return np.array(out).reshape(-1, len(sizes))
+    """Every multiset of sizes that fits, as rows of their places; the place after the last stands for no size."""
+    none = len(sizes)
+    out = [
+        chosen + (none,) * (LARGE - 1 - many)
+        for many in range(1, LARGE)
+        for chosen in itertools.combinations_with_replacement(range(none), many)
+        if sum(sizes[i] for i in chosen) <= capacity
+    ]
+    return np.array(out, dtype=np.int64).reshape(-1, LARGE - 1)
 
 
 def few_configurations(sizes: list[int], needed: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -119,21 +134,29 @@ def few_configurations(sizes: list[int], needed: list[int], capacity: int) -> li
     """
     if not sizes:
         return []
-    options = configurations(sizes, capacity)
-    basis = np.diag([float(capacity // s) for s in sizes])
-    want = np.array(needed, dtype=float)
-    for _ in range(50 * len(sizes)):
-        inverse = np.linalg.inv(basis)
-        prices = inverse.sum(axis=0)
-        worth = options @ prices
+    options, many = configurations(sizes, capacity), len(sizes)
+    counts = lambda places: np.bincount(places, minlength=many + 1)[:many]
+    basis = [counts(np.repeat(i, capacity // s)) for i, s in enumerate(sizes)]
+    inverse, want = np.diag([1.0 / (capacity // s) for s in sizes]), np.array(needed, dtype=float)
+    least, since = np.inf, 0
+    while since < many:  # turns without gain are few unless the simplex goes round in circles
+        prices = np.append(inverse.sum(axis=0), 0.0)
+        worth = prices[options].sum(axis=1)
         best = int(np.argmax(worth))
+        now = float((prices[:-1] * want).sum())
+        least, since = (now, 0) if now < least * (1 - 1e-7) else (least, since + 1)
         if worth[best] <= 1 + 1e-9:
             break
-        direction, amount = inverse @ options[best], np.maximum(inverse @ want, 0)
-        ratio = np.where(direction > 1e-12, amount / np.where(direction > 1e-12, direction, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = options[best]
-    amount = np.linalg.inv(basis) @ want
-    return [(tuple(int(x) for x in basis[:, j]), int(amount[j] + 1e-9)) for j in range(len(sizes)) if amount[j] >= 1]
+        config = counts(options[best])
+        direction, amount = (inverse * config).sum(axis=1), np.maximum((inverse * want).sum(axis=1), 0)
+        ratio = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
+        out = int(np.argmin(ratio))
+        basis[out] = config
+        pivot = inverse[out] / direction[out]
+        inverse -= direction[:, None] * pivot
+        inverse[out] = pivot
+    amount = (inverse * want).sum(axis=1)
+    return [(tuple(int(x) for x in basis[j]), int(amount[j] + 1e-9)) for j in range(many) if amount[j] >= 1]
 
 
 class Plan:
