@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgauge.llm import line_dedup, mixing, quality_rules
+from weirgauge.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from weirgauge.llm.common import documents, unpacked
 from weirgauge.session import staged
 
@@ -23,14 +23,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return ngram_join.representatives(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards the target of their source."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near),
+    ("mixing sources to target weights", mix), ("best-fit packing", pack),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # tokenizers and packing have no SQL form; tests/llm/test_pipeline.py compares with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
