@@ -28,7 +28,6 @@ rows; very long texts are read in overlapping segments, so memory does not follo
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ from weirgauge.session import staged
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM  # a window starts at most this far before its anchor
-BLOCK = 16
+BLOCK = 12
 SEGMENT = 1 << 21
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd
 _powers: list[np.ndarray] = []
@@ -69,10 +68,10 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out if have == width else pick(out[: len(values) - width + 1], out[width - have :][: len(values) - width + 1])
 
 
-def anchors_of(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions in ``data`` (texts one after another, ``ends`` their ends) that are anchors."""
+def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, near, far) of the anchors in ``data`` (texts one after another, ``ends`` their ends)."""
     if len(data) < LENGTH:
-        return np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     up, down = powers()
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
     grams = len(data) - GRAM + 1
@@ -88,18 +87,40 @@ def anchors_of(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     least = np.where(np.cumsum(whole[:-1]) > 0, least, np.uint64(0))
     edge = np.zeros(REACH, dtype=np.uint64)
     most = _sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum)
-    return np.flatnonzero(most == h)
+    found = np.flatnonzero(most == h)
+    near, far = owned(found, h[found])
+    some = near <= far
+    return found[some], near[some], far[some]
+
+
+def owned(found: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows each anchor owns: those that start ``near`` to ``far`` before it and have it as their first smallest."""
+    near, far = np.zeros(len(found), dtype=np.int64), np.full(len(found), REACH, dtype=np.int64)
+    for sign, bound in ((-1, far), (1, near)):
+        left, step = np.arange(len(found)), 0
+        while len(left):
+            step += 1
+            other = left + sign * step
+            left, other = left[(other >= 0) & (other < len(found))], other[(other >= 0) & (other < len(found))]
+            gap = np.abs(found[other] - found[left])
+            close = gap <= REACH
+            left, other, gap = left[close], other[close], gap[close]
+            stops = value[other] <= value[left] if sign < 0 else value[other] < value[left]
+            bound[left[stops]] = gap[stops] - 1 if sign < 0 else REACH + 1 - gap[stops]
+            left = left[~stops]
+    return near, far
 
 
 def segments(bodies: Iterator[bytes]) -> Iterator[tuple[list[int], list[int], bytes]]:
     """Texts put together up to a segment: (row, offset of its first byte) for each text, and the bytes.
 
-    Long texts come in several segments that overlap by a window.
+    Long texts come in several segments that overlap by a byte less than a window, so that
+    every window is in one segment.
     """
     rows, offsets, held, size = [], [], [], 0
     for row, body in enumerate(bodies):
-        step = SEGMENT - LENGTH
-        for start in range(0, max(1, len(body) - LENGTH), step):
+        step = SEGMENT - LENGTH + 1
+        for start in range(0, max(1, len(body) - LENGTH + 1), step):
             part = body[start : start + SEGMENT]
             if size + len(part) > SEGMENT:
                 yield rows, offsets, held
@@ -113,14 +134,8 @@ def segments(bodies: Iterator[bytes]) -> Iterator[tuple[list[int], list[int], by
 
 
 def hull_id(body: bytes, a: int, near: int, far: int) -> int:
-    """Identifier of the windows that start ``near`` to ``far`` before the anchor at ``a``.
-
-    Where the text ends inside the hull, how far away it ends is a part of it: equal
-    identifiers mean equal windows, each at the same place.
-    """
-    low, high = a - far, a - near + LENGTH
-    ends = struct.pack("<qq", a if low < 0 else -1, len(body) - a if high > len(body) else -1)
-    return _signed(xxhash.xxh3_64_intdigest(body[max(low, 0) : high] + ends, seed=near + LENGTH))
+    """Identifier of the windows that start ``near`` to ``far`` before the anchor at ``a``: their bytes and where they lie."""
+    return _signed(xxhash.xxh3_64_intdigest(body[a - far : a - near + LENGTH], seed=near << 32 | far))
 
 
 def _signed(x: int) -> int:
@@ -128,33 +143,36 @@ def _signed(x: int) -> int:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(id, content, a, bucket, hull) for every anchor of ``texts`` (id, content, body)."""
+    """(id, content, a, near, far, bucket, hull) for every anchor of ``texts`` (id, content, body); near and far bound its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("body")
             ids, contents = batch.column("id"), batch.column("content")
             for rows, offsets, parts in segments(b.as_py() for b in column):
+                data = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
-                found = anchors_of(np.frombuffer(b"".join(parts), dtype=np.uint8), ends)
+                found, near, far = anchors_of(np.frombuffer(data, dtype=np.uint8), ends)
                 of = np.searchsorted(ends, found, side="right")
                 starts = np.concatenate([[0], ends[:-1]])
-                at = np.asarray(offsets)[of] + found - starts[of]
-                bucket, whole = [], []
-                body, last = b"", -1
-                for k, a in zip(of.tolist(), at.tolist(), strict=True):
-                    if rows[k] != last:
-                        last = rows[k]
-                        body = column[last].as_py()
-                    bucket.append(_signed(xxhash.xxh3_64_intdigest(body[a : a + GRAM])))
-                    whole.append(hull_id(body, a, 0, REACH))
-                own = pa.array(np.asarray(rows)[of], pa.int32())
+                far = np.minimum(far, found - starts[of])  # windows lie inside the text
+                near = np.maximum(near, found + LENGTH - ends[of])
+                some = near <= far
+                found, near, far, of = found[some], near[some], far[some], of[some]
+                places = list(zip(found.tolist(), near.tolist(), far.tolist(), strict=True))
+                bucket = [_signed(xxhash.xxh3_64_intdigest(data[p : p + GRAM])) for p, _, _ in places]
+                whole = [hull_id(data, p, n, f) for p, n, f in places]
+                own = pa.array(np.asarray(rows, dtype=np.int32)[of], pa.int32())
+                at = np.asarray(offsets, dtype=np.int64)[of] + found - starts[of]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), contents.take(own), pa.array(at, pa.int64()), pa.array(bucket, pa.int64()), pa.array(whole, pa.int64())],
-                    ["id", "content", "a", "bucket", "hull"],
-                )
+                    [
+                        ids.take(own), contents.take(own), pa.array(at, pa.int64()), pa.array(near, pa.int32()), pa.array(far, pa.int32()),
+                        pa.array(bucket, pa.int64()), pa.array(whole, pa.int64()),
+                    ],
+                    ["id", "content", "a", "near", "far", "bucket", "hull"],
+                )
 
-    return texts.mapInArrow(run, "id bigint, content bigint, a bigint, bucket bigint, hull bigint")
+    return texts.mapInArrow(run, "id bigint, content int, a bigint, near int, far int, bucket bigint, hull bigint")
 
 
 def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +188,7 @@ def refined(rows: DataFrame, keys: list[str]) -> DataFrame:
     settled hull in a bucket that has an open member.
     """
     members = staged(shared(rows, keys))
-    place = F.struct(*[c for c in ("id", "content", "a", "near") if c in rows.columns])
+    place = F.struct(*[c for c in ("id", "content", "a", "near")])
     hulls = members.groupBy(*keys, "hull").agg(F.count(F.lit(1)).alias("same"), F.min(place).alias("head")).where("same > 1")
     hulls = hulls.select(*[F.col(k).alias(f"h_{k}") for k in [*keys, "hull"]], "head")
     on = [F.col(k) == F.col(f"h_{k}") for k in [*keys, "hull"]]
@@ -194,7 +212,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
             small = pa.array([press.compress(b.as_py()) for b in batch.column("body")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("content"), small], ["id", "content", "body"])
 
-    return texts.mapInArrow(run, "id bigint, content bigint, body binary")
+    return texts.mapInArrow(run, "id bigint, content int, body binary")
 
 
 def _open(column: pa.Array) -> Iterator[bytes]:
@@ -208,9 +226,9 @@ def _same_text(names: tuple[str, str]) -> Column:
 
 
 def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, content, a, bucket, before, around) for the ``wanted`` anchors: the bytes that their windows cover."""
+    """(id, content, a, near, far, bucket, around) for the ``wanted`` anchors: the bytes that their windows cover."""
     lists = wanted.groupBy(F.col("id").alias("w_id"), F.col("content").alias("w_content")).agg(
-        F.collect_set(F.struct("a", "bucket")).alias("anchors")
+        F.collect_set(F.struct("a", "near", "far", "bucket")).alias("anchors")
     )
     joined = packed_texts(texts).join(lists, _same_text(("w_id", "w_content"))).select("id", "content", "body", "anchors")
 
@@ -219,76 +237,87 @@ def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             ids, contents = batch.column("id"), batch.column("content")
             for row, (body, found) in enumerate(zip(_open(batch.column("body")), batch.column("anchors"), strict=True)):
                 found = found.as_py()
-                a = [x["a"] for x in found]
-                own = pa.array([row] * len(a), pa.int32())
+                own = pa.array([row] * len(found), pa.int32())
+                column = lambda name, kind: pa.array([x[name] for x in found], kind)  # noqa: B023, E731
+                around = [body[x["a"] - x["far"] : x["a"] - x["near"] + LENGTH] for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(own), contents.take(own), pa.array(a, pa.int64()), pa.array([x["bucket"] for x in found], pa.int64()),
-                        pa.array([min(x, REACH) for x in a], pa.int32()),
-                        pa.array([body[max(0, x - REACH) : x + LENGTH] for x in a], pa.binary()),
+                        ids.take(own), contents.take(own), column("a", pa.int64()), column("near", pa.int32()), column("far", pa.int32()),
+                        column("bucket", pa.int64()), pa.array(around, pa.binary()),
                     ],
-                    ["id", "content", "a", "bucket", "before", "around"],
+                    ["id", "content", "a", "near", "far", "bucket", "around"],
                 )
 
-    return joined.mapInArrow(run, "id bigint, content bigint, a bigint, bucket bigint, before int, around binary")
+    return joined.mapInArrow(run, "id bigint, content int, a bigint, near int, far int, bucket bigint, around binary")
 
 
 def block_rows(around: DataFrame, width: int) -> DataFrame:
-    """Blocks of ``width`` windows of each anchor: (id, content, a, near, bucket, core, hull).
+    """Blocks of windows of each anchor: (id, content, a, near, far, bucket, core, hull).
 
-    ``around`` may name the blocks to split by their first window in ``near``.
+    Blocks start at multiples of ``width``, so that those of equal windows are equal; an
+    anchor has the parts that it owns.  A block's core is that of the whole block, as far
+    as the bytes at hand reach.  ``split`` names the blocks to divide, where it is there.
     """
-    named = "near" in around.columns
+    chosen = "split" in around.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, contents, a, bucket = (batch.column(c) for c in ("id", "content", "a", "bucket"))
-            rows, nears, cores, hulls = [], [], [], []
-            firsts = batch.column("near").to_pylist() if named else [0] * batch.num_rows
-            for row, (first, at, body) in enumerate(zip(firsts, batch.column("before").to_pylist(), batch.column("around"), strict=True)):
-                body = body.as_py()
-                stop = min(first + BLOCK, REACH + 1) if named else REACH + 1
-                for near in range(first, stop, width):
-                    far = min(near + width, REACH + 1) - 1
-                    if near > at or at - far + LENGTH > len(body):
-                        continue  # no window of the block lies in the text
+            rows, nears, fars, cores, hulls = [], [], [], [], []
+            near_of, far_of, bodies = batch.column("near").to_pylist(), batch.column("far").to_pylist(), batch.column("around")
+            splits = batch.column("split").to_pylist() if chosen else None
+            for row in range(batch.num_rows):
+                body, low, high = bodies[row].as_py(), near_of[row], far_of[row]
+                at = high  # the anchor's place in ``body``
+                first, last = (splits[row], min(high, splits[row] // BLOCK * BLOCK + BLOCK - 1)) if chosen else (low, high)
+                near = first
+                while near <= last:
+                    far = min(near // width * width + width - 1, last)
+                    start = near // width * width
+                    core = _core(body, at, start, width)
                     rows.append(row)
                     nears.append(near)
-                    core = body[max(at - near, 0) : at - far + LENGTH]
-                    cores.append(_signed(xxhash.xxh3_64_intdigest(core, seed=near)))
-                    hulls.append(hull_id(body, at, near, far))
+                    fars.append(far)
+                    cores.append(_signed(xxhash.xxh3_64_intdigest(core, seed=start)))
+                    hulls.append(hull_id(body, at, near, far) if width > 1 else 0)
+                    near = far + 1
             own = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(own), contents.take(own), a.take(own), pa.array(nears, pa.int32()), bucket.take(own), pa.array(cores, pa.int64()), pa.array(hulls, pa.int64())],
-                ["id", "content", "a", "near", "bucket", "core", "hull"],
-            )
+                [
+                    ids.take(own), contents.take(own), a.take(own), pa.array(nears, pa.int32()), pa.array(fars, pa.int32()),
+                    bucket.take(own), pa.array(cores, pa.int64()), pa.array(hulls, pa.int64()),
+                ],
+                ["id", "content", "a", "near", "far", "bucket", "core", "hull"],
+            )
+
+    return around.mapInArrow(run, "id bigint, content int, a bigint, near int, far int, bucket bigint, core bigint, hull bigint")
+
 
-    return around.mapInArrow(run, "id bigint, content bigint, a bigint, near int, bucket bigint, core bigint, hull bigint")
+def _core(body: bytes, at: int, start: int, width: int) -> bytes:
+    """Bytes that all windows of a whole block share: from ``start`` before the anchor to the end of the furthest window."""
+    return body[at - start : at - (start + width - 1) + LENGTH]
 
 
 def repeats(texts: DataFrame) -> DataFrame:
     """(id, content, low, high): strings of ``texts`` that hold only repeated windows; they may overlap."""
+    span = ["id", "content", (F.col("a") - F.col("far")).alias("low"), (F.col("a") - F.col("near") + LENGTH).alias("high")]
     turn0 = refined(anchor_rows(texts), ["bucket"])
-    span = lambda near, far: [
-        "id", "content", F.greatest(F.col("a") - far, F.lit(0)).alias("low"), (F.col("a") - near + LENGTH).alias("high"),
-    ]
-    spans = turn0.where("settled").select(*span(F.lit(0), F.lit(REACH)))
     around = staged(surroundings(texts, turn0.where("open")))
     turn1 = refined(block_rows(around, BLOCK), ["bucket", "core"])
-    far = F.least(F.col("near") + BLOCK, F.lit(REACH + 1)) - 1
-    spans = spans.unionByName(turn1.where("settled").select(*span(F.col("near"), far)))
     split = turn1.where("open").select(
-        F.col("id").alias("b_id"), F.col("content").alias("b_content"), F.col("a").alias("b_a"), "near"
+        F.col("id").alias("b_id"), F.col("content").alias("b_content"), F.col("a").alias("b_a"), F.col("near").alias("split"), F.col("far").alias("b_far")
     ).distinct()
-    pieces = around.join(split, _same_text(("b_id", "b_content")) & (F.col("a") == F.col("b_a"))).select(*around.columns, "near")
+    inside = F.col("split").between(F.col("near"), F.col("far"))  # long texts can have an anchor twice, with other windows
+    pieces = around.join(split, _same_text(("b_id", "b_content")) & (F.col("a") == F.col("b_a")) & inside).select(*around.columns, "split")
     turn2 = shared(block_rows(pieces, 1), ["bucket", "core"])
-    return spans.unionByName(turn2.select(*span(F.col("near"), F.col("near"))))
+    settled = [t.where("settled").select(*span) for t in (turn0, turn1)]
+    return settled[0].unionByName(settled[1]).unionByName(turn2.select(*span))
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs``."""
     body = text_of(F.col(f"`{text}`"))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.xxhash64(body).alias("content"), body.cast("binary").alias("body"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.hash(body).alias("content"), body.cast("binary").alias("body"))
     found = repeats(texts).groupBy(F.col("id").alias("r_id"), F.col("content").alias("r_content")).agg(
         F.collect_set(F.struct("low", "high")).alias("spans")
     )
@@ -303,7 +332,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                     if merged and s["low"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s["high"])
                     else:
-                        merged.append([s["low"], s["high"]])  # a hull may end after the text
+                        merged.append([s["low"], s["high"]])
                 kept, at = [], 0
                 for low, high in merged:
                     kept.append(body[at:low])
