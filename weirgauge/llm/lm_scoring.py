@@ -132,7 +132,7 @@ def packed_bigrams(hashed: DataFrame, heavy: list[int], parts: int) -> DataFrame
 
 
 def scored_entries(blobs: DataFrame, contexts: dict[int, int], common: dict[int, int]) -> DataFrame:
-    """(node, word, n, own, score, backed): sums of each document (word is null), and words it backs off to."""
+    """(node, key, n, own, score, backed): sums of each document (n is 0), and the words (key) it backs off to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(b) for b in group["blob"]]
@@ -166,13 +166,11 @@ def scored_entries(blobs: DataFrame, contexts: dict[int, int], common: dict[int,
         order, first, _ = _grouped(doc[ask], y[ask])
         at = ask[order][first] if len(ask) else ask
         times = np.add.reduceat(n[ask][order], first) if len(ask) else n[ask]
-        asked = pd.DataFrame({"node": nodes[doc[at]], "word": ys[y[at]], "n": times, "own": own_y[at], "score": 0.0, "backed": 0})
-        told = pd.DataFrame({"node": nodes, "word": None, "n": 0, "own": 0, "score": sums, "backed": backed})
-        told["word"] = pd.array([None] * len(told), dtype="Int64")
-        asked["word"] = asked["word"].astype("Int64")
+        asked = pd.DataFrame({"node": nodes[doc[at]], "key": ys[y[at]], "n": times, "own": own_y[at], "score": 0.0, "backed": 0})
+        told = pd.DataFrame({"node": nodes, "key": nodes, "n": 0, "own": 0, "score": sums, "backed": backed})
         return pd.concat([told, asked]) if len(asked) else told
 
-    return blobs.groupBy("p").applyInPandas(run, "node bigint, word bigint, n bigint, own bigint, score double, backed bigint")
+    return blobs.groupBy("p").applyInPandas(run, "node bigint, key bigint, n bigint, own bigint, score double, backed bigint")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,20 +180,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("node"), F.transform(word, lambda w: F.xxhash64(w)).alias("h")
     )
     counts = staged(hashed.select(F.explode("h").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")))
+    sizes = staged(hashed.select("node", F.size("h").alias("n"), F.try_element_at("h", F.lit(-1)).alias("last")))
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = {r["w"]: r["c"] for r in counts.where(F.col("c") * HEAVY > total).collect()}  # fewer than HEAVY rows
-    last = hashed.where(F.size("h") > 0).select(F.element_at("h", -1).alias("w"))
-    ends = {r["w"]: r["c"] for r in last.where(F.col("w").isin(list(often))).groupBy("w").agg(F.count(F.lit(1)).alias("c")).collect()}
+    last = sizes.where("n > 0")
+    ends = {r["w"]: r["c"] for r in last.where(F.col("last").isin(list(often))).groupBy(F.col("last").alias("w")).agg(F.count(F.lit(1)).alias("c")).collect()}
     contexts = {w: c - ends.get(w, 0) for w, c in often.items()} | {START: last.count()}
     parts = max(8, math.ceil(total / ENTRIES))
     found = scored_entries(packed_bigrams(hashed, list(contexts), parts), contexts, often)
-    named = found.withColumn("key", F.coalesce("word", F.xxhash64("node")))  # sums meet no word and are spread
-    joined = named.join(counts, (F.col("key") == F.col("w")) & F.col("word").isNotNull(), "left")
-    back = F.when(F.col("word").isNotNull(), F.col("n") * F.log(F.greatest(F.coalesce("c", F.lit(0)) - F.col("own"), F.lit(0.5)))).otherwise(0.0)
+    # sums have n = 0 and their document as the key: they meet no word and are spread
+    joined = found.join(counts, (F.col("key") == F.col("w")) & (F.col("n") > 0), "left")
+    back = F.when(F.col("n") > 0, F.col("n") * F.log(F.greatest(F.coalesce("c", F.lit(0)) - F.col("own"), F.lit(0.5)))).otherwise(0.0)
     sums = joined.groupBy("node").agg(F.sum(F.col("score") + back).alias("gain"), F.sum("backed").alias("n_backed"))
-    sizes = hashed.groupBy("node").agg(F.sum(F.size("h")).cast("bigint").alias("n_words"))
+    lengths = sizes.groupBy("node").agg(F.sum("n").cast("bigint").alias("n_words"))
     rest = F.log(F.lit(ALPHA)) - F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)))
-    return sizes.join(sums, "node", "left").select(
+    return lengths.join(sums, "node", "left").select(
         "node",
         "n_words",
         F.coalesce("n_backed", F.lit(0)).cast("bigint").alias("n_backed"),
