@@ -47,12 +47,16 @@ _own_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made.
+    Only where that is unset and the session runs on one machine (tests) a local folder
+    is made; executors elsewhere would not see it.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: the session runs on {master!r}")
     _own_folder = _own_folder or tempfile.mkdtemp(prefix="weirgauge-stage-")
     return _own_folder
 
