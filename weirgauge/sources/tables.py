@@ -19,8 +19,8 @@ def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def insert_missing(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key is not stored yet; the caller appends them."""
-    return rows.join(existing.select(*keys).distinct(), keys, "left_anti")
+    """One row for each key that is not stored yet; the caller appends them."""
+    return rows.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def apply_retention(df: DataFrame, ts: str, days: int | None, now: Column) -> DataFrame:

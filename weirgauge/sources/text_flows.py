@@ -79,7 +79,7 @@ def normal_name(name: Column) -> Column:
 def _cells(line: Column, delimiter: str) -> Column:
     """Cells of a CSV line; only lines with quotes take the slower quoted path."""
     sep = "\\" + delimiter if delimiter in r"|.*+?^$()[]{}\\" else delimiter
-    quoted = F.regexp_extract_all(line, F.lit(rf'((?<=^|{sep})(?:"(?:[^"]|"")*"|[^{sep}]*))(?={sep}|$)'), 1)
+    quoted = F.regexp_extract_all(line, F.lit(rf'((?<=^|{sep})(?:"(?:[^"]++|"")*+"|[^{sep}]*+))(?={sep}|$)'), 1)
     bare = F.transform(quoted, lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
     return F.when(line.contains('"'), bare).otherwise(F.split(line, sep, -1))
 
