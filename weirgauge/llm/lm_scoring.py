@@ -34,7 +34,7 @@ from weirgauge.session import staged
 ALPHA = 0.4
 HEAVY = 1000
 ENTRIES = 1_500_000  # bigrams of a partition, about
-TOKENS = 2_000_000  # words of the documents that are packed together
+TOKENS = 1_000_000  # words of the documents that are packed together
 START = 1  # context of a first word
 NO_ID = -(2**63)
 FIELDS = (("docs", "<i8"), ("xs", "<i8"), ("ys", "<i8"), ("doc", "<u4"), ("x", "<u4"), ("y", "<u4"), ("n", "<u4"), ("own_x", "<u4"), ("own_y", "<u4"))
@@ -62,16 +62,16 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bigram_entries(nodes: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Distinct bigrams of each document: doc (index), x, y, n and the document's counts of x as context and of y."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     x = np.concatenate([[START], y[:-1]]).astype(np.int64) if len(y) else y
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     x[starts] = START
     order, first, _ = _grouped(doc, x, y)
-    n = np.diff(np.append(first, len(order)))
+    n = np.diff(np.append(first, len(order))).astype(np.int32)
     out = {"doc": doc[order][first], "x": x[order][first], "y": y[order][first], "n": n}
     for name, key in (("own_x", "x"), ("own_y", "y")):
         order, first, group = _grouped(out["doc"], out[key])
-        own = np.empty(len(n), dtype=np.int64)
+        own = np.empty(len(n), dtype=np.int32)
         own[order] = np.add.reduceat(n[order], first)[group] if len(n) else n
         out[name] = own
     return out
@@ -125,7 +125,9 @@ def packed_bigrams(hashed: DataFrame, heavy: list[int], parts: int) -> DataFrame
                 cuts = np.flatnonzero(np.diff(p[order])) + 1
                 blocks = [b for b in np.split(order, cuts) if len(b)]
                 blobs = [_packed(nodes[low:high], e, b, press) for b in blocks]
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[b[0]]) for b in blocks], pa.int64()), pa.array(blobs, pa.binary())], ["p", "blob"])
+                out = pa.RecordBatch.from_arrays([pa.array([int(p[b[0]]) for b in blocks], pa.int64()), pa.array(blobs, pa.binary())], ["p", "blob"])
+                del e, p, order, blocks, blobs  # not held while the next documents are packed
+                yield out
                 low = high
 
     return hashed.mapInArrow(run, "p bigint, blob binary")
