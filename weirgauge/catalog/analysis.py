@@ -33,8 +33,7 @@ ev AS (SELECT r.sensor, t5.interface_id, peak_time, w.w AS window_seconds, src_i
  FROM rated r JOIN t5 ON r.sensor = t5.sensor AND r.{side} = t5.interface_id AND abs(date_diff('second', peak_time, flow_time)) <= 60
  JOIN (VALUES (5), (15), (30), (60)) w(w) ON abs(date_diff('second', peak_time, flow_time)) <= w.w GROUP BY ALL),
 er AS (SELECT *, packets / (window_seconds * 2) AS packets_s, bytes * 8 / (window_seconds * 2) AS bits_s FROM ev),
-ek AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id, peak_time, window_seconds ORDER BY {metric} DESC, packets DESC, bytes DESC, src_ip, src_port, dst_ip, dst_port, proto) AS flow_rank FROM er),
-e2 AS (SELECT *, CASE proto WHEN 17 THEN 'udp' WHEN 6 THEN 'tcp' ELSE 'icmp' END AS protocol FROM ek WHERE flow_rank <= 200),
+e2 AS (SELECT *, CASE proto WHEN 17 THEN 'udp' WHEN 6 THEN 'tcp' ELSE 'icmp' END AS protocol FROM er),
 g AS (SELECT sensor, interface_id, peak_time, window_seconds, dst_ip, dst_port, protocol, sum(packets)::BIGINT AS total_packets, sum(bytes)::BIGINT AS total_bytes, max(packets_s) AS max_packets_s, max(bits_s) AS max_bits_s, count(DISTINCT src_ip) AS unique_src_count FROM e2 GROUP BY ALL),
 gt AS (SELECT *, total_packets::DOUBLE / (sum(total_packets) OVER k)::DOUBLE * 100 AS share_packets, total_bytes::DOUBLE / (sum(total_bytes) OVER k)::DOUBLE * 100 AS share_bits FROM g WINDOW k AS (PARTITION BY sensor, interface_id, peak_time, window_seconds)),
 gd AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id, peak_time, window_seconds ORDER BY {share} DESC, {top} DESC, dst_ip, dst_port, protocol) AS rn FROM gt),
@@ -55,7 +54,7 @@ def _found(s, d, direction, metric):
 
 def _judged(s, d, direction, metric):
     rows, current, found = _found(s, d, direction, metric)
-    return plan.judged_peaks(found, plan.evidence_flows(rows, current, found, direction, metric), metric)
+    return plan.judged_peaks(found, plan.evidence_flows(rows, current, found, direction), metric)
 
 
 for _direction, _metric in (("receives", "packets_s"), ("sends", "bits_s")):
@@ -83,11 +82,11 @@ _ARGS = ("receives", "packets_s")
 
 @query(
     "peak_evidence_flows",
-    f"{peak_sql(*_ARGS)} SELECT sensor, interface_id, peak_time, window_seconds, src_ip, src_port, dst_ip, dst_port, proto, raw_bytes, raw_packets, bytes, packets, flow_count, effective_sample_rate, first_seen, last_seen, round(packets_s, 3)::DOUBLE AS packets_s, round(bits_s, 3)::DOUBLE AS bits_s, flow_rank FROM e2",
+    f"{peak_sql(*_ARGS)} SELECT sensor, interface_id, peak_time, window_seconds, src_ip, src_port, dst_ip, dst_port, proto, raw_bytes, raw_packets, bytes, packets, flow_count, effective_sample_rate, first_seen, last_seen, round(packets_s, 3)::DOUBLE AS packets_s, round(bits_s, 3)::DOUBLE AS bits_s FROM e2",
 )
 def _evidence(s, d):
     rows, current, found = _found(s, d, *_ARGS)
-    out = plan.evidence_flows(rows, current, found, *_ARGS)
+    out = plan.evidence_flows(rows, current, found, _ARGS[0])
     return out.drop("direction", "input_if", "output_if", "db_sample_rate").withColumns(
         {c: F.round(c, 3) for c in ("packets_s", "bits_s")}
     )
@@ -99,7 +98,7 @@ def _evidence(s, d):
 )
 def _groups(s, d):
     rows, current, found = _found(s, d, *_ARGS)
-    evidence = plan.evidence_flows(rows, current, found, *_ARGS)
+    evidence = plan.evidence_flows(rows, current, found, _ARGS[0])
     out = peaks.vector_groups(evidence, [*plan.SERIES, "peak_time", "window_seconds"])
     return out.select(
         "sensor", "interface_id", "peak_time", "window_seconds", "dst_ip", "dst_port", "protocol", "total_packets", "total_bytes",
@@ -113,7 +112,7 @@ def _groups(s, d):
 )
 def _sources(s, d):
     rows, current, found = _found(s, d, *_ARGS)
-    evidence = plan.evidence_flows(rows, current, found, *_ARGS)
+    evidence = plan.evidence_flows(rows, current, found, _ARGS[0])
     return peaks.vector_sources(evidence, ["sensor", "interface_id", "peak_time", "window_seconds"])
 
 
@@ -126,7 +125,7 @@ SELECT * FROM q2 WHERE endpoint_rank <= 20""",
     )(
         lambda s, d, side=_side: (
             lambda r: peaks.top_endpoints(
-                plan.evidence_flows(r[0], r[1], r[2], *_ARGS).filter("window_seconds = 60"), ["sensor", "interface_id", "peak_time"], side
+                plan.evidence_flows(r[0], r[1], r[2], _ARGS[0]).filter("window_seconds = 60"), ["sensor", "interface_id", "peak_time"], side
             )
         )(_found(s, d, *_ARGS))
     )

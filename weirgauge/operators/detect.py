@@ -46,10 +46,10 @@ def grouping_of(group_by: Column, detection_key: Column | None = None) -> Column
 def _top_port(weight: Column, port: str) -> Column:
     """Port of the heaviest row, the higher port on a tie.
 
-    Weight and port share one integer, so this is a plain maximum and the aggregation
-    stays a hash aggregation.
+    Weight and port share one number, so this is a plain maximum and the aggregation
+    stays a hash aggregation; a decimal holds any weight.
     """
-    return (F.max(weight * 65536 + F.col(port)) % 65536).cast("int")
+    return (F.max(weight.cast("decimal(20,0)") * 65536 + F.col(port)) % 65536).cast("int")
 
 
 def _group_sums(seconds: Column, fixed: list[str] | None = None) -> list[Column]:

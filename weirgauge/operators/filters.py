@@ -221,10 +221,14 @@ def filter_predicate(item: dict[str, Any]) -> Column:
         return ~F.coalesce(F.col("whitelisted"), F.lit(False)) if values[0] else F.lit(True)
     if field == "addressing_mode" and "both" in values:
         return F.lit(True)
-    if field == "protocol" and [str(v).lower() for v in values] == ["dns"]:
-        dns = (F.col("proto") == 17) & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
-        return ~dns if operator in NEGATIVE else dns
     positive = NEGATIVE.get(operator, operator)
+    if field == "protocol" and any(str(v).lower() == "dns" for v in values):
+        hit = (F.col("proto") == 17) & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
+        numbers = [v for v in values if str(v).lower() != "dns"]
+        if numbers:
+            hit = hit | _positive(F.col("proto"), field, positive, numbers)
+        hit = F.coalesce(hit, F.lit(False))
+        return ~hit if operator in NEGATIVE else hit
     tests = [F.coalesce(_positive(F.col(c), field, positive, values), F.lit(False)) for c in FILTER_COLUMNS[field]]
     hit = reduce(lambda a, b: a | b, tests)
     return ~hit if operator in NEGATIVE else hit

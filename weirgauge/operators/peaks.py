@@ -145,7 +145,7 @@ def peak_evidence(
 
 
 def top_peak_flows(evidence: DataFrame, keys: list[str], metric: str = "packets_s", k: int = MAX_PEAK_FLOWS) -> DataFrame:
-    """The ``k`` heaviest 5-tuples per peak and window."""
+    """A listing of the ``k`` heaviest 5-tuples per peak and window; totals and classes take all evidence."""
     order = Window.partitionBy(*keys).orderBy(
         F.desc(metric), F.desc("packets"), F.desc("bytes"), "src_ip", "src_port", "dst_ip", "dst_port", "proto"
     )

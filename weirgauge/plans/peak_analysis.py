@@ -33,11 +33,9 @@ def find_peaks(
     return staged(peaks.top_peaks(found, SERIES, max_peaks))
 
 
-def evidence_flows(
-    flows: DataFrame, current: DataFrame, found: DataFrame, direction: str, metric: str = "packets_s"
-) -> DataFrame:
-    keys = [*SERIES, "peak_time", "window_seconds"]
-    return staged(peaks.top_peak_flows(peaks.peak_evidence(found, flows, current, direction), keys, metric))
+def evidence_flows(flows: DataFrame, current: DataFrame, found: DataFrame, direction: str) -> DataFrame:
+    """Every 5-tuple around each peak, once for each window; ``peaks.top_peak_flows`` lists the heaviest."""
+    return staged(peaks.peak_evidence(found, flows, current, direction))
 
 
 def judged_peaks(found: DataFrame, evidence: DataFrame, metric: str = "packets_s") -> DataFrame:

@@ -99,8 +99,14 @@ class QuerySpec:
     def seconds(self) -> float:
         return max(1.0, (self.end - self.start).total_seconds())
 
+    @property
+    def bucket_seconds(self) -> int:
+        return self.resolution or series.choose_bucket(self.start, self.end, 1000)
+
     def rollup_name(self) -> str | None:
         """The rollup that answers this request together with raw edge minutes, if any does."""
+        if self.kind != "top_n" and self.bucket_seconds % 60:
+            return None  # rollups know minutes only
         if self.filters:
             held = set(rollup.RATE_KEYS[1:])
             name = ROLLUP_OF.get(self.dimension) if self.kind == "top_n" else "series"
@@ -143,7 +149,7 @@ class QuerySpec:
 
     def _series(self, rows: DataFrame, config: DataFrame | None) -> DataFrame:
         source = series.GROUP_KEYS[self.group_by]
-        size = self.resolution or series.choose_bucket(self.start, self.end, 1000)
+        size = self.bucket_seconds
         # Sub-minute buckets need raw rows; the counters keep just what the series and the rates look at.
         at = "minute" if "minute" in rows.columns else "flow_time"
         flow_column = "flows" if "flows" in rows.columns else "flow_count"
@@ -187,7 +193,8 @@ class TableRequest:
             raise ValueError("the window exceeds the limit")
         if self.interface is not None and int(self.interface) < 1:
             raise ValueError("interface must be positive")
-        self.limit = max(1, min(100, int(self.limit)))
+        if not 1 <= int(self.limit) <= topn.MAX_ITEMS:
+            raise ValueError(f"limit must be between 1 and {topn.MAX_ITEMS}")
 
     def rows(self, flows: DataFrame) -> DataFrame:
         rows = flt.by_protocol(flt.by_sensor(flt.in_range(flows, self.start, self.end), self.sensor), self.protocol)
@@ -201,6 +208,8 @@ class TableRequest:
         size = max(1, series.effective_interval_ms(int(seconds * 1000), self.interval_ms, self.max_points) // 1000)
         wanted = ("upload", "download") if self.direction == "both" else (self.direction,)
         split = series.direction_split(self.rows(flows)).filter(F.col("direction").isin(*wanted))
+        if self.interface is not None:  # the split also yields the other interface of each flow
+            split = split.filter(F.col("interface_id") == int(self.interface))
         keys = {"direction": "direction", "sensor": "sensor", "interface": "interface_id", "protocol": "proto"}[self.group_by]
         parts = []
         for direction in wanted:
