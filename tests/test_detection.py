@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from weirgauge.functions import ip
-from weirgauge.operators import advise, detect, grouping, learn, peaks, prefixes
+from weirgauge.operators import advise, detect, grouping, learn, peaks, prefixes, rates
+from weirgauge.plans import peak_analysis
 from weirgauge.sources import text_flows
 from weirgauge.streaming import ingest as si
 
@@ -180,3 +181,27 @@ def test_stream_restart_neither_loses_nor_repeats(spark, tmp_path):
     merged = si.read_table(spark, str(root), "dash_dst_port").collect()
     assert [(r["packets"], r["flows"]) for r in merged] == [(20, 4)]  # the late file adds to the old minute
     assert si.read_table(spark, str(root), "quarantine").count() == 2
+
+
+def test_vector_groups_count_every_source(spark):
+    at = F.timestamp_seconds(F.lit(1_783_685_400))
+    found = spark.range(1).select(F.lit("edge-0").alias("sensor"), F.lit(1).cast("bigint").alias("interface_id"), F.lit("receives").alias("direction"), at.alias("peak_time"))
+    flows = spark.range(5000).select(
+        F.lit("edge-0").alias("sensor"), F.lit("192.0.2.10").alias("exporter_ip"), at.alias("flow_time"),
+        F.concat(F.lit("10.0."), F.floor(F.col("id") / 250), F.lit("."), F.col("id") % 250).alias("src_ip"), F.lit("198.51.100.7").alias("dst_ip"),
+        F.lit(4000).alias("src_port"), F.lit(53).alias("dst_port"), F.lit(17).alias("proto"), F.lit(1).cast("bigint").alias("input_if"),
+        F.lit(2).cast("bigint").alias("output_if"), F.lit(100).cast("bigint").alias("bytes"), F.lit(2).cast("bigint").alias("packets"),
+        F.lit(1).cast("bigint").alias("flow_count"), F.lit(1).cast("bigint").alias("sample_rate"),
+    )
+    config = spark.createDataFrame(
+        [("192.0.2.10", 1, 1, 1, 1, 1)], "exporter_ip string, if_index bigint, direction int, sample_rate bigint, active int, updated_at int"
+    )
+    evidence = peak_analysis.evidence_flows(flows, rates.current_rates(config), found, "receives")
+    groups = peaks.vector_groups(evidence, [*peak_analysis.SERIES, "peak_time", "window_seconds"]).collect()
+    assert {g["unique_src_count"] for g in groups} == {5000} and {g["total_packets"] for g in groups} == {10000}
+    assert peaks.top_peak_flows(evidence, ["window_seconds"], k=3).count() == 3 * len(groups)
+
+
+def test_top_port_holds_any_weight(spark):
+    rows = spark.createDataFrame([(2**62, 80), (2**62, 443), (1, 65535)], "weight bigint, port int")
+    assert rows.agg(detect._top_port(F.col("weight"), "port").alias("top")).first()["top"] == 443

@@ -160,8 +160,18 @@ def test_requests_choose_a_rollup_only_when_it_fits(spark):
     assert QuerySpec("top_n", START, END, "bytes", "dst_port", filters=[{"field": "src_ip", "value": "10.0.0.0/8"}]).rollup_name() is None
     assert QuerySpec("top_n", START, END, "duration", "dst_port").rollup_name() is None
     assert not rollup.is_covered(rolled["dst_port"], START - timedelta(days=1), END)
+    hole = F.col("minute") != F.date_trunc("minute", F.lit(START + timedelta(minutes=10)))
+    assert not rollup.is_covered(rolled["dst_port"].filter(hole), START, END)
+    assert QuerySpec("timeseries", START, END, resolution=60).rollup_name() == "series"
+    assert QuerySpec("timeseries", START, END, resolution=5).rollup_name() is None
     for bad in (dict(kind="top_n", dimension="nope"), dict(kind="top_n", limit=101), dict(kind="timeseries", metric="bytes"), dict(kind="kpi", resolution=7), dict(kind="sql")):
         with pytest.raises(ValueError):
             QuerySpec(**{"start": START, "end": END, **bad})
     with pytest.raises(ValueError):
         TableRequest("traffic_bps", START - timedelta(days=8), END)
+
+
+def test_dns_beside_numbers_in_a_protocol_list(spark):
+    rows = spark.createDataFrame([(6, 1, 80), (17, 1, 53), (17, 1, 99), (1, 0, 0)], "proto int, src_port int, dst_port int")
+    kept = lambda op: sorted(tuple(r) for r in filters.apply_filters(rows, [{"field": "protocol", "operator": op, "value": ["dns", "tcp"]}]).collect())
+    assert kept("in") == [(6, 1, 80), (17, 1, 53)] and kept("not_in") == [(1, 0, 0), (17, 1, 99)]

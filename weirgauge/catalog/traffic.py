@@ -555,6 +555,39 @@ def _request_table(s, d):
     return out.withColumn("value", F.round("value", 3))
 
 
+@query(
+    "request_series_5s_with_rollup",
+    """w AS (SELECT time_bucket(INTERVAL '5 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, sum(bytes * greatest(sample_rate, 1))::BIGINT * 8 / 5.0 AS v FROM flows WHERE flow_time BETWEEN TIMESTAMP '2026-07-10 12:10:00' AND TIMESTAMP '2026-07-10 12:25:00' GROUP BY ALL) SELECT 'total' AS key, bucket, round(v, 3)::DOUBLE AS value FROM w""",
+)
+def _request_series_5s(s, d):
+    spec = specs.QuerySpec("timeseries", datetime(2026, 7, 10, 12, 10), datetime(2026, 7, 10, 12, 25), "bps", resolution=5)
+    return spec.run(flows(s, d), None, _rollups(s, d, "series")).select("key", "bucket", F.round("value", 3).alias("value"))
+
+
+@query(
+    "request_series_with_rollup_gap",
+    f"""w AS (SELECT time_bucket(INTERVAL '300 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, sum(bytes * greatest(sample_rate, 1))::BIGINT * 8 / 300.0 AS v FROM flows WHERE {_W} GROUP BY ALL) SELECT 'total' AS key, bucket, round(v, 3)::DOUBLE AS value FROM w""",
+)
+def _request_series_gap(s, d):
+    spec = specs.QuerySpec("timeseries", datetime(2026, 7, 10, 12, 10, 20), datetime(2026, 7, 10, 13, 20, 40), "bps", resolution=300)
+    gap = "minute < TIMESTAMP '2026-07-10 12:30:00' OR minute >= TIMESTAMP '2026-07-10 13:00:00'"
+    stored = {name: rows.filter(gap) for name, rows in _rollups(s, d, "series").items()}
+    return spec.run(flows(s, d), None, stored).select("key", "bucket", F.round("value", 3).alias("value"))
+
+
+@query(
+    "request_table_one_interface",
+    f"""{dims.RATE_CTE}, u AS (SELECT 'download' AS direction, flow_time, bytes * in_rate AS b FROM rated WHERE input_if = 1 UNION ALL SELECT 'upload', flow_time, bytes * out_rate FROM rated WHERE output_if = 1)
+SELECT direction, time_bucket(INTERVAL '120 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, round(sum(b)::BIGINT * 8 / 120.0, 3)::DOUBLE AS value FROM u WHERE {_W} GROUP BY ALL""",
+)
+def _request_table_interface(s, d):
+    request = specs.TableRequest(
+        "traffic_bps", datetime(2026, 7, 10, 12, 10, 20), datetime(2026, 7, 10, 13, 20, 40), interface=1, interval_ms=120_000
+    )
+    out = request.run(flows(s, d), rates.current_rates(dims.rate_config(s, d)))
+    return out.withColumn("value", F.round("value", 3))
+
+
 # --- prefix joins -----------------------------------------------------------
 
 
