@@ -165,7 +165,7 @@ def scored_entries(blobs: DataFrame, contexts: dict[int, int], common: dict[int,
         backed = np.bincount(doc[~seen], weights=n[~seen], minlength=len(nodes)).astype(np.int64)
         ask = np.flatnonzero(~seen & (known == 0))
         # entries of a document for one word, from all its contexts here, go on as one
-        order, first, _ = _grouped(doc[ask], y[ask])
+        order, first, _ = _grouped(y[ask], doc[ask])  # equal words side by side, which the shuffle compresses better
         at = ask[order][first] if len(ask) else ask
         times = np.add.reduceat(n[ask][order], first) if len(ask) else n[ask]
         asked = pd.DataFrame({"node": nodes[doc[at]], "key": ys[y[at]], "n": times, "own": own_y[at], "score": 0.0, "backed": 0})
@@ -181,9 +181,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hashed = docs.select(
         F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("node"), F.transform(word, lambda w: F.xxhash64(w)).alias("h")
     )
-    counts = staged(hashed.select(F.explode("h").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")))
+    # a word that occurs once is in no other document: the scores treat it as a word without a count
+    counts = staged(hashed.select(F.explode("h").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     sizes = staged(hashed.select("node", F.size("h").alias("n"), F.try_element_at("h", F.lit(-1)).alias("last")))
-    total = counts.agg(F.sum("c")).first()[0] or 0
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     often = {r["w"]: r["c"] for r in counts.where(F.col("c") * HEAVY > total).collect()}  # fewer than HEAVY rows
     last = sizes.where("n > 0")
     ends = {r["w"]: r["c"] for r in last.where(F.col("last").isin(list(often))).groupBy(F.col("last").alias("w")).agg(F.count(F.lit(1)).alias("c")).collect()}
