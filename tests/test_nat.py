@@ -66,6 +66,40 @@ def test_row_errors(spark):
     assert got == {1: "port_start_greater_than_port_end", 2: "port_out_of_range,public_ip_invalid", 3: ""}
 
 
+def test_mapping_lines_in_all_shapes(spark):
+    text = "\n".join(["router# cgnv6 fixed-nat inside ip-list IN nat ip-list P9, x", "NAT  Address :\t198.51.100.9", "Inside  User   Port Range", "", "10.0.0.1 1 - 2 TCP", "10.0.0.2\t3:4",
+                      "10.0.0.3 5 TO 6", "10.0.0.4 7 8 any", "10.0.0.5 7 until 8", "2001:db8::1 9-10", "x 1 2", "10.0.0.6 1-2 3"])
+    got = [tuple(r) for r in imp.parse_a10(lines(spark, text)).select("public_ip", "private_ip", "port_start", "port_end", "pool_name").orderBy("line_number").collect()]
+    want = [("10.0.0.1", 1, 2), ("10.0.0.2", 3, 4), ("10.0.0.3", 5, 6), ("10.0.0.4", 7, 8), ("2001:db8::1", 9, 10)]
+    assert got == [("198.51.100.9", *w, "P9") for w in want]
+    text = "1.2.3.4 10.0.0.1 1000-2000 tcp\n1.2.3.4;10.0.0.2; 5 : 6\n1.2.3.4,10.0.0.3,7\nname 10.0.0.1 1 2\n2001:db8::9 10.0.0.4 8 9 ANY\n1.2.3.4 10.0.0.5 1 2 gre"
+    got = [tuple(r) for r in imp.parse_generic(lines(spark, text)).select("public_ip", "private_ip", "port_start", "port_end", "protocol").orderBy("line_number").collect()]
+    assert got == [("1.2.3.4", "10.0.0.1", 1000, 2000, "tcp"), ("1.2.3.4", "10.0.0.2", 5, 6, "any"), ("2001:db8::9", "10.0.0.4", 8, 9, "any")]
+    text = "Public IP | Port Range | Private IP\n198.51.100.1|10..20|10.0.0.1\n198.51.100.1 21até30 10.0.0.2\n198.51.100.1 31 until 40 10.0.0.3\n198.51.100.1 41-50"
+    got = [tuple(r) for r in imp.parse_expanded(lines(spark, text)).select("port_start", "port_end", F.size("prior_errors")).orderBy("line_number").collect()]
+    assert got == [(10, 20, 0), (21, 30, 0), (None, None, 1), (41, 50, 1)]
+    text = "private-address = 10.0.0.1\n 1x=3\npublic-address= 1.2.3.4\nport-start=5\nsubscriber-name=a = b\nport-end=6"
+    got = [tuple(r) for r in imp.parse_key_value(lines(spark, text)).select("public_ip", "private_ip", "port_start", "port_end", "subscriber_name").collect()]
+    assert got == [("1.2.3.4", "10.0.0.1", 5, 6, "a = b")]
+
+
+def test_context_lines_are_not_ignored_lines(spark):
+    text = "NAT Address: 198.51.100.9\nPool name : OUT\nHostname: x\nInside User Port Range\nPool address: 1\n10.0.0.1 1-2\nfree text"
+    source = lines(spark, text)
+    rows = imp.parse_a10(source).select("file", "line_number", "raw_line")
+    assert sorted(r["line_no"] for r in imp.ignored_lines(source, rows).collect()) == [5, 7]
+
+
+def test_long_commands(spark):
+    comment = "x\\\" # '" * 25_000
+    text = (
+        f'add action = netmap comment="{comment}" chain=A src-address=100.70.0.0/31 to-addresses="198.51.100.0/31" to-ports=5 # {comment}\n'
+        + "add action=netmap chain=B \\\n" + "comment=y \\\n" * 2_000 + "src-address=100.70.0.2/31 to-addresses=198.51.100.2/31 to-ports='7 - 9'\n"
+    )
+    got = {(r["private_ip"], r["port_start"], r["port_end"]) for r in imp.parse_netmap(lines(spark, text)).collect()}
+    assert got == {("100.70.0.0", 5, 5), ("100.70.0.1", 5, 5), ("100.70.0.2", 7, 9), ("100.70.0.3", 7, 9)}
+
+
 def overlaps(rows):
     """Plain pairwise check."""
     bad = set()
