@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from weirgauge.functions import ip
@@ -205,3 +206,11 @@ def test_vector_groups_count_every_source(spark):
 def test_top_port_holds_any_weight(spark):
     rows = spark.createDataFrame([(2**62, 80), (2**62, 443), (1, 65535)], "weight bigint, port int")
     assert rows.agg(detect._top_port(F.col("weight"), "port").alias("top")).first()["top"] == 443
+
+
+def test_listings_return_what_is_asked(spark):
+    rows = spark.range(150).selectExpr("id AS event_id", "'peaks' AS source", "timestamp_seconds(id) AS last_seen")
+    assert detect.recent_events(rows, "peaks").count() == 150
+    assert [r["event_id"] for r in detect.recent_events(rows, "peaks", 120).collect()] == list(range(149, 29, -1))
+    with pytest.raises(ValueError, match="limit"):
+        detect.recent_events(rows, "peaks", 0)

@@ -205,9 +205,9 @@ def event_state(s, d, until="2026-07-10 13:00:00", closed=True):
 query(
     "events_upserted",
     f"""{_POINTS_CTE}, a AS (SELECT dedupe_key, min(bucket) AS fs, max(bucket) AS ls, arg_min(value, bucket) AS tv, arg_max(value, bucket) AS lv, max(value) AS pv, count(*) AS n FROM ky WHERE bucket < TIMESTAMP '2026-07-10 13:00:00' GROUP BY 1),
-b AS (SELECT dedupe_key, min(bucket) AS fs, max(bucket) AS ls, arg_min(value, bucket) AS tv, arg_max(value, bucket) AS lv, max(value) AS pv, count(*) AS n FROM ky WHERE bucket >= TIMESTAMP '2026-07-10 13:00:00' AND bucket < TIMESTAMP '2026-07-10 13:20:00' GROUP BY 1),
+b AS (SELECT dedupe_key, min(bucket) AS fs, max(bucket) AS ls, arg_min(value, bucket) AS tv, arg_max(value, bucket) AS lv, max(value) AS pv, count(*) AS n FROM ky WHERE bucket >= TIMESTAMP '2026-07-10 13:00:00' GROUP BY 1),
 u AS (SELECT coalesce(a.dedupe_key, b.dedupe_key) AS dedupe_key, coalesce(a.fs, b.fs) AS first_seen, coalesce(b.ls, a.ls) AS last_seen, coalesce(a.tv, b.tv) AS tv, coalesce(b.lv, a.lv) AS lv, greatest(coalesce(a.pv, 0), coalesce(b.pv, 0)) AS pv, coalesce(a.n, 0) + coalesce(b.n, 0) AS points, CASE WHEN b.dedupe_key IS NOT NULL THEN 'active' WHEN date_diff('second', a.ls, TIMESTAMP '2026-07-10 13:00:00') > 120 THEN 'ended' ELSE 'active' END AS st FROM a FULL JOIN b USING (dedupe_key))
-SELECT dedupe_key, first_seen, last_seen, round(tv, 3)::DOUBLE AS trigger_value, round(lv, 3)::DOUBLE AS last_value, round(pv, 3)::DOUBLE AS peak_value, points::BIGINT AS points, CASE WHEN st = 'active' AND date_diff('second', last_seen, TIMESTAMP '2026-07-10 13:20:00') > 120 THEN 'ended' ELSE st END AS status FROM u""",
+SELECT dedupe_key, first_seen, last_seen, round(tv, 3)::DOUBLE AS trigger_value, round(lv, 3)::DOUBLE AS last_value, round(pv, 3)::DOUBLE AS peak_value, points::BIGINT AS points, CASE WHEN st = 'active' AND date_diff('second', last_seen, TIMESTAMP '2026-07-10 14:01:00') > 120 THEN 'ended' ELSE st END AS status FROM u""",
 )(
     lambda s, d: (
         lambda out: _shown(out).join(out.select("dedupe_key", "status"), "dedupe_key")
@@ -215,9 +215,9 @@ SELECT dedupe_key, first_seen, last_seen, round(tv, 3)::DOUBLE AS trigger_value,
         detect.close_events(
             detect.upsert_events(
                 event_state(s, d),
-                keyed_points(s, d).withColumnRenamed("bucket", "seen_at").filter("seen_at >= TIMESTAMP '2026-07-10 13:00:00' AND seen_at < TIMESTAMP '2026-07-10 13:20:00'"),
+                keyed_points(s, d).withColumnRenamed("bucket", "seen_at").filter("seen_at >= TIMESTAMP '2026-07-10 13:00:00'"),
             ),
-            ts_lit("2026-07-10 13:20:00"),
+            ts_lit("2026-07-10 14:01:00"),
         )
     )
 )
@@ -252,7 +252,7 @@ query(
 )
 query(
     "recent_peak_events",
-    f"{_EVENTS_CTE} SELECT event_id, last_seen, severity FROM ev WHERE source = 'peaks' AND NOT is_negative_sample ORDER BY last_seen DESC, event_id LIMIT 100",
+    f"{_EVENTS_CTE} SELECT event_id, last_seen, severity FROM ev WHERE source = 'peaks' AND NOT is_negative_sample ORDER BY last_seen DESC, event_id LIMIT 1000",
 )(lambda s, d: detect.recent_events(events(s, d), "peaks", 1000).select("event_id", "last_seen", "severity"))
 query(
     "mitigation_retries",

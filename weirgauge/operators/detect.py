@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from weirgauge.functions import ip, scalars
 from weirgauge.operators import prefixes as pfx
+from weirgauge.operators.listing import first_rows
 from weirgauge.operators.ordered import ordered_scan, time_chunk
 
 # Detection timing in seconds.
 LOOKBACK, CADENCE, MIN_DURATION, CLOSE_AFTER, RETRY_WINDOW = 60, 30, 30, 120, 900
 MIN_POINTS = 2
-RECENT_LIMIT = 100
 
 # What each grouping of a rule keeps apart.
 GROUPINGS = {
@@ -486,12 +486,12 @@ def consolidate(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_events(events: DataFrame, source: str, limit: int = 20, ts: str = "last_seen") -> DataFrame:
+def recent_events(events: DataFrame, source: str, limit: int | None = None, ts: str = "last_seen") -> DataFrame:
     """Newest events of a source; peak sources leave negative samples out."""
     rows = events.filter(F.col("source") == source)
     if "is_negative_sample" in events.columns:
         rows = rows.filter(~F.coalesce(F.col("is_negative_sample"), F.lit(False)))
-    return rows.orderBy(F.desc(ts), "event_id").limit(max(1, min(RECENT_LIMIT, int(limit))))
+    return first_rows(rows.orderBy(F.desc(ts), "event_id"), limit)
 
 
 SENT, PENDING = ("sent", "queued"), ("pending", "awaiting_approval", "proposed")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.operators import ports
+from weirgauge.operators.listing import first_rows
 
 
 def live_mappings(mappings: DataFrame, batches: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def reject(batches: DataFrame, batch_id: int) -> DataFrame:
 
 
 def search_mappings(
-    mappings: DataFrame, batches: DataFrame, search: str = "", connector_id: int | None = None, limit: int = 1000
+    mappings: DataFrame, batches: DataFrame, search: str = "", connector_id: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """Live mappings that contain a text in any of six columns, by address and port."""
     rows = live_mappings(mappings, batches)
@@ -281,4 +282,4 @@ def search_mappings(
         rows = rows.filter(test)
     if connector_id is not None:
         rows = rows.filter(F.col("connector_id") == connector_id)
-    return rows.orderBy("public_ip", "port_start", "port_end", "batch_id", "private_ip").limit(max(1, min(int(limit), 5000)))
+    return first_rows(rows.orderBy("public_ip", "port_start", "port_end", "batch_id", "private_ip"), limit)

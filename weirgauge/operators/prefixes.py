@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.functions import ip, scalars
+from weirgauge.operators.listing import checked
 from weirgauge.session import staged
 
 
@@ -232,7 +233,7 @@ def geo_edges(flows: DataFrame, geo: DataFrame, group_by: str = "city", top_n: i
     )
     edges = per_detail.groupBy("src_place", "dst_place").agg(*sums, *[F.min(c).alias(c) for c in (
         "src_lat", "src_lon", "dst_lat", "dst_lon")])
-    top = edges.orderBy(F.desc("bytes"), "src_place", "dst_place").limit(max(1, min(int(top_n), 500)))
+    top = edges.orderBy(F.desc("bytes"), "src_place", "dst_place").limit(checked(top_n))
     return (
         top.join(by_proto, ["src_place", "dst_place"])
         .join(by_asn, ["src_place", "dst_place"])

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from weirgauge.functions import ip, scalars
 from weirgauge.operators import filters as flt
 from weirgauge.operators import rates
+from weirgauge.operators.listing import checked, first_rows
 
 MAX_ITEMS = 100
 OTHERS = "__others__"
@@ -110,7 +111,7 @@ def top_n(
     """
     grouped = scaled_by_key(df, dimension, config, direction).withColumn("value", metric_value(metric, seconds))
     total = grouped.agg(F.sum("value")).scalar()
-    bounded = max(1, min(MAX_ITEMS, int(limit)))
+    bounded = checked(limit, 1, MAX_ITEMS)
     shown = grouped.select("key", "value", scalars.pct(F.col("value"), total).alias("percent"))
     top = ranked(shown, bounded, "key")
     label = scalars.proto_name(F.col("key").try_cast("int")) if dimension == "protocol" else F.col("key")
@@ -123,7 +124,7 @@ def with_others(ranking: DataFrame, limit: int = 8) -> DataFrame:
 
     A ranking has at most 100 items, so the list of folded keys is bounded.
     """
-    visible = max(2, min(20, int(limit)))
+    visible = checked(limit, 2, MAX_ITEMS)
     size = ranking.agg(F.count(F.lit(1))).scalar()
     folded = (F.col("rank") >= visible) & (size > visible)
     keyed = ranking.withColumns(
@@ -158,12 +159,12 @@ def flow_search(
     decoder: str | None = None,
     order_by: str = "flow_time",
     order_dir: str = "desc",
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Scaled flow records with a rate where the exporter gave a real duration.
 
     Filter the flows before.  An unknown order falls back to time; rows without a rate
-    come last in a rate order.  Sort and limit are one top-k over the scan.
+    come last in a rate order.  With a limit, sort and limit are one top-k over the scan.
     """
     rows = rates.recorded_rate(flows) if config is None else rates.with_rate(flows, config, "auto")
     if decoder:
@@ -188,7 +189,7 @@ def flow_search(
     column = order_by if order_by in ORDERS else "flow_time"
     first = F.asc_nulls_last(column) if order_dir == "asc" else F.desc_nulls_last(column)
     ties = [F.desc("flow_time"), "src_ip", "dst_ip", "src_port", "dst_port", "raw_bytes"]
-    return records.orderBy(first, *ties).limit(max(1, min(1000, int(limit))))
+    return first_rows(records.orderBy(first, *ties), limit)
 
 
 def sensor_options(flows: DataFrame, limit: int = 500) -> DataFrame:

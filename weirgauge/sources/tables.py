@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgauge.functions import scalars
+from weirgauge.operators.listing import first_rows
 
 # Default age limits in days.
 RETENTION_DAYS = {"flow_raw": 7, "flow_1m": 30, "flow_tops_1m": 15, "dashboard": 30}
@@ -102,7 +103,7 @@ def case_lines(cases: DataFrame) -> DataFrame:
     return cases.select(F.to_json(case, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def export_cases(cases: DataFrame, path: str, limit: int = 1000) -> None:
-    """Newest ``limit`` cases as JSON lines."""
-    newest = cases.orderBy(F.desc("peak_time"), F.desc("created_at"), F.desc("id")).limit(int(limit))
+def export_cases(cases: DataFrame, path: str, limit: int | None = None) -> None:
+    """Cases as JSON lines, newest first; only the newest ``limit`` where one is set."""
+    newest = first_rows(cases.orderBy(F.desc("peak_time"), F.desc("created_at"), F.desc("id")), limit)
     case_lines(newest).write.mode("overwrite").text(path)
