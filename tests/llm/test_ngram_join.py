@@ -68,6 +68,39 @@ def test_components_equal_those_of_all_pairs(spark, monkeypatch, seed, boundary)
     assert got == brute(rows)
 
 
+def pages_and_passage(page, small):
+    """Pages A and B of ``page`` shingles that are linked, and smaller texts that share all their rare shingles.
+
+    A and B end in a passage and differ in two of its words.  Everything else in them, and in the smaller
+    texts that hold the passage, stands in more texts, so that the passage comes first in the order.
+    """
+    passage = [f"p{k}" for k in range(52)]
+    fill = lambda name, n: [f"{name}{k}" for k in range(n)]
+    article, other = fill("a", page + 2 - 52), fill("b", small + 2 - 52)
+    out = [other + passage]
+    for version in "xy":
+        changed = list(passage)
+        changed[20], changed[30] = version, version + version
+        out.append(article + changed)
+    out.append([*out[0], "end"])
+    for k in range(3):
+        for start in (article, other):
+            out.append([*start, *passage[:2], *fill(f"t{start[0]}{k}", 100)])
+        out.append([*fill(f"f{k}", 60), *passage[18:23], *fill(f"g{k}", 60), *passage[28:33], *fill(f"h{k}", 60)])
+    out += [[*text, "end"] for text in out[4:]]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize(("page", "small"), [(200, 150), (212, 176)])
+def test_smaller_members_of_a_list_do_not_hide_larger_ones(spark, page, small):
+    rows = pages_and_passage(page, small)
+    want = brute(rows)
+    assert want[2] == (page, 1) and want[0] == (small, 0)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = {r["node"]: (r["n_shingles"], r["component"]) for r in ngram_join.near_classes(docs).collect()}
+    assert got == want
+
+
 def test_boundary_follows_the_costs():
     assert ngram_join.choose_boundary({}) == 1
     assert 10 <= ngram_join.choose_boundary({12: 100, 16: 100, 500: 100}) <= 20

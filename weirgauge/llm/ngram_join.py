@@ -11,9 +11,11 @@ sets agree in a whole segment, and a set that shares no segment has no link.  Wh
 has its shingles counted exactly; a set enters the lists of its rarest shingles only
 (prefix of 0.1 n + 1), and a place in that order bounds the overlap that is still possible.
 
-Lists are never turned into all their pairs.  Each set is compared with one centre (the
-member of its lists with the fewest rare shingles); what is then still in another
-component than a fellow of a list, and can still reach the overlap, is compared with it.
+Lists are split by size, so that a list holds sets of two neighbouring steps of sizes and
+every pair that can be linked is together in one.  They are never turned into all their
+pairs.  Each set is compared with one centre (the member of its lists with the fewest rare
+shingles); what is then still in another component than a fellow of a list, and can still
+reach the overlap, is compared with it.
 Equal sets are one set throughout.  Every comparison is an exact intersection.
 
 Defined results: null and empty texts have no set, link with nothing and are their own
@@ -224,13 +226,23 @@ def list_entries(sets: DataFrame, boundary: int) -> DataFrame:
     return lists.unionByName(light)
 
 
+def by_size(entries: DataFrame) -> DataFrame:
+    """Each entry under two numbers: its step of sizes and the one below.
+
+    The sizes of a pair that can be linked are in the same step or in neighbouring ones.
+    """
+    width = math.log(DEN / NUM) * (1 + 1e-9)  # a little wider, so that rounding cannot part a pair
+    step = F.floor(F.log(F.col("n")) / width).cast("int")
+    return entries.withColumn("step", F.explode(F.array(step - 1, step)))
+
+
 def links(sets: DataFrame, boundary: int) -> DataFrame:
     """Links (u, v) that join the same sets as all links do; ``sets`` holds distinct sets."""
-    entries = staged(list_entries(sets, boundary))
-    lists = entries.groupBy("light", "key").agg(
+    entries = by_size(staged(list_entries(sets, boundary)))
+    lists = entries.groupBy("light", "key", "step").agg(
         F.min(F.struct("pos", "node", "n")).alias("c"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members")
     ).where("members > 1")
-    met = entries.join(lists, ["light", "key"])
+    met = entries.join(lists, ["light", "key", "step"])
     reach = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
     stars = (
         met.where((F.col("node") != F.col("c.node")) & _close(F.col("n"), F.col("c.n"), reach))
@@ -241,18 +253,20 @@ def links(sets: DataFrame, boundary: int) -> DataFrame:
     )
     first = staged(verified(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")), sets))
     known = components(first)
-    # a set can still need a fellow of its list if the smallest one leaves enough overlap
+    # a set can still need a fellow of its list: the best one has just the shingles from this place on, or is the smallest
+    left = F.col("n") - F.col("pos")
     placed = (
-        met.where(_close(F.col("n"), F.col("least"), F.least(F.col("n") - F.col("pos"), F.col("least"))))
+        met.where(_close(F.col("n"), F.greatest(F.col("least"), left), left))
         .join(known, "node", "left")
-        .select("light", "key", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+        .select("light", "key", "step", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     )
-    open_lists = placed.groupBy("light", "key").agg(
+    open_lists = placed.groupBy("light", "key", "step").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")
     ).where("lo < hi")
-    rest = staged(placed.join(open_lists.select("light", "key"), ["light", "key"]))
+    rest = staged(placed.join(open_lists.select("light", "key", "step"), ["light", "key", "step"]))
     other = rest.select(*[F.col(c).alias(f"{c}_2") for c in rest.columns])
-    both = rest.join(other, (F.col("light") == F.col("light_2")) & (F.col("key") == F.col("key_2")) & (F.col("node") < F.col("node_2")))
+    same = [F.col(c) == F.col(f"{c}_2") for c in ("light", "key", "step")]
+    both = rest.join(other, [*same, F.col("node") < F.col("node_2")])
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
     pairs = both.where((F.col("component") != F.col("component_2")) & _close(F.col("n"), F.col("n_2"), reach))
     return first.unionByName(verified(pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct(), sets))
