@@ -23,9 +23,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs)
 
 
+NEAR = ngram_join.Rule(width=5, num=4, den=5)  # five words, Jaccard of 0.8
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, rule=NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,29 @@ def test_smaller_members_of_a_list_do_not_hide_larger_ones(spark, page, small):
     assert got == want
 
 
+def pairwise(rows, width, num, den):
+    """Component of each id from all pairs, for texts of plain words."""
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    at = dict.fromkeys(sets)
+    for i in at:
+        at[i] = i
+    for i, j in [(i, j) for i in sorted(sets) for j in sorted(sets) if i < j]:
+        if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and at[i] != at[j]:
+            a, b = sorted((at[i], at[j]))
+            at = {k: a if c == b else c for k, c in at.items()}
+    return {i: (len(sets[i]), at[i]) for i in at}
+
+
+@pytest.mark.parametrize("boundary", [1, 11, None])
+def test_other_widths_and_thresholds(spark, monkeypatch, boundary):
+    if boundary:
+        monkeypatch.setattr(ngram_join, "choose_boundary", lambda sizes, rule: boundary)
+    rows = corpus(5)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = ngram_join.near_classes(docs, rule=ngram_join.Rule(5, 4, 5)).collect()
+    assert {r["node"]: (r["n_shingles"], r["component"]) for r in got} == pairwise(rows, 5, 4, 5)
+
+
 def test_boundary_follows_the_costs():
     assert ngram_join.choose_boundary({}) == 1
     assert 10 <= ngram_join.choose_boundary({12: 100, 16: 100, 500: 100}) <= 20

@@ -28,6 +28,16 @@ def test_stages_in_order(spark):
     assert {r["doc_id"] for r in packed} == ids
 
 
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    texts = []
+    for name, size, places in (("a", 50, (20,)), ("b", 100, (30, 60)), ("c", 100, (20, 50, 80))):
+        words = [f"{name}{k}" for k in range(size)]
+        texts += [words, [f"{name}new" if k in places else w for k, w in enumerate(words)]]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", "x", 1) for i, w in enumerate(texts)], SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]  # 41 of 51, 86 of 106, and 81 of 111 shingles
+
+
 def test_line_dedup_edges(spark):
     got = line_dedup.cut_lines(spark.createDataFrame(ROWS, SCHEMA)).collect()
     kept = {(r["row"]["doc_id"], r["row"]["text"] and r["row"]["text"][:3]): (r["n_removed"], r["kept"]) for r in got}

@@ -7,9 +7,12 @@ rarest first, are scanned.  The boundary is the one of least cost for the sizes
 
 Heavy sets without any partner are dropped before lists are built: the shingles of a set
 are dealt by hash to one segment more than a linked pair can differ in, so that linked
-sets agree in a whole segment, and a set that shares no segment has no link.  What stays
+sets agree in a whole segment, and a set that shares no segment has no link.  Empty segments
+count only for sets that have so many that a pair could agree in nothing else.  What stays
 has its shingles counted exactly; a set enters the lists of its rarest shingles only
-(prefix of 0.1 n + 1), and a place in that order bounds the overlap that is still possible.
+(prefix of 0.1 n + 1 at 0.9), and a place in that order bounds the overlap that is still possible.
+
+Shingle width and threshold are a ``Rule``; three words and 0.9 are those of op7's contract.
 
 Lists are split by size, so that a list holds sets of two neighbouring steps of sizes and
 every pair that can be linked is together in one.  They are never turned into all their
@@ -20,7 +23,7 @@ Equal sets are one set throughout.  Every comparison is an exact intersection.
 
 Defined results: null and empty texts have no set, link with nothing and are their own
 component; rows sharing an id (null counts as an id) are one document with the links of
-any of them; one or two words make one shingle; an empty table gives no rows.
+any of them; fewer words than a shingle has make one shingle; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,66 +43,82 @@ from weirgauge.llm.common import documents, lower_ascii, query, text_of, words
 from weirgauge.llm.components import components
 from weirgauge.session import staged
 
-NUM, DEN = 9, 10  # Jaccard of 0.9
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the least Jaccard of a link as a fraction."""
+
+    width: int = 3
+    num: int = 9
+    den: int = 10
+
+
+CONTRACT = Rule()
 LARGEST_BOUNDARY = 40
 CLASS_RATIO = 1.5  # sizes of a class of heavy sets differ by this factor at most
 NO_ID = -(2**63)
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule = CONTRACT) -> DataFrame:
     """(node, sh) for each row; sh holds distinct 64-bit shingle hashes in ascending order."""
     rows = docs.select(
         F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("node"),
         words(lower_ascii(text_of(F.col(f"`{text}`")))).alias("w"),
     )
-    three = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
-    one = F.array(F.when(F.size("w") == 1, F.xxhash64(F.get("w", 0))).otherwise(F.xxhash64(F.get("w", 0), F.get("w", 1))))
+    word = lambda k: F.get("w", k if isinstance(k, Column) else F.lit(k))
+    full = F.transform("w", lambda x, i: F.xxhash64(x, *[word(i + k) for k in range(1, rule.width)]))
+    short = F.array(F.xxhash64(*[word(k) for k in range(max(1, rule.width - 1))]))  # words that are not there do not count
     raw = (
-        F.when(F.size("w") >= 3, F.slice(three, 1, F.size("w") - 2))
-        .when(F.size("w") > 0, one)
+        F.when(F.size("w") >= rule.width, F.slice(full, 1, F.size("w") - (rule.width - 1)))
+        .when(F.size("w") > 0, short)
         .otherwise(F.array().cast("array<bigint>"))
     )
     return rows.select("node", F.sort_array(F.array_distinct(raw)).alias("sh"))
 
 
-def least_overlap(n: int, m: int) -> int:
+def least_overlap(n: int, m: int, rule: Rule = CONTRACT) -> int:
     """Smallest overlap of a linked pair of these sizes."""
-    return -(-NUM * (n + m) // (NUM + DEN))
+    return -(-rule.num * (n + m) // (rule.num + rule.den))
 
 
-def most_apart(total: int) -> int:
+def most_apart(total: int, rule: Rule = CONTRACT) -> int:
     """Largest number of shingles that only one of a linked pair has, for the sum of their sizes."""
-    return (DEN - NUM) * total // (NUM + DEN)
+    return (rule.den - rule.num) * total // (rule.num + rule.den)
 
 
-def light_tags(size: int, boundary: int) -> range:
+def light_tags(size: int, boundary: int, rule: Rule = CONTRACT) -> range:
     """Sizes of the smaller set of the light pairs that a set of ``size`` can be in."""
-    return range(-(-NUM * size // DEN), min(size, boundary - 1) + 1)
+    return range(-(-rule.num * size // rule.den), min(size, boundary - 1) + 1)
+
+
+def prefix_beyond_one(size: int | Column, rule: Rule) -> int | Column:
+    """A linked partner has one of the rarest shingles of a set, this many and one."""
+    most = size * (rule.den - rule.num)
+    return most // rule.den if isinstance(size, int) else F.call_function("div", most, F.lit(rule.den))
 
 
-def light_cost(size: int, boundary: int) -> int:
-    return sum(math.comb(size, least_overlap(n, n)) for n in light_tags(size, boundary))
+def light_cost(size: int, boundary: int, rule: Rule = CONTRACT) -> int:
+    return sum(math.comb(size, least_overlap(n, n, rule)) for n in light_tags(size, boundary, rule))
 
 
-def choose_boundary(sizes: dict[int, int]) -> int:
+def choose_boundary(sizes: dict[int, int], rule: Rule = CONTRACT) -> int:
     """Boundary of least cost; ``sizes`` counts sets by size (those above the largest boundary are heavy anyway)."""
 
     def cost(boundary: int) -> int:
         total = 0
         for size, count in sizes.items():
-            total += count * light_cost(size, boundary)
+            total += count * light_cost(size, boundary, rule)
             if size >= boundary:  # keys of segments, counted and joined; shingles, the same; places in lists
-                total += count * (2 * (most_apart(2 * size) + 1) + 2 * size + size // DEN + 1)
+                total += count * (2 * (most_apart(2 * size, rule) + 1) + 2 * size + prefix_beyond_one(size, rule) + 1)
         return total
 
     return min(range(1, LARGEST_BOUNDARY + 1), key=cost)
 
 
-def subset_keys(sh: Iterable[int], boundary: int) -> Iterator[int]:
+def subset_keys(sh: Iterable[int], boundary: int, rule: Rule = CONTRACT) -> Iterator[int]:
     """Hashes of the fixed-size subsets of one set; ``sh`` ascending."""
     values = np.asarray(sh, dtype=np.int64)
-    for n in light_tags(len(values), boundary):
-        size = least_overlap(n, n)
+    for n in light_tags(len(values), boundary, rule):
+        size = least_overlap(n, n, rule)
         for chosen in itertools.combinations(range(len(values)), size):
             key = values[list(chosen)].tobytes()
             yield xxhash.xxh64_intdigest(key, seed=n) - 2**63
@@ -121,26 +141,30 @@ def size_classes(boundary: int, largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(lengths: np.ndarray, values: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) for every segment of the heavy sets.
+def segment_keys(
+    lengths: np.ndarray, values: np.ndarray, boundary: int, rule: Rule = CONTRACT
+) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key) for the segments of the heavy sets.
 
     ``values`` holds the sets one after another.  Pairs of one size class meet under the
-    class's tag, pairs across two classes under the tag of their border.
+    class's tag, pairs across two classes under the tag of their border.  An empty segment
+    has a key only where a linked pair could agree in empty segments alone.
     """
     sets, keys = [], []
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     classes = size_classes(boundary, int(lengths.max(initial=0)))
     groups = []
     for number, (low, high) in enumerate(classes):
-        groups.append((2 * number, low, high, most_apart(2 * high) + 1))
-        over = high * DEN // NUM  # largest partner of a set of the class
+        groups.append((2 * number, low, high, most_apart(2 * high, rule) + 1))
+        over = high * rule.den // rule.num  # largest partner of a set of the class
         if over > high:
-            groups.append((2 * number + 1, -(-NUM * (high + 1) // DEN), over, most_apart(high + over) + 1))
-    for tag, low, high, segments in groups:
+            groups.append((2 * number + 1, -(-rule.num * (high + 1) // rule.den), over, most_apart(high + over, rule) + 1))
+    for tag, low, high, least in groups:
         own = np.flatnonzero((lengths >= low) & (lengths <= high))
         if not len(own):
             continue
         n = lengths[own]
+        segments = least + least // 16 + 1 if high < 6 * least else least  # small segments: some more, to need no empty ones
         ends = np.cumsum(n)
         at = np.arange(ends[-1]) + np.repeat(starts[own] - (ends - n), n)
         x = values[at].view(np.uint64)
@@ -148,14 +172,19 @@ def segment_keys(lengths: np.ndarray, values: np.ndarray, boundary: int) -> tupl
         slot = np.repeat(np.arange(len(own)) * segments, n) + part.astype(np.int64)
         total = np.zeros(len(own) * segments, dtype=np.uint64)
         np.add.at(total, slot, _mix(x, 2 * tag + 2))
-        number = np.tile(np.arange(segments, dtype=np.uint64), len(own)) + np.uint64((tag + 1) << 32)
-        sets.append(np.repeat(own, segments))
-        keys.append(_mix(total + _mix(number, 3), 5).view(np.int64))
+        full = np.zeros(len(own) * segments, dtype=bool)
+        full[slot] = True
+        most = np.minimum(least - 1, (rule.den - rule.num) * (n + np.minimum(high, n * rule.den // rule.num)) // (rule.num + rule.den))
+        none_needed = segments - full.reshape(len(own), segments).sum(axis=1) < segments - most
+        told = np.flatnonzero(full | ~np.repeat(none_needed, segments))
+        number = (told % segments).astype(np.uint64) + np.uint64((tag + 1) << 32)
+        sets.append(own[told // segments])
+        keys.append(_mix(total[told] + _mix(number, 3), 5).view(np.int64))
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(sets), np.concatenate(keys)) if sets else (none, none)
 
 
-def meeting_keys(sets: DataFrame, boundary: int) -> DataFrame:
+def meeting_keys(sets: DataFrame, boundary: int, rule: Rule = CONTRACT) -> DataFrame:
     """(node, key): linked sets that differ share at least one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,32 +193,33 @@ def meeting_keys(sets: DataFrame, boundary: int) -> DataFrame:
             offsets = np.asarray(column.offsets, dtype=np.int64)
             values = np.asarray(column.values)[offsets[0] : offsets[-1]]
             lengths, node = np.diff(offsets), np.asarray(batch.column("node"))
-            sets, keys = segment_keys(lengths, values, boundary)
+            sets, keys = segment_keys(lengths, values, boundary, rule)
             starts = offsets[:-1] - offsets[0]
-            small = np.flatnonzero((lengths > 0) & (NUM * lengths < DEN * boundary))
+            small = np.flatnonzero((lengths > 0) & (rule.num * lengths < rule.den * boundary))
             for one in small:
-                own = np.fromiter(subset_keys(values[starts[one] : starts[one] + lengths[one]], boundary), dtype=np.int64)
+                sh = values[starts[one] : starts[one] + lengths[one]]
+                own = np.fromiter(subset_keys(sh, boundary, rule), dtype=np.int64)
                 sets, keys = np.concatenate([sets, np.full(len(own), one)]), np.concatenate([keys, own])
             yield pa.RecordBatch.from_arrays([pa.array(node[sets]), pa.array(keys)], ["node", "key"])
 
     return sets.mapInArrow(run, "node bigint, key bigint")
 
 
-def _close(n: Column, m: Column, overlap: Column) -> Column:
+def _close(n: Column, m: Column, overlap: Column, rule: Rule) -> Column:
     """Whether sets of these sizes with this overlap are linked."""
-    return overlap * DEN >= (n + m - overlap) * NUM
+    return overlap * rule.den >= (n + m - overlap) * rule.num
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """The linked ones of ``pairs`` (u, v), by exact intersection."""
     left = sets.select(F.col("node").alias("u"), F.col("sh").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("sh").alias("sv"))
     both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("su", "sv"))
-    return both.where(_close(F.size("su"), F.size("sv"), common)).select("u", "v").distinct()
+    return both.where(_close(F.size("su"), F.size("sv"), common, rule)).select("u", "v").distinct()
 
 
-def list_entries(sets: DataFrame, boundary: int) -> DataFrame:
+def list_entries(sets: DataFrame, boundary: int, rule: Rule = CONTRACT) -> DataFrame:
     """Entries of the inverted lists: (light, key, node, n, pos); pos shingles of the set come before the key's."""
     heavy = sets.where(F.size("sh") >= boundary)
     each = heavy.select("node", F.explode("sh").alias("key"))
@@ -200,7 +230,7 @@ def list_entries(sets: DataFrame, boundary: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("common"))
         .join(heavy.select("node", F.size("sh").alias("n")), "node")
     )
-    prefix = F.call_function("div", F.col("n"), F.lit(DEN)) + 1
+    prefix = prefix_beyond_one(F.col("n"), rule) + 1
     alone = F.col("n") - F.size("common")  # shingles that no other set has are the rarest
     chosen = F.slice("common", 1, F.greatest((prefix - alone).cast("int"), F.lit(0)))
     lists = ordered.select("node", "n", alone.alias("alone"), F.posexplode(chosen).alias("j", "c")).select(
@@ -210,7 +240,7 @@ def list_entries(sets: DataFrame, boundary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, sh in zip(batch.column("node").to_pylist(), batch.column("sh").to_pylist(), strict=True):
-                keys = list(subset_keys(sh, boundary))
+                keys = list(subset_keys(sh, boundary, rule))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([node] * len(keys), pa.int64()),
@@ -219,44 +249,44 @@ def list_entries(sets: DataFrame, boundary: int) -> DataFrame:
                     }
                 )
 
-    small = sets.where((F.size("sh") > 0) & (F.size("sh") * NUM < DEN * boundary))
+    small = sets.where((F.size("sh") > 0) & (F.size("sh") * rule.num < rule.den * boundary))
     light = small.mapInArrow(run, "node bigint, key bigint, n int").select(
         F.lit(True).alias("light"), "key", "node", "n", F.lit(0).alias("pos")
     )
     return lists.unionByName(light)
 
 
-def by_size(entries: DataFrame) -> DataFrame:
+def by_size(entries: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Each entry under two numbers: its step of sizes and the one below.
 
     The sizes of a pair that can be linked are in the same step or in neighbouring ones.
     """
-    width = math.log(DEN / NUM) * (1 + 1e-9)  # a little wider, so that rounding cannot part a pair
+    width = math.log(rule.den / rule.num) * (1 + 1e-9)  # a little wider, so that rounding cannot part a pair
     step = F.floor(F.log(F.col("n")) / width).cast("int")
     return entries.withColumn("step", F.explode(F.array(step - 1, step)))
 
 
-def links(sets: DataFrame, boundary: int) -> DataFrame:
+def links(sets: DataFrame, boundary: int, rule: Rule = CONTRACT) -> DataFrame:
     """Links (u, v) that join the same sets as all links do; ``sets`` holds distinct sets."""
-    entries = by_size(staged(list_entries(sets, boundary)))
+    entries = by_size(staged(list_entries(sets, boundary, rule)), rule)
     lists = entries.groupBy("light", "key", "step").agg(
         F.min(F.struct("pos", "node", "n")).alias("c"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members")
     ).where("members > 1")
     met = entries.join(lists, ["light", "key", "step"])
     reach = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
     stars = (
-        met.where((F.col("node") != F.col("c.node")) & _close(F.col("n"), F.col("c.n"), reach))
+        met.where((F.col("node") != F.col("c.node")) & _close(F.col("n"), F.col("c.n"), reach, rule))
         .groupBy("node", F.col("c.node").alias("centre"))
         .agg(F.count(F.lit(1)).alias("times"))
         .groupBy("node")
         .agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre"))
     )
-    first = staged(verified(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")), sets))
+    first = staged(verified(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")), sets, rule))
     known = components(first)
     # a set can still need a fellow of its list: the best one has just the shingles from this place on, or is the smallest
     left = F.col("n") - F.col("pos")
     placed = (
-        met.where(_close(F.col("n"), F.greatest(F.col("least"), left), left))
+        met.where(_close(F.col("n"), F.greatest(F.col("least"), left), left, rule))
         .join(known, "node", "left")
         .select("light", "key", "step", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     )
@@ -268,20 +298,22 @@ def links(sets: DataFrame, boundary: int) -> DataFrame:
     same = [F.col(c) == F.col(f"{c}_2") for c in ("light", "key", "step")]
     both = rest.join(other, [*same, F.col("node") < F.col("node_2")])
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
-    pairs = both.where((F.col("component") != F.col("component_2")) & _close(F.col("n"), F.col("n_2"), reach))
-    return first.unionByName(verified(pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct(), sets))
+    pairs = both.where((F.col("component") != F.col("component_2")) & _close(F.col("n"), F.col("n_2"), reach, rule))
+    left_over = pairs.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct()
+    return first.unionByName(verified(left_over, sets, rule))
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """(node, n_shingles, component) for each row of ``docs``; component is the smallest id reachable by links."""
-    sets = shingle_sets(docs, doc_id, text)
+    sets = shingle_sets(docs, doc_id, text, rule)
     about = staged(
         sets.select("node", F.size("sh").alias("n"), F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("second half"), "sh").alias("b"))
     )
-    counts = about.where(f"n between 1 and {LARGEST_BOUNDARY * DEN // NUM + 1}").groupBy("n").count().collect()  # one row for each small size
-    boundary = choose_boundary({r["n"]: r["count"] for r in counts})
+    small = f"n between 1 and {LARGEST_BOUNDARY * rule.den // rule.num + 1}"
+    sizes = {r["n"]: r["count"] for r in about.where(small).groupBy("n").count().collect()}  # one row for each small size
+    boundary = choose_boundary(sizes) if rule == CONTRACT else choose_boundary(sizes, rule)
     heads = staged(about.where("n > 0").groupBy("n", "a", "b").agg(F.min("node").alias("head")))
-    keys = meeting_keys(sets, boundary)
+    keys = meeting_keys(sets, boundary, rule)
     busy = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     partnered = keys.join(busy, "key").select("node").distinct()
     chosen = staged(partnered.join(heads.select(F.col("head").alias("node")).distinct(), "node", "left_semi"))
@@ -289,8 +321,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = docs.select(id_column.alias("__id"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).join(
         chosen, F.col("__id") == F.col("node"), "left_semi"
     )
-    candidates = staged(shingle_sets(texts, doc_id, text))
-    joined = links(candidates, boundary)
+    candidates = staged(shingle_sets(texts, doc_id, text, rule))
+    joined = links(candidates, boundary, rule)
     # rows that share an id, and rows with equal sets, are linked through their head
     equal = about.where("n > 0").join(heads, ["n", "a", "b"]).select(F.col("node").alias("u"), F.col("head").alias("v"))
     found = components(joined.unionByName(equal))
@@ -299,9 +331,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """One document of each class: the one with the smallest id."""
-    gone = near_classes(docs, doc_id, text).where("node != component").select("node").distinct()
+    gone = near_classes(docs, doc_id, text, rule).where("node != component").select("node").distinct()
     own = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID))
     return docs.join(gone, own == F.col("node"), "left_anti")
 
