@@ -144,3 +144,16 @@ def test_representatives_keep_the_input_columns(spark):
     kept = ngram_join.representatives(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "node", "sh"]
     assert {r["doc_id"] for r in kept.select(F.col("doc_id")).collect()} == {1, 3, 4}
+
+
+def test_representatives_keep_one_row_of_each_class(spark):
+    rows = [
+        (1, "a b c d"), (1, "A b c  d"), (None, "n o p q"), (None, "n o p q"), (None, "r s t u"),
+        (2, "e f g h"), (3, "e f g h"), (3, "only here i stand"), (7, None), (7, "k l m n"), (8, "k l m n"), (9, " "), (9, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in ngram_join.representatives(docs).collect()), key=str)
+    assert kept == sorted(
+        [(1, ["a", "b", "c", "d"]), (None, ["n", "o", "p", "q"]), (None, ["r", "s", "t", "u"]), (2, ["e", "f", "g", "h"]),
+         (3, ["only", "here", "i", "stand"]), (7, []), (7, ["k", "l", "m", "n"]), (9, []), (9, [])], key=str
+    )

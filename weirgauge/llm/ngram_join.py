@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgauge.llm.common import documents, lower_ascii, query, text_of, words
+from weirgauge.llm.common import documents, lower_ascii, packed, query, text_of, unpacked, words
 from weirgauge.llm.components import components
 from weirgauge.session import staged
 
@@ -332,10 +332,32 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
-    """One document of each class: the one with the smallest id."""
-    gone = near_classes(docs, doc_id, text, rule).where("node != component").select("node").distinct()
-    own = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID))
-    return docs.join(gone, own == F.col("node"), "left_anti")
+    """Exactly one row of each class, one with its smallest id (null first); rows without a word all stay.
+
+    A row is known by its id, and by id and words where several rows share the id.
+    """
+    own = F.coalesce(F.col(f"row.`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("id")
+    said = words(lower_ascii(text_of(F.col(f"row.`{text}`"))))
+    shared = staged(packed(docs).select(own).groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("again")))
+    rows = packed(docs).select("row", own).join(shared, "id", "left").select(
+        "row",
+        "id",
+        F.coalesce("again", F.lit(False)).alias("again"),
+        F.when(F.col("again"), F.xxhash64("id", said)).otherwise(F.col("id")).alias("node"),
+    )
+    found = near_classes(rows.select(F.col("node").alias("doc_id"), F.col(f"row.`{text}`").alias("text")), rule=rule)
+    ids = rows.where("again").select("node", "id").distinct()
+    known = staged(
+        found.where("n_shingles > 0").select("node", "component").distinct().join(ids, "node", "left").select(
+            "node", "component", F.coalesce("id", "node").alias("id")
+        )
+    )
+    first = known.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    gone = staged(known.join(first, "component").where(F.col("node") != F.col("first.node")).select("node"))
+    wordless = F.size(said) == 0
+    single = rows.where(~F.col("again") | wordless).join(gone, "node", "left_anti")
+    several = rows.where(F.col("again") & ~wordless).join(gone, "node", "left_anti").dropDuplicates(["node"])
+    return unpacked(single.select("row").unionByName(several.select("row")), docs.columns)
 
 
 @query("op7_ngram_join")
