@@ -9,6 +9,7 @@ from weirgauge.functions import scalars
 from weirgauge.operators import advise, grouping, peaks, rates, series
 from weirgauge.plans import peak_analysis as plan
 from weirgauge.plans import playbook as pb
+from weirgauge.plans import scheduled_scan as scan
 from weirgauge.sources import dims
 from weirgauge.sources.lineitem_flows import flows, table
 from weirgauge.sources.tables import case_lines
@@ -49,7 +50,7 @@ bp AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id ORDER BY N
 
 def _found(s, d, direction, metric):
     rows, current = flows(s, d), rates.current_rates(dims.rate_config(s, d))
-    return rows, current, plan.find_peaks(rows, current, direction, metric)
+    return rows, current, plan.find_peaks(rows, current, direction, metric, max_peaks=5)
 
 
 def _judged(s, d, direction, metric):
@@ -328,37 +329,126 @@ def _prefill(s, d):
     return peaks.prefill(rows).select("id", "metric", "direction", "start_time", "end_time")
 
 
-@query(
-    "scheduled_peak_runs",
-    f"""{dims.RATE_CTE}, jobs AS (SELECT c_custkey AS job_id, 'edge-' || (c_custkey % 3) AS sensor, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 + 1 END AS own, ['sends','receives','both'][c_custkey % 3 + 1] AS direction, ['packets_s','both'][c_custkey % 2 + 1] AS metric, 30 + c_custkey % 60 AS every,
- CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE TIMESTAMP '2026-07-10 13:00:00' - to_minutes(c_custkey % 97) END AS last_run_at, c_custkey % 6 AS runs_count FROM customer),
-due AS (SELECT * FROM jobs WHERE last_run_at IS NULL OR date_diff('second', last_run_at, TIMESTAMP '2026-07-10 13:00:00') >= every * 60),
+SCAN_NOW = "2026-07-10 13:30:00"
+
+# Both sides of every row, all protocols and each, both metrics; then every scan's points, percentiles, peaks and verdicts.
+SCAN_CTE = f"""{dims.RATE_CTE},
+jobs AS (SELECT c_custkey AS job_id, 'edge-' || (c_custkey % 3) AS sensor, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 + 1 END AS own, ['sends','receives','both'][c_custkey % 3 + 1] AS direction, ['packets_s','both'][c_custkey % 2 + 1] AS metric,
+ 30 + c_custkey % 60 AS every, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE TIMESTAMP '{SCAN_NOW}' - to_minutes(c_custkey % 97) END AS last_run_at, c_custkey % 6 AS runs_count, [20, 60, 90][c_custkey % 3 + 1] AS lookback,
+ CASE WHEN c_custkey % 7 = 0 THEN 17 ELSE -1 END AS scope, CASE WHEN c_custkey % 11 = 0 THEN 2000.0::DOUBLE END AS threshold, CASE c_custkey % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 WHEN 2 THEN 3.0 ELSE 1.5 END::DOUBLE AS factor,
+ (2 + c_custkey % 3)::DOUBLE AS min_score, CASE WHEN c_custkey % 13 = 0 THEN 1000.0::DOUBLE END AS min_value FROM customer),
+due AS (SELECT * FROM jobs WHERE last_run_at IS NULL OR date_diff('second', last_run_at, TIMESTAMP '{SCAN_NOW}') >= every * 60),
 i AS (SELECT DISTINCT sensor, input_if AS interface_id FROM flows),
 x AS (SELECT due.*, coalesce(own, i.interface_id) AS interface_id FROM due LEFT JOIN i ON own IS NULL AND i.sensor = due.sensor),
-y AS (SELECT job_id, interface_id, runs_count, unnest(CASE direction WHEN 'both' THEN ['sends','receives'] ELSE [direction] END) AS direction, metric FROM x),
-z AS (SELECT job_id, interface_id, runs_count, direction, unnest(CASE metric WHEN 'both' THEN ['packets_s','bits_s'] ELSE [metric] END) AS metric FROM y),
-n AS (SELECT *, runs_count + row_number() OVER (PARTITION BY job_id ORDER BY interface_id, direction DESC, metric DESC) AS run_number FROM z)
-SELECT job_id, interface_id, direction, metric, run_number, CASE WHEN run_number % 4 = 0 AND job_id % 2 = 1 THEN 'negative_sample' ELSE 'no_peak' END AS run_status FROM n""",
-)
-def _jobs(s, d):
-    now = F.to_timestamp(F.lit("2026-07-10 13:00:00"))
-    jobs = table(s, d, "customer").selectExpr(
+y AS (SELECT * EXCLUDE (direction), unnest(CASE direction WHEN 'both' THEN ['sends','receives'] ELSE [direction] END) AS direction FROM x),
+z AS (SELECT * EXCLUDE (metric), unnest(CASE metric WHEN 'both' THEN ['packets_s','bits_s'] ELSE [metric] END) AS metric FROM y),
+runs AS (SELECT *, runs_count + row_number() OVER (PARTITION BY job_id ORDER BY interface_id, direction DESC, metric DESC) AS run_number,
+ concat_ws('|', sensor, interface_id, direction, metric, scope, lookback, coalesce(threshold::VARCHAR, ''), factor) AS scan FROM z),
+sc AS (SELECT DISTINCT scan, sensor, interface_id, direction, metric, scope, threshold, factor, TIMESTAMP '{SCAN_NOW}' - to_minutes(lookback) AS w0, TIMESTAMP '{SCAN_NOW}' AS w1 FROM runs),
+sided AS (SELECT sensor, input_if AS interface_id, 'receives' AS direction, in_rate AS r, proto, flow_time, bytes, packets, flow_count, src_ip, src_port, dst_ip, dst_port FROM rated UNION ALL
+ SELECT sensor, output_if, 'sends', out_rate, proto, flow_time, bytes, packets, flow_count, src_ip, src_port, dst_ip, dst_port FROM rated),
+scoped AS (SELECT *, unnest([-1, proto]) AS scope FROM sided),
+pts AS (SELECT sensor, interface_id, direction, scope, time_bucket(INTERVAL '5 seconds', flow_time, TIMESTAMP '2026-07-10') AS bucket, sum(packets * r)::BIGINT / 5.0 AS packets_s, sum(bytes * r * 8)::BIGINT / 5.0 AS bits_s FROM scoped GROUP BY ALL),
+pm AS (UNPIVOT pts ON packets_s, bits_s INTO NAME metric VALUE value),
+wp AS (SELECT sc.*, bucket, value, lag(value, 1, -1) OVER w AS pv, lead(value, 1, -1) OVER w AS nv, quantile_cont(value, 0.95) OVER k AS p95q, quantile_cont(value, 0.99) OVER k AS p99q, count(*) OVER k AS n, max(value) OVER k AS top
+ FROM sc JOIN pm ON pm.sensor = sc.sensor AND pm.interface_id = sc.interface_id AND pm.direction = sc.direction AND pm.metric = sc.metric AND pm.scope = sc.scope AND bucket BETWEEN w0 AND w1 WINDOW w AS (PARTITION BY scan ORDER BY bucket), k AS (PARTITION BY scan)),
+wb AS (SELECT *, CASE WHEN n < 3 THEN top ELSE p95q END AS p95, CASE WHEN n < 3 THEN top ELSE p99q END AS p99 FROM wp),
+pk AS (SELECT scan, sensor, interface_id, direction, metric, scope, bucket AS peak_time, value AS peak_value, round_even(value / p95, 3) AS score FROM wb WHERE value >= coalesce(threshold, greatest(p99, p95 * factor)) AND value >= pv AND value >= nv),
+pt AS (SELECT DISTINCT sensor, interface_id, direction, scope, peak_time FROM pk),
+ev AS (SELECT pt.sensor, pt.interface_id, pt.direction, pt.scope, peak_time, w.w AS window_seconds, src_ip, src_port, dst_ip, dst_port, r.proto, sum(bytes * r)::BIGINT AS bytes, sum(packets * r)::BIGINT AS packets
+ FROM pt JOIN sided r ON r.sensor = pt.sensor AND r.interface_id = pt.interface_id AND r.direction = pt.direction AND (pt.scope = -1 OR pt.scope = r.proto) AND abs(date_diff('second', peak_time, flow_time)) <= 60
+ JOIN (VALUES (5), (15), (30), (60)) w(w) ON abs(date_diff('second', peak_time, flow_time)) <= w.w GROUP BY ALL),
+g AS (SELECT sensor, interface_id, direction, scope, peak_time, window_seconds, dst_ip, dst_port, CASE proto WHEN 17 THEN 'udp' WHEN 6 THEN 'tcp' ELSE 'icmp' END AS protocol, sum(packets)::BIGINT AS total_packets, sum(bytes)::BIGINT AS total_bytes,
+ max(packets / (window_seconds * 2)) AS max_packets_s, max(bytes * 8 / (window_seconds * 2)) AS max_bits_s, count(DISTINCT src_ip) AS unique_src_count FROM ev GROUP BY ALL),
+gt AS (SELECT *, total_packets::DOUBLE / (sum(total_packets) OVER k)::DOUBLE * 100 AS share_packets, total_bytes::DOUBLE / (sum(total_bytes) OVER k)::DOUBLE * 100 AS share_bits FROM g WINDOW k AS (PARTITION BY sensor, interface_id, direction, scope, peak_time, window_seconds)),
+gm AS (SELECT *, 'packets_s' AS metric, share_packets AS share, max_packets_s AS top FROM gt UNION ALL SELECT *, 'bits_s', share_bits, max_bits_s FROM gt),
+gd AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id, direction, scope, metric, peak_time, window_seconds ORDER BY share DESC, top DESC, dst_ip, dst_port, protocol) AS rn FROM gm),
+dm AS (SELECT *, share >= 20 AND (total_packets >= 1000 OR total_bytes >= 1000000) AS complete FROM gd WHERE rn = 1),
+bw AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id, direction, scope, metric, peak_time ORDER BY NOT complete, CASE WHEN complete THEN window_seconds ELSE 0 END, -share, window_seconds) AS pick,
+ CASE WHEN NOT complete THEN 'insufficient_flow_evidence' WHEN protocol = 'udp' AND dst_port = 53 AND direction = 'sends' THEN 'dns_udp_abuse_outbound' WHEN protocol = 'udp' AND unique_src_count >= 2 AND direction = 'sends' THEN 'udp_flood_outbound_to_single_destination_port'
+ WHEN protocol = 'tcp' THEN 'tcp_syn_flood_to_single_destination_port' WHEN protocol = 'icmp' THEN 'icmp_flood' ELSE 'aggregate_udp_without_dominant_vector' END AS classification FROM dm),
+jd AS (SELECT pk.*, complete, classification, count(*) OVER (PARTITION BY scan) AS peaks_detected, row_number() OVER (PARTITION BY scan ORDER BY NOT complete, score DESC, peak_value DESC, pk.peak_time) AS best
+ FROM pk JOIN bw ON bw.sensor = pk.sensor AND bw.interface_id = pk.interface_id AND bw.direction = pk.direction AND bw.scope = pk.scope AND bw.metric = pk.metric AND bw.peak_time = pk.peak_time AND pick = 1),
+an AS (SELECT runs.*, coalesce(peaks_detected, 0) AS peaks_detected, peak_time, peak_value, score, classification, coalesce(score >= min_score AND (min_value IS NULL OR peak_value >= min_value), false) AS relevant FROM runs LEFT JOIN jd ON jd.scan = runs.scan AND best = 1),
+hist AS (SELECT s_suppkey AS id, 'edge-' || (s_suppkey % 3) AS sensor, s_suppkey % 4 + 1 AS interface_id, ['sends','receives'][s_suppkey % 2 + 1] AS direction, ['packets_s','bits_s'][s_suppkey % 5 % 2 + 1] AS metric,
+ ['tcp_syn_flood_to_single_destination_port','insufficient_flow_evidence','dns_udp_abuse_outbound'][s_suppkey % 7 % 3 + 1] AS classification, TIMESTAMP '2026-07-10 12:50:00' + to_seconds(s_suppkey * 31 % 1800) AS peak_time FROM supplier),
+hd AS (SELECT an.*, (SELECT min(id) FROM hist h WHERE an.relevant AND h.sensor = an.sensor AND h.interface_id = an.interface_id AND h.direction = an.direction AND h.metric = an.metric AND h.classification = an.classification
+ AND abs(date_diff('second', h.peak_time, an.peak_time)) <= 300) AS duplicate_of_id FROM an),
+od AS (SELECT *, row_number() OVER (PARTITION BY sensor, interface_id, direction, metric, classification ORDER BY job_id, run_number) AS k FROM (SELECT sensor, interface_id, direction, metric, classification, peak_time, min((job_id, run_number)) AS run, min(run)[1] AS job_id, min(run)[2] AS run_number
+ FROM (SELECT *, (job_id, run_number) AS run FROM hd WHERE relevant AND duplicate_of_id IS NULL) GROUP BY ALL)),
+gr AS (WITH RECURSIVE r AS (SELECT sensor, interface_id, direction, metric, classification, k, [{{'job': job_id, 'run': run_number, 'at': peak_time}}] AS stored FROM od WHERE k = 1
+ UNION ALL SELECT r.sensor, r.interface_id, r.direction, r.metric, r.classification, od.k, CASE WHEN len(list_filter(stored, lambda s: abs(date_diff('second', s.at, od.peak_time)) <= 300)) > 0 THEN stored ELSE list_append(stored, {{'job': od.job_id, 'run': od.run_number, 'at': od.peak_time}}) END
+ FROM r JOIN od ON od.k = r.k + 1 AND od.sensor = r.sensor AND od.interface_id = r.interface_id AND od.direction = r.direction AND od.metric = r.metric AND od.classification = r.classification) SELECT * FROM r),
+ge AS (SELECT sensor, interface_id, direction, metric, classification, max_by(stored, k) AS stored FROM gr GROUP BY ALL),
+st AS (SELECT hd.*, list_filter(stored, lambda s: abs(date_diff('second', s.at, hd.peak_time)) <= 300)[1] AS by_run FROM hd LEFT JOIN ge ON hd.relevant AND hd.duplicate_of_id IS NULL AND ge.sensor = hd.sensor AND ge.interface_id = hd.interface_id AND ge.direction = hd.direction AND ge.metric = hd.metric AND ge.classification = hd.classification),
+fin AS (SELECT *, by_run.job IS NOT NULL AND (by_run.job <> job_id OR by_run.run <> run_number) AS repeats FROM st),
+told AS (SELECT *, CASE WHEN repeats THEN by_run.job END AS duplicate_of_job, CASE WHEN repeats THEN by_run.run END AS duplicate_of_run, CASE WHEN relevant AND (duplicate_of_id IS NOT NULL OR repeats) THEN 'skipped_duplicate' WHEN relevant THEN 'success'
+ WHEN run_number % 4 = 0 AND job_id % 2 = 1 THEN 'negative_sample' ELSE 'no_peak' END AS run_status FROM fin)"""
+
+
+def scan_jobs(s, d):
+    return table(s, d, "customer").selectExpr(
         "c_custkey AS job_id",
         "concat('edge-', c_custkey % 3) AS sensor",
         "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 + 1 END AS interface_id",
         "array('sends','receives','both')[cast(c_custkey % 3 AS int)] AS direction",
         "array('packets_s','both')[cast(c_custkey % 2 AS int)] AS metric",
         "30 + c_custkey % 60 AS interval_minutes",
-        "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE timestampadd(MINUTE, -cast(c_custkey % 97 AS int), TIMESTAMP '2026-07-10 13:00:00') END AS last_run_at",
+        f"CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE timestampadd(MINUTE, -cast(c_custkey % 97 AS int), TIMESTAMP '{SCAN_NOW}') END AS last_run_at",
         "c_custkey % 6 AS runs_count",
-        "60 AS lookback_minutes", "3.0D AS min_peak_score", "cast(NULL AS double) AS min_peak_value",
+        "array(20, 60, 90)[cast(c_custkey % 3 AS int)] AS lookback_minutes",
+        "CASE WHEN c_custkey % 7 = 0 THEN 'udp' ELSE '' END AS protocol",
+        "CASE WHEN c_custkey % 11 = 0 THEN 2000D END AS threshold",
+        "array('high','medium','low','')[cast(c_custkey % 4 AS int)] AS level",
+        "cast(2 + c_custkey % 3 AS double) AS min_peak_score", "CASE WHEN c_custkey % 13 = 0 THEN 1000D END AS min_peak_value",
         "c_custkey % 2 = 1 AS save_negative_samples", "4 AS negative_sample_interval_runs",
+    ).withColumn("sensitivity", F.nullif("level", F.lit(""))).drop("level")
+
+
+def scan_history(s, d):
+    return table(s, d, "supplier").selectExpr(
+        "s_suppkey AS id", "concat('edge-', s_suppkey % 3) AS sensor", "s_suppkey % 4 + 1 AS interface_id",
+        "array('sends','receives')[cast(s_suppkey % 2 AS int)] AS direction", "array('packets_s','bits_s')[cast(s_suppkey % 5 % 2 AS int)] AS metric",
+        "array('tcp_syn_flood_to_single_destination_port','insufficient_flow_evidence','dns_udp_abuse_outbound')[cast(s_suppkey % 7 % 3 AS int)] AS classification",
+        "TIMESTAMP '2026-07-10 12:50:00' + make_dt_interval(0, 0, 0, s_suppkey * 31 % 1800) AS peak_time",
     )
-    interfaces = flows(s, d).select("sensor", F.col("input_if").alias("interface_id")).distinct()
-    runs = peaks.job_matrix(jobs, interfaces, now).withColumns(
-        {"score": F.lit(None).cast("double"), "peak_value": F.lit(None).cast("double")}
-    )
-    return peaks.run_outcome(runs).select("job_id", "interface_id", "direction", "metric", "run_number", "run_status")
+
+
+def scan_runs(s, d):
+    rows = flows(s, d)
+    interfaces = rows.select("sensor", F.col("input_if").alias("interface_id")).distinct()
+    runs = peaks.job_matrix(scan_jobs(s, d), interfaces, F.to_timestamp(F.lit(SCAN_NOW)))
+    return scan.scheduled_runs(rows, rates.current_rates(dims.rate_config(s, d)), runs, scan_history(s, d))
+
+
+@query(
+    "scheduled_peak_runs",
+    f"""{SCAN_CTE} SELECT job_id, interface_id, direction, metric, run_number, peaks_detected, peak_time, round(peak_value, 3)::DOUBLE AS peak_value, score::DOUBLE AS score, classification, duplicate_of_id, duplicate_of_job, duplicate_of_run, run_status FROM told""",
+)
+def _jobs(s, d):
+    return scan_runs(s, d).select(
+        "job_id", "interface_id", "direction", "metric", "run_number", "peaks_detected", "peak_time", F.round("peak_value", 3).alias("peak_value"),
+        "score", "classification", "duplicate_of_id", "duplicate_of_job", "duplicate_of_run", "run_status",
+    )
+
+
+@query(
+    "scheduled_stored_cases",
+    f"""{SCAN_CTE} SELECT job_id, run_number, sensor, interface_id, direction, metric, CASE run_status WHEN 'success' THEN peak_time ELSE TIMESTAMP '{SCAN_NOW}' END AS peak_time, CASE run_status WHEN 'success' THEN score::DOUBLE ELSE 0.0::DOUBLE END AS score,
+CASE run_status WHEN 'success' THEN classification ELSE 'no_significant_peak' END AS classification, run_status = 'negative_sample' AS is_negative_sample FROM told WHERE run_status IN ('success', 'negative_sample')""",
+)
+def _stored(s, d):
+    return scan.stored_cases(scan_runs(s, d)).drop("peak_value", "evidence_status")
+
+
+@query(
+    "scheduled_jobs_advanced",
+    f"""{SCAN_CTE}, done AS (SELECT job_id, count(*) AS n FROM told GROUP BY job_id)
+SELECT jobs.job_id, runs_count + coalesce(n, 0) AS runs_count, CASE WHEN n IS NULL THEN last_run_at ELSE TIMESTAMP '{SCAN_NOW}' END AS last_run_at FROM jobs LEFT JOIN done USING (job_id)""",
+)
+def _advanced(s, d):
+    now = F.to_timestamp(F.lit(SCAN_NOW))
+    return scan.advanced_jobs(scan_jobs(s, d), scan_runs(s, d), now).select("job_id", "runs_count", "last_run_at")
 
 
 # --- grouping ------------------------------------------------------------------

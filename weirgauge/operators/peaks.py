@@ -76,10 +76,11 @@ def local_peaks(series: DataFrame, keys: list[str], ts: str = "bucket", value: s
     )
 
 
-def top_peaks(peaks: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """The ``k`` best peaks per series; Spark keeps only ``k`` rows per key before the shuffle."""
+def top_peaks(peaks: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """Peaks ranked within their series; with ``k`` the best ones, of which Spark keeps ``k`` per key before the shuffle."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("peak_value"), "peak_time")
-    return peaks.withColumn("peak_rank", F.row_number().over(order)).filter(F.col("peak_rank") <= max(1, int(k)))
+    ranked = peaks.withColumn("peak_rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("peak_rank") <= max(1, int(k)))
 
 
 # --- evidence ----------------------------------------------------------------
@@ -368,8 +369,8 @@ def batch_duplicates(new: DataFrame, seconds: int = DUPLICATE_SECONDS) -> DataFr
     return before.withColumn("is_duplicate", F.coalesce(gap <= seconds, F.lit(False))).drop("__prev")
 
 
-def history(cases: DataFrame, filters: dict, limit: int = 200) -> DataFrame:
-    """Stored cases by equality filters and a time range, newest first."""
+def history(cases: DataFrame, filters: dict, limit: int | None = None) -> DataFrame:
+    """Stored cases by equality filters and a time range, newest first; all of them unless a limit is asked for."""
     text = ("sensor", "direction", "metric", "protocol", "evidence_status", "classification", "operator_label", "analysis_source")
     for column in text:
         if str(filters.get(column) or "").strip():
@@ -386,7 +387,8 @@ def history(cases: DataFrame, filters: dict, limit: int = 200) -> DataFrame:
     if filters.get("end_time"):
         cases = cases.filter(F.col("peak_time") <= F.to_timestamp(F.lit(str(filters["end_time"]))))
     ties = [F.desc(c) for c in ("created_at", "id", "case_key") if c in cases.columns]
-    return cases.orderBy(F.desc("peak_time"), *ties).limit(max(1, int(limit)))
+    ordered = cases.orderBy(F.desc("peak_time"), *ties)
+    return ordered if limit is None else ordered.limit(max(1, int(limit)))
 
 
 def apply_feedback(cases: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -557,17 +559,25 @@ def job_matrix(jobs: DataFrame, interfaces: DataFrame, now: Column) -> DataFrame
     )
 
 
-def run_outcome(runs: DataFrame) -> DataFrame:
-    """Status of each run from its best peak: success, skipped_duplicate, negative_sample or no_peak."""
-    relevant = (
+def relevant() -> Column:
+    """Whether the best peak of a run reaches the job's floors."""
+    return F.coalesce(
         F.col("score").isNotNull()
         & (F.col("score") >= F.coalesce("min_peak_score", F.lit(0.0)))
-        & (F.col("min_peak_value").isNull() | (F.col("peak_value") >= F.col("min_peak_value")))
+        & (F.col("min_peak_value").isNull() | (F.col("peak_value") >= F.col("min_peak_value"))),
+        F.lit(False),
     )
+
+
+def run_outcome(runs: DataFrame) -> DataFrame:
+    """Status of each run from its best peak: success, skipped_duplicate, negative_sample or no_peak."""
     every = F.coalesce(F.nullif("negative_sample_interval_runs", F.lit(0)), F.lit(1))
-    negative = F.col("save_negative_samples").cast("boolean") & (F.col("run_number") % every == 0)
-    duplicate = F.col("duplicate_of_id").isNotNull() if "duplicate_of_id" in runs.columns else F.lit(False)
+    negative = F.coalesce(F.col("save_negative_samples").cast("boolean"), F.lit(False)) & (F.col("run_number") % every == 0)
+    duplicate = F.lit(False)
+    for column in ("duplicate_of_id", "duplicate_of_run"):
+        if column in runs.columns:
+            duplicate = duplicate | F.col(column).isNotNull()
     return runs.withColumn(
         "run_status",
-        F.when(relevant & duplicate, "skipped_duplicate").when(relevant, "success").when(negative, "negative_sample").otherwise("no_peak"),
+        F.when(relevant() & duplicate, "skipped_duplicate").when(relevant(), "success").when(negative, "negative_sample").otherwise("no_peak"),
     )

@@ -192,14 +192,15 @@ def flow_search(
     return first_rows(records.orderBy(first, *ties), limit)
 
 
-def sensor_options(flows: DataFrame, limit: int = 500) -> DataFrame:
-    return (
+def sensor_options(flows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sensors, latest seen first; all of them unless a limit is asked for."""
+    options = (
         flows.filter("sensor != ''")
         .groupBy("sensor")
         .agg(F.max("flow_time").alias("last_seen"), F.count(F.lit(1)).alias("row_count"))
         .orderBy(F.desc("last_seen"), "sensor")
-        .limit(limit)
     )
+    return options if limit is None else options.limit(limit)
 
 
 def interface_rx_tx(flows: DataFrame) -> DataFrame:

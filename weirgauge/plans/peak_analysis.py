@@ -17,12 +17,12 @@ def find_peaks(
     direction: str,
     metric: str = "packets_s",
     window_seconds: int = 5,
-    max_peaks: int = 5,
+    max_peaks: int | None = None,
     sensitivity: str = "medium",
     explicit: float | None = None,
     baseline: float | tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Top peaks of every series with baseline, threshold and score."""
+    """Ranked peaks of every series with baseline, threshold and score; all unless ``max_peaks`` is given."""
     # The series is read by the baseline, the neighbour scan and the chunk totals: one scan of the flows.
     points = staged(series.interface_series(flows, current, direction, metric, window_seconds))
     based = peaks.with_baseline(points, SERIES, baseline)

@@ -44,7 +44,6 @@ ALIASES = {
 }
 OPTIONAL_TAIL = ["flows", "flow_count", "records"]
 KNOWN_NAMES = sorted({alias for listed in ALIASES.values() for alias in listed})
-AS_NAME_LENGTH = 255
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -195,14 +194,22 @@ def pick(field: str, fallback: list[str] | None = None) -> Column:
 
 
 def normalize_flows(
-    found: DataFrame, sensor: str, exporter_ip: str, sample_rate: int = 1, now: Column | None = None, fallback: list[str] | None = None
-) -> DataFrame:
-    """Records to the flow layout with defaults, clamps and UTC timestamps."""
+    found: DataFrame, sensor: str, exporter_ip: str, sample_rate: int = 1, now: Column | None = None, fallback: list[str] | None = None,
+    name_length: int | None = None,
+) -> DataFrame:
+    """Records to the flow layout with defaults, clamps and UTC timestamps.
+
+    Names of autonomous systems stay whole unless ``name_length`` says where to cut them.
+    """
     now = now if now is not None else F.current_timestamp()
 
     def get(field: str) -> Column:
         return pick(field, fallback)
 
+    def name(field: str) -> Column:
+        given = F.coalesce(F.col(field), F.lit(""))
+        return (given if name_length is None else F.substring(given, 1, name_length)).alias(field)
+
     ok = found.filter("fields IS NOT NULL")
     text = ok.select("file", *[get(f).alias(f) for f in ALIASES])
     start, end = scalars.parse_ts(F.col("flow_start")), scalars.parse_ts(F.col("flow_end"))
@@ -234,8 +241,8 @@ def normalize_flows(
         scalars.parse_duration_ms(F.col("duration_ms"), start, end).alias("duration_ms"),
         scalars.safe_int(F.col("src_as")).alias("src_asn"),
         scalars.safe_int(F.col("dst_as")).alias("dst_asn"),
-        F.substring(F.coalesce("src_as_name", F.lit("")), 1, AS_NAME_LENGTH).alias("src_as_name"),
-        F.substring(F.coalesce("dst_as_name", F.lit("")), 1, AS_NAME_LENGTH).alias("dst_as_name"),
+        name("src_as_name"),
+        name("dst_as_name"),
     )
     return out.withColumns(
         {"src_ip_key": ip.ip_key(F.col("src_ip")), "dst_ip_key": ip.ip_key(F.col("dst_ip")), "flow_date": F.to_date("flow_time")}
