@@ -230,7 +230,7 @@ def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK
 
     ``vectors(vector_id, target_cidr, sensor, interface_id, direction, decoder,
     threshold_value, threshold_unit)``; null sensor, interface or target mean any.  Flows
-    are reduced per target and decoder first and meet vectors on ``(decoder, direction)``.
+    are reduced per target and decoder first and meet vectors on ``(block, decoder, direction)``.
     """
     looks = ["proto", "src_port", "dst_port", "tcp_flags"]
     names = [r[0] for r in vectors.select("decoder").distinct().collect()]  # at most the 23 decoder names
@@ -247,20 +247,21 @@ def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK
     reduced = spread.groupBy("bucket", "sensor", "decoder", "__t.direction", "__t.target_ip", "__t.target_key", "__t.interface_id").agg(
         F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flow_count").alias("flows")
     )
+    both = F.array(F.lit("receives"), F.lit("sends"))
     bounds = pfx.prefix_table(vectors.withColumn("__cidr", F.coalesce("target_cidr", F.lit("::/0"))), "__cidr")
-    last = ip.network_last_key(F.col("net_key"), F.col("plen"))
-    v = bounds.withColumn("__last", last).select(
-        "vector_id", F.col("sensor").alias("__sensor"), F.col("interface_id").alias("__if"), F.col("direction").alias("__dir"),
-        F.col("decoder").alias("__dec"), "threshold_value", "threshold_unit", "net_key", "__last",
+    v = bounds.select(
+        "vector_id", F.col("sensor").alias("__sensor"), F.col("interface_id").alias("__if"), F.col("decoder").alias("__dec"),
+        F.explode(F.when(F.col("direction") == "both", both).otherwise(F.array("direction"))).alias("__dir"),
+        "threshold_value", "threshold_unit", "plen", "net_key",
     )
-    met = reduced.join(
-        v,
+    # Block, decoder and direction are the join key; sensor and interface may be any.
+    met = pfx.match_prefixes(
+        reduced, "target_key", v,
         (F.col("decoder") == F.col("__dec"))
-        & ((F.col("direction") == F.col("__dir")) | (F.col("__dir") == "both"))
+        & (F.col("direction") == F.col("__dir"))
         & (F.col("__sensor").isNull() | (F.col("sensor") == F.col("__sensor")))
-        & (F.col("__if").isNull() | (F.col("interface_id") == F.col("__if")))
-        & F.col("target_key").between(F.col("net_key"), F.col("__last")),
-    )
+        & (F.col("__if").isNull() | (F.col("interface_id") == F.col("__if"))),
+    )
     seconds = float(lookback)
     totals = met.groupBy("vector_id", "bucket", "target_ip", "direction", "decoder", "threshold_value", "threshold_unit").agg(
         F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flows").alias("flows")

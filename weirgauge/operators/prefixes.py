@@ -1,9 +1,12 @@
 """Joins between addresses and prefix tables.
 
-A prefix table has at most 129 distinct lengths.  An address is cut to each length
-that occurs, and ``(length, network key)`` is an ordinary equi-join key: no range
-join, no nested loop.  Work is done on distinct addresses, not on flow rows, and the
-answer is joined back.  Callers should aggregate flows first where they can.
+Blocks of any length are spread to the next whole byte (at most 128 pieces each), and pieces
+of the same address range keep the longest block as their owner.  What is left are disjoint
+intervals for each number of bytes, named by the leading digits of their addresses.  An
+address looks its own digits up, longest first: an ordinary equi-join for each number of
+bytes that occurs (at most 16, four for IPv4), each of which meets one row at most.  So rows
+never multiply, nothing is joined back, the facts are read once, and Spark broadcasts each
+level by its own measured size.  Callers should aggregate flows first where they can.
 """
 
 from __future__ import annotations
@@ -27,24 +30,52 @@ def prefix_table(df: DataFrame, cidr: str = "prefix") -> DataFrame:
     )
 
 
-def lengths(prefixes: DataFrame) -> list[int]:
-    """Distinct prefix lengths; at most 129 integers reach the driver."""
-    return sorted((row[0] for row in prefixes.select("plen").distinct().collect()), reverse=True)
+def pieces(prefixes: DataFrame) -> DataFrame:
+    """Each block of a prefix table as byte-wise pieces: ``__digits`` are the leading digits of ``__bytes`` bytes."""
+    whole = F.greatest(F.ceil(F.col("plen") / 8), F.lit(1)).cast("int")
+    spread = F.pow(F.lit(2.0), F.col("__bytes") * 8 - F.col("plen"))
+    first = F.conv(F.substr(F.col("net_key"), F.col("__bytes") * 2 - 1, F.lit(2)), 16, 10).cast("int")
+    last = F.lower(F.lpad(F.hex(first + F.col("__piece")), 2, "0"))
+    return (
+        prefixes.withColumn("__bytes", whole)
+        .withColumn("__piece", F.explode(F.sequence(F.lit(0), spread.cast("int") - 1)))
+        .withColumn("__digits", F.concat(F.substr(F.col("net_key"), F.lit(1), F.col("__bytes") * 2 - 2), last))
+        .drop("__piece")
+    )
+
+
+def _levels(table: DataFrame) -> list[int]:
+    """Numbers of bytes that occur, longest first; at most 16 integers reach the driver."""
+    return sorted((row[0] for row in table.select("__bytes").distinct().collect()), reverse=True)
 
 
-def match_prefixes(addresses: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
-    """Every prefix that holds each address: inner join, all matching pairs of address and prefix."""
-    cuts = [
-        F.struct(F.lit(n).alias("plen"), ip.network_key_at(F.col(key), n).alias("net_key")) for n in lengths(prefixes)
-    ]
-    if not cuts:
-        return addresses.limit(0).join(prefixes.limit(0), F.lit(False))
-    exploded = addresses.withColumn("__cut", F.explode(F.array(*cuts)))
-    return exploded.join(
-        prefixes,
-        (F.col("__cut.plen") == prefixes["plen"]) & (F.col("__cut.net_key") == prefixes["net_key"]),
-        "inner",
-    ).drop("__cut", "net_key")
+def _digits(key: str, many: int) -> Column:
+    return F.substring(F.col(key), 1, 2 * many)
+
+
+def match_prefixes(addresses: DataFrame, key: str, prefixes: DataFrame, also: Column | None = None) -> DataFrame:
+    """Every prefix that holds each address: inner join, all matching pairs of address and prefix.
+
+    ``also`` is a further condition; equalities in it become part of the join key.
+    """
+    table = pieces(prefixes)
+    levels = _levels(table)
+    if not levels:
+        return addresses.limit(0).join(prefixes.limit(0), F.lit(False)).drop("net_key")
+    exploded = addresses.withColumn("__cut", F.explode(F.array(*[_digits(key, n) for n in levels])))
+    same = F.col("__cut") == F.col("__digits")
+    return exploded.join(table, same if also is None else same & also, "inner").drop("__cut", "__digits", "__bytes", "net_key")
+
+
+def _looked_up(df: DataFrame, key: str, owners: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the owner of each level, longest first; ``owners(__bytes, __digits, own)`` has one row for each range."""
+    stored = staged(owners)
+    found = []
+    for n in _levels(stored):
+        level = stored.filter(F.col("__bytes") == n).select(F.col("__digits").alias(f"__cut{n}"), F.col("own").alias(f"__own{n}"))
+        df = df.join(level, _digits(key, n) == F.col(f"__cut{n}"), "left").drop(f"__cut{n}")
+        found.append(F.col(f"__own{n}"))
+    return df, found
 
 
 def longest_prefix(df: DataFrame, key: str, prefixes: DataFrame, payload: dict[str, str]) -> DataFrame:
@@ -54,19 +85,16 @@ def longest_prefix(df: DataFrame, key: str, prefixes: DataFrame, payload: dict[s
     by the payload values so that the result does not depend on row order.
     """
     fields = F.struct(*[F.col(c).alias(n) for c, n in payload.items()])
-    best = (
-        match_prefixes(df.select(F.col(key).alias("__addr")).distinct(), "__addr", prefixes)
-        .groupBy("__addr")
-        .agg(F.max_by(fields, F.struct(F.col("plen"), fields)).alias("__best"))
-    )
-    joined = df.join(best, F.col(key) == F.col("__addr"), "left")
-    return joined.select(*df.columns, *[F.col(f"__best.{n}").alias(n) for n in payload.values()])
+    owners = pieces(prefixes).groupBy("__bytes", "__digits").agg(F.max_by(fields, F.struct(F.col("plen"), fields)).alias("own"))
+    joined, found = _looked_up(df, key, owners)
+    own = F.coalesce(*found) if found else F.lit(None).cast(owners.schema["own"].dataType)
+    return joined.withColumn("__own", own).select(*df.columns, *[F.col(f"__own.{n}").alias(n) for n in payload.values()])
 
 
 def keep_matching(df: DataFrame, key: str, prefixes: DataFrame, anti: bool = False) -> DataFrame:
     """Rows whose address lies in (or with ``anti`` outside) any block of a table."""
-    hits = match_prefixes(df.select(F.col(key).alias("__addr")).distinct(), "__addr", prefixes).select("__addr").distinct()
-    return df.join(hits, F.col(key) == F.col("__addr"), "left_anti" if anti else "left_semi")
+    held = longest_prefix(df, key, prefixes.select("plen", "net_key", F.lit(True).alias("__in")), {"__in": "__in"})
+    return held.filter(F.col("__in").isNull() if anti else F.col("__in").isNotNull()).drop("__in")
 
 
 # --- ASN -------------------------------------------------------------------
@@ -79,9 +107,8 @@ def resolve_asn(df: DataFrame, prefixes: DataFrame, side: str = "src") -> DataFr
     (``flow``, ``prefix`` or ``unresolved``).
     """
     key, asn, name = f"{side}_ip_key", f"{side}_asn", f"{side}_as_name"
-    # Rows that bring their own number do not take part in the address join.
-    wanted = df.withColumn("__lookup", F.when(F.coalesce(F.col(asn), F.lit(0)) == 0, F.col(key)))
-    found = longest_prefix(wanted, "__lookup", prefixes, {"asn": "__asn", "as_name": "__name"})
+    # Rows that bring their own number are looked up too: a null key for them would be a hot one.
+    found = longest_prefix(df, key, prefixes, {"asn": "__asn", "as_name": "__name"})
     own = F.coalesce(F.col(asn), F.lit(0)) > 0
     return found.select(
         *df.columns,
@@ -137,21 +164,21 @@ def whitelist_hits(df: DataFrame, key: str, whitelist: DataFrame, out: str = "wh
     ``use_global_whitelist``, others only when listed in ``extra_whitelist_ids``, and
     ``bypass_whitelist`` switches all of them off.
     """
-    lookups = df.select(F.col(key).alias("__addr"), *[F.col(c).alias(f"__{c}") for c in CONTROLS]).distinct()
-    applies = ~F.coalesce(F.col("__bypass_whitelist"), F.lit(False)) & (
-        (F.col("is_global") & F.coalesce(F.col("__use_global_whitelist"), F.lit(True)))
-        | F.coalesce(F.array_contains("__extra_whitelist_ids", F.col("whitelist_id")), F.lit(False))
-    )
-    hits = (
-        match_prefixes(lookups, "__addr", whitelist)
-        .filter(applies)
-        .groupBy("__addr", *[f"__{c}" for c in CONTROLS])
-        .agg(F.min_by("name", "whitelist_id").alias("__hit"))
-    )
-    same = F.col(key) == F.col("__addr")
-    for c in CONTROLS:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return df.join(hits, same, "left").select(*df.columns, F.col("__hit").alias(out))
+    entry = F.struct("whitelist_id", "name", "is_global")
+    listed = pieces(whitelist).groupBy("__bytes", "__digits").agg(F.collect_set(entry).alias("own"))  # entries over one address
+    joined, found = _looked_up(df, key, listed)
+    if not found:
+        return df.withColumn(out, F.lit(None).cast("string"))
+
+    def applies(e: Column) -> Column:
+        on = (e["is_global"] & F.coalesce(F.col("use_global_whitelist"), F.lit(True))) | F.coalesce(
+            F.array_contains("extra_whitelist_ids", e["whitelist_id"]), F.lit(False)
+        )
+        return on & ~F.coalesce(F.col("bypass_whitelist"), F.lit(False))
+
+    none = F.array().cast(listed.schema["own"].dataType)
+    every = F.concat(*[F.coalesce(f, none) for f in found])
+    return joined.withColumn("__hit", F.array_min(F.filter(every, applies))).select(*df.columns, F.col("__hit.name").alias(out))
 
 
 def drop_whitelisted(df: DataFrame, key: str, whitelist: DataFrame) -> DataFrame:
