@@ -72,7 +72,7 @@ _RULE_COLUMNS = "rule_id, zone_id, side, grouping, bucket, proto, subnet, src_ip
 )
 def _rules(s, d):
     zones = pfx.prefix_table(dims.zone_prefixes(s, d)).filter("active")
-    hits = detect.eval_rules(rated(s, d), zones, rules(s, d))
+    hits = detect.eval_rules(rated(s, d), zones, rules(s, d), counts=False)
     return hits.select(*[c.strip() for c in _RULE_COLUMNS.split(",")], F.round("metric_value", 3).alias("metric_value"), "severity")
 
 
@@ -89,10 +89,22 @@ def _rules_whitelisted(s, d):
     allowed = table(s, d, "region").selectExpr(
         "r_regionkey AS whitelist_id", "r_name AS name", "CASE r_regionkey WHEN 0 THEN '203.0.113.0/26' WHEN 1 THEN '203.0.113.64/27' ELSE concat('10.', r_regionkey, '.0.0/16') END AS prefix", "r_regionkey = 0 AS is_global"
     )
-    hits = detect.eval_rules(rated(s, d), zones, rules(s, d), pfx.prefix_table(allowed))
+    hits = detect.eval_rules(rated(s, d), zones, rules(s, d), pfx.prefix_table(allowed), counts=False)
     return hits.select(*[c.strip() for c in _RULE_COLUMNS.split(",")], "severity")
 
 
+@query(
+    "detection_rules_sliding",
+    f"""{_RULES_CTE.replace("gr AS (SELECT rule_id", "ws AS (SELECT mt.*, to_timestamp(unnest(range((epoch(flow_time)::BIGINT - win) // 30 * 30 + 30, epoch(flow_time)::BIGINT + 1, 30)))::TIMESTAMP AS bucket FROM mt),"
+    " gr AS (SELECT rule_id").replace("to_timestamp(epoch(flow_time)::BIGINT // win * win)::TIMESTAMP AS bucket", "bucket").replace("count(DISTINCT mt.dst_ip)", "count(DISTINCT ws.dst_ip)").replace("FROM mt GROUP BY ALL", "FROM ws GROUP BY ALL")}
+SELECT {_RULE_COLUMNS}, unique_dst_ips, CASE WHEN metric_value >= critical_value THEN 'critical' ELSE 'warning' END AS severity FROM vl WHERE metric_value >= critical_value""",
+)
+def _rules_sliding(s, d):
+    zones = pfx.prefix_table(dims.zone_prefixes(s, d)).filter("active")
+    hits = detect.eval_rules(rated(s, d), zones, rules(s, d), cadence=detect.CADENCE).filter("severity = 'critical'")
+    return hits.select(*[c.strip() for c in _RULE_COLUMNS.split(",")], "unique_dst_ips", "severity")
+
+
 def vectors(s, d):
     return table(s, d, "nation").selectExpr(
         "cast(n_nationkey AS bigint) AS vector_id",

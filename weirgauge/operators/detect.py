@@ -9,6 +9,8 @@ from weirgauge.functions import ip, scalars
 from weirgauge.operators import prefixes as pfx
 from weirgauge.operators.listing import first_rows
 from weirgauge.operators.ordered import ordered_scan, time_chunk
+from weirgauge.operators.panes import merged_sums, pane_seconds, pane_sums, window_starts
+from weirgauge.session import staged
 
 # Detection timing in seconds.
 LOOKBACK, CADENCE, MIN_DURATION, CLOSE_AFTER, RETRY_WINDOW = 60, 30, 30, 120, 900
@@ -156,28 +158,9 @@ def _rule_applies() -> Column:
     return protocol & (~F.col("r_dns") | dns) & port("src") & port("dst")
 
 
-def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
-    """Groups that reach the warning value of a rule, with their severity.
-
-    ``rules`` hold ``rule_id, zone_id, vector, direction, protocol, metric, warning_value,
-    critical_value, window_seconds, src_port, dst_port, group_by, detection_key`` and the
-    whitelist controls.  A rule meets flows on ``zone_id``; each grouping keeps only the
-    parts it names, so a single grouping pass serves all rules.  The whitelist is matched on
-    distinct destinations before the grouping.
-    """
-    # Flows are reduced to what rules can tell apart before they meet zones and rules.
-    five = ["src_ip", "src_ip_key", "src_port", "dst_ip", "dst_ip_key", "dst_port", "proto"]
-    prepared = _prepared(rules)
-    reduced = (
-        flows.groupBy(*five, "flow_time")
-        .agg(
-            F.sum(F.col("bytes") * F.col("rate")).alias("bytes"),
-            F.sum(F.col("packets") * F.col("rate")).alias("packets"),
-            F.sum("flow_count").alias("flow_count"),
-        )
-        .withColumn("rate", F.lit(1).cast("bigint"))
-    )
-    zoned = with_sides(reduced, zone_prefixes)
+def _met(panes: DataFrame, zone_prefixes: DataFrame, prepared: DataFrame, whitelist: DataFrame | None, cadence: int | None) -> DataFrame:
+    """Panes with each rule that looks at them, in each window that holds them."""
+    zoned = with_sides(panes, zone_prefixes)
     met = zoned.join(prepared, (F.col("zone_id") == F.col("r_zone_id")) & (F.col("side") == F.col("r_side")) & _rule_applies())
     if whitelist is not None:
         controls = {c: F.col(f"r_{c}") for c in pfx.CONTROLS}
@@ -186,20 +169,65 @@ def eval_rules(flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whi
     kept = {
         part: F.when(F.col("grouping").isin(*[g for g, parts in GROUPINGS.items() if part in parts]), F.col(part)) for part in PARTS
     }
-    seconds = F.col("r_window_seconds")
-    micros = seconds.cast("bigint") * 1_000_000
-    at = F.unix_micros("flow_time")
-    bucket = F.timestamp_micros(at - F.pmod(at, micros))
-    grouped = (
-        rows.withColumns({**kept, "bucket": bucket})
-        .groupBy("r_rule_id", "zone_id", "side", "grouping", "bucket", "proto", *PARTS)
-        .agg(*_group_sums(seconds))
-        .withColumnRenamed("r_rule_id", "rule_id")
-    )
+    starts = window_starts(F.col("pane"), F.col("r_window_seconds"), cadence)
+    bucket = starts[0] if cadence is None else F.explode(starts)
+    return rows.withColumns({**kept, "bucket": bucket})
+
+
+GROUP = ["rule_id", "zone_id", "side", "grouping", "bucket", "proto", *PARTS]
+COUNTED = ("dst_ip", "dst_port", "src_port")
+
+
+def _sums(met: DataFrame, counted: str | None = None) -> DataFrame:
+    """Merged panes of every group, with the distinct values of one part where a metric asks for them."""
+    heaviest = [_top_port(F.col("heaviest"), f"{p}_all").alias(f"top_{p}") for p in ("dst_port", "src_port")]
+    more = [F.count_distinct(f"{counted}_all").alias(f"unique_{counted}s")] if counted else []
+    grouped = met.withColumnRenamed("r_rule_id", "rule_id").groupBy(*GROUP)
+    out = grouped.agg(*merged_sums(), *heaviest, F.max("r_window_seconds").alias("window_seconds"), *more)
+    none = {f"unique_{p}s": F.lit(None).cast("bigint") for p in COUNTED if p != counted}
+    return out.withColumns(none)
+
+
+def eval_rules(
+    flows: DataFrame, zone_prefixes: DataFrame, rules: DataFrame, whitelist: DataFrame | None = None, cadence: int | None = None, counts: bool = True
+) -> DataFrame:
+    """Groups that reach the warning value of a rule, with their severity.
+
+    ``rules`` hold ``rule_id, zone_id, vector, direction, protocol, metric, warning_value,
+    critical_value, window_seconds, src_port, dst_port, group_by, detection_key`` and the
+    whitelist controls.  Flows are added up once for each conversation and pane; a rule
+    meets panes on ``zone_id`` and adds them up to its windows, which follow one another or
+    with ``cadence`` begin every so many seconds.  Each grouping keeps only the parts it
+    names, so rules of any grouping share a pass; rules on distinct counts have one for each
+    counted part.  With ``counts`` every hit is given all its distinct counts: only hits are
+    looked at again, in the stored panes; without, those that decide nothing are null.
+    """
+    five = ["src_ip", "src_ip_key", "src_port", "dst_ip", "dst_ip_key", "dst_port", "proto"]
+    prepared = staged(_prepared(rules))
+    panes = staged(pane_sums(flows, five, pane_seconds(prepared, "r_window_seconds", cadence)))
     # Rule attributes come back by a join on few groups: carried through the aggregation they
     # would turn it from a hash into a sort aggregation.
     traits = rules.select("rule_id", "vector", "metric", "warning_value", "critical_value", "detection_key")
-    return threshold_hits(_rates(grouped.join(traits, "rule_id")))
+    metrics = {r[0] for r in prepared.select("r_metric").distinct().collect()}  # names of metrics
+    decides = {f"unique_{p}s": p for p in COUNTED if f"unique_{p}s" in metrics}
+    hits = None
+    for metric, part in [(None, None), *decides.items()]:
+        own = F.col("r_metric") == metric if metric else ~F.coalesce(F.col("r_metric").isin(*decides), F.lit(False))
+        met = _met(panes, zone_prefixes, prepared.filter(own), whitelist, cadence)
+        found = threshold_hits(_rates(_sums(met, part).join(traits, "rule_id")))
+        hits = found if hits is None else hits.unionByName(found)
+    if not counts:
+        return hits
+    wanted = staged(hits.drop(*[f"unique_{p}s" for p in COUNTED]))
+    asked = wanted.select(*[F.col(c).alias(f"__{c}") for c in GROUP])
+    met = _met(panes, zone_prefixes, prepared, whitelist, cadence).withColumnRenamed("r_rule_id", "rule_id")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in GROUP]
+    counted = (
+        met.join(asked, same, "left_semi")
+        .groupBy(*[F.col(c).alias(f"__{c}") for c in GROUP])
+        .agg(*[F.count_distinct(f"{p}_all").alias(f"unique_{p}s") for p in COUNTED])
+    )
+    return wanted.join(counted, same).drop(*[f"__{c}" for c in GROUP])
 
 
 def threshold_hits(groups: DataFrame) -> DataFrame:
@@ -209,6 +237,7 @@ def threshold_hits(groups: DataFrame) -> DataFrame:
         .when(F.col("metric") == "flows_s", F.col("flows_s"))
         .when(F.col("metric") == "unique_dst_ips", F.col("unique_dst_ips"))
         .when(F.col("metric") == "unique_dst_ports", F.col("unique_dst_ports"))
+        .when(F.col("metric") == "unique_src_ports", F.col("unique_src_ports"))
         .otherwise(F.col("packets_s"))
     )
     critical = (F.col("critical_value") > 0) & (F.col("metric_value") >= F.col("critical_value"))
