@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,64 @@ def test_activation_supersedes_only_with_consent(spark):
     assert {(r["batch_id"], r["active"]) for r in new_maps.collect()} == {(1, False), (2, True), (3, True), (4, True)}
     with pytest.raises(ValueError, match="cannot_be_rejected"):
         res.reject(batches, 1)
+
+
+def ranked_answer(lookup, live):
+    """(matched, ambiguous, private_ip, match_count) of one lookup by trying every mapping."""
+    port, proto, at, connector = lookup
+    hits = [m for m in live if m["lo"] <= port <= m["hi"] and m["proto"] in (proto, "any") and (m["since"] is None or m["since"] <= at) and (m["until"] is None or m["until"] >= at)]
+    if not hits:
+        return False, False, None, 0
+    rank = lambda m: (m["proto"] == proto, m["conn"] is not None and m["conn"] == connector, m["batch"], m["conf"])
+    best = [m for m in hits if rank(m) == max(map(rank, hits))]
+    who = {(m["ip"], m["lo"], m["hi"]) for m in best}
+    return True, len(who) > 1, best[0]["ip"] if len(who) == 1 else None, len(hits)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cells_answer_like_trying_every_mapping(spark, seed):
+    draw = random.Random(seed)
+    t0 = datetime(2026, 7, 10, 12)
+    times = [None, *[t0 + timedelta(seconds=s) for s in (0, 10, 20, 30)]]
+    batches = {b: (draw.choice([None, 1, 2]), *sorted(draw.sample(times[1:], 2))) if draw.random() < 0.6 else (None, None, None) for b in range(1, 6)}
+    live = []
+    for n in range(60):
+        b = draw.randrange(1, 6)
+        lo = draw.randrange(0, 400)
+        connector, since, until = batches[b]
+        live.append({"batch": b, "conn": connector, "ip": f"10.0.0.{n}", "proto": draw.choice(["any", "tcp", "udp"]), "lo": lo, "hi": min(65535, lo + draw.randrange(0, 200)), "since": since, "until": until, "conf": draw.choice([0.5, 1.0])})
+    maps = spark.createDataFrame(
+        [(m["batch"], m["conn"], "203.0.113.1", m["ip"], m["proto"], m["lo"], m["hi"], None, "n", m["since"], m["until"], True, m["conf"]) for m in live],
+        "batch_id bigint, connector_id bigint, public_ip string, private_ip string, protocol string, port_start int, port_end int, subscriber_id string, subscriber_name string, valid_from timestamp, valid_until timestamp, active boolean, confidence double",
+    )
+    told = spark.createDataFrame([(b, "active") for b in batches], "id bigint, status string").selectExpr("*", "timestamp'2026-01-01' AS approved_at", "cast(null AS timestamp) AS activated_at")
+    asked = sorted({(draw.choice([draw.randrange(0, 620), 64, 63, 65535]), draw.choice(["tcp", "udp", "icmp"]), t0 + timedelta(seconds=draw.randrange(-2, 34), microseconds=draw.choice([0, 1, 999_999])), draw.choice([None, 1, 2, 3])) for _ in range(400)}, key=str)
+    rows = [("203.0.113.1", *a) for a in asked] + [("203.0.113.2", 80, "tcp", t0, None), ("203.0.113.1", -1, "tcp", t0, None), ("203.0.113.1", 70_000, "tcp", t0, None)]
+    lookups = spark.createDataFrame(rows, "public_ip string, public_port int, protocol_observed string, lookup_time timestamp, connector bigint")
+    got = {(r["public_ip"], r["public_port"], r["protocol_observed"], r["lookup_time"], r["connector"]): (r["matched"], r["ambiguous"], r["private_ip"], r["match_count"]) for r in res.resolve_subscriber(lookups, maps, told).collect()}
+    assert got.pop(rows[-3]) == got.pop(rows[-2]) == got.pop(rows[-1]) == (False, False, None, 0)
+    for a in asked:
+        assert got[("203.0.113.1", *a)] == ranked_answer(a, live), a
+
+
+def test_deactivate_and_reject(spark):
+    maps, batches = tables(spark)
+    now = F.to_timestamp(F.lit("2026-07-10 12:00:00"))
+    off_maps, off_batches = res.deactivate(maps, batches, 1, now)
+    assert {r["id"]: r["status"] for r in off_batches.collect()}[1] == "approved"
+    assert not [r for r in off_maps.collect() if r["batch_id"] == 1 and r["active"]]
+    with pytest.raises(ValueError, match="batch_not_active"):
+        res.deactivate(maps, batches, 4, now)
+    assert {r["id"]: r["status"] for r in res.reject(batches, 4).collect()}[4] == "rejected"
+
+
+def test_flows_meet_subscribers_in_one_scan(spark):
+    from weirgauge.catalog import nat as catalog
+    from weirgauge.sources.lineitem_flows import flows
+
+    path = "/root/testdata/sf0.001"
+    cells = res.subscriber_cells(catalog.mappings(spark, path), catalog.batches(spark, path))
+    rows = res.with_subscriber(flows(spark, path), cells, catalog.looked_up())
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("/lineitem.parquet]") == 1
+    assert rows.count() == flows(spark, path).count()

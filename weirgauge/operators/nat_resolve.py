@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weirgauge.operators import ports
 from weirgauge.operators.listing import first_rows
+from weirgauge.session import staged
 
 
 def live_mappings(mappings: DataFrame, batches: DataFrame) -> DataFrame:
@@ -22,37 +23,64 @@ def live_mappings(mappings: DataFrame, batches: DataFrame) -> DataFrame:
     return mappings.filter(F.col("active").cast("boolean")).join(ready, "batch_id")
 
 
-def _covers(ts: Column) -> Column:
-    start, end = F.col("valid_from"), F.col("valid_until")
-    return (start.isNull() | (start <= ts)) & (end.isNull() | (end >= ts))
+LOOKUP = ["public_ip", "public_port", "protocol_observed", "lookup_time", "connector"]
+CELL = ["__ip", "port_bin", "lo", "hi", "since", "until", "proto", "conn"]
 
 
-LOOKUP = ["public_ip", "public_port", "protocol_observed", "lookup_time", "connector"]
+def _intervals(cuts: Column) -> Column:
+    """Consecutive ``(since, until)`` between sorted cut points, open at both ends; ``until`` is not part of one."""
+    kind = "array<bigint>"
+    open_end = F.array(F.lit(None).cast("bigint"))
+    return F.arrays_zip(F.concat(open_end.cast(kind), cuts).alias("since"), F.concat(cuts, open_end.cast(kind)).alias("until"))
 
 
-def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFrame) -> DataFrame:
-    """The subscriber behind each observed public address and port.
-
-    ``lookups`` holds the ``LOOKUP`` columns (``connector`` may be null).  Candidates meet on
-    ``(public_ip, port bin)``, so a public address that carries a third of the traffic is
-    split over its bins.  They are ranked by exact protocol, exact connector, newest
-    approval, batch and confidence; the connector ranks and does not filter.  The best rank
-    with its lowest and with its highest identity come from two aggregates; if those differ
-    the lookup is ambiguous.  No list of candidates is built.
+def subscriber_cells(mappings: DataFrame, batches: DataFrame) -> DataFrame:
+    """What any lookup answers: one row for each public address and bin of 64 ports, with its ``cells``.
+
+    Inside a bin the ports are cut where a mapping begins or ends, and time where one becomes
+    valid or expires.  In such a piece, for each protocol and connector that mappings
+    there name (and for all others), every lookup has the same candidates.  They are ranked by
+    exact protocol, exact connector, newest approval, batch and confidence; the connector
+    ranks and does not filter.  The best rank with its lowest and with its highest identity
+    come from two aggregates; if those differ the cell is ambiguous.
     """
-    in_range = F.when(F.col("public_port").between(0, 65535), ports.port_bin(F.col("public_port")))
-    wanted = lookups.select(*LOOKUP).distinct().withColumn("port_bin", in_range)
     live = live_mappings(mappings, batches).withColumnRenamed("public_ip", "__ip")
-    spread = live.withColumn("__bin", F.explode(ports.bins(F.col("port_start"), F.col("port_end"))))
+    first = F.col("port_bin") * ports.BIN
+    entries = staged(
+        live.withColumn("port_bin", F.explode(ports.bins(F.col("port_start"), F.col("port_end")))).withColumns(
+            {
+                "e_lo": F.greatest("port_start", first), "e_hi": F.least("port_end", first + ports.BIN - 1),
+                "e_since": F.unix_micros("valid_from"), "e_until": F.unix_micros("valid_until") + 1,
+            }
+        )
+    )
+    bins = entries.groupBy("__ip", "port_bin").agg(
+        F.array_sort(F.array_union(F.collect_set("e_lo"), F.collect_set(F.col("e_hi") + 1))).alias("edges"),  # 65 numbers at most
+        F.array_sort(F.array_union(F.collect_set("e_since"), F.collect_set("e_until"))).alias("times"),
+        F.collect_set(F.when(F.col("protocol") != "any", F.col("protocol"))).alias("protocols"),
+        F.collect_set(F.col("connector_id").cast("bigint")).alias("connectors"),
+    )
+    none = lambda kind: F.array(F.lit(None).cast(kind))
+    pieces = (
+        bins.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)))
+        .withColumns({"lo": F.get("edges", F.col("i")), "hi": F.get("edges", F.col("i") + 1) - 1})
+        .withColumn("t", F.explode(_intervals(F.col("times"))))
+        .withColumn("proto", F.explode(F.concat(F.col("protocols"), none("string"))))
+        .withColumn("conn", F.explode(F.concat(F.col("connectors"), none("bigint"))))
+        .select("__ip", "port_bin", "lo", "hi", "t.since", "t.until", "proto", "conn")
+    )
+    cells = pieces.select(F.col("__ip").alias("c_ip"), F.col("port_bin").alias("c_bin"), *CELL[2:])
     match = (
-        (F.col("public_ip") == F.col("__ip"))
-        & (F.col("port_bin") == F.col("__bin"))
-        & F.col("public_port").between(F.col("port_start"), F.col("port_end"))
-        & ((F.col("protocol") == F.col("protocol_observed")) | (F.col("protocol") == "any"))
-        & _covers(F.col("lookup_time"))
+        (F.col("__ip") == F.col("c_ip"))
+        & (F.col("port_bin") == F.col("c_bin"))
+        & (F.col("e_lo") <= F.col("lo"))
+        & (F.col("e_hi") >= F.col("hi"))
+        & (F.col("e_since").isNull() | F.coalesce(F.col("since") >= F.col("e_since"), F.lit(False)))
+        & (F.col("e_until").isNull() | F.coalesce(F.col("until") <= F.col("e_until"), F.lit(False)))
+        & ((F.col("protocol") == "any") | F.coalesce(F.col("protocol") == F.col("proto"), F.lit(False)))
     )
-    exact_protocol = (F.col("protocol") == F.col("protocol_observed")).cast("int")
-    exact_connector = F.coalesce((F.col("connector_id") == F.col("connector")).cast("int"), F.lit(0))
+    exact_protocol = F.coalesce((F.col("protocol") == F.col("proto")).cast("int"), F.lit(0))
+    exact_connector = F.coalesce((F.col("connector_id") == F.col("conn")).cast("int"), F.lit(0))
     approved = F.coalesce(F.unix_micros("approved"), F.lit(0).cast("bigint"))
     confidence = F.coalesce("confidence", F.lit(0.0))
     who = F.struct(
@@ -60,63 +88,110 @@ def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFra
         "port_start", "port_end",
     )
     rank = [exact_protocol, exact_connector, approved, F.col("batch_id"), confidence]
-    hit = F.col("__ip").isNotNull()
     up = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], who.alias("who"), F.col("protocol").alias("p"), F.col("subscriber_name").alias("n"))
     down = F.struct(*[(-r).alias(f"r{i}") for i, r in enumerate(rank)], who.alias("who"))
-    # Lookups without a candidate stay in through the outer join, so the grouping is the
-    # whole answer; while the mappings are small enough to broadcast it also needs no
-    # second shuffle after the one that made the lookups distinct.
-    found = (
-        wanted.join(spread, match, "left")
-        .groupBy(*LOOKUP)
-        .agg(F.max(F.when(hit, up)).alias("hi"), F.min(F.when(hit, down)).alias("lo"), F.count("__ip").alias("match_count"))
-    )
-    ambiguous = F.col("hi.who") != F.col("lo.who")
-    sure = F.col("hi").isNotNull() & ~ambiguous
+    found = entries.join(cells, match).groupBy(*CELL).agg(F.max(up).alias("hi_row"), F.min(down).alias("lo_row"), F.count(F.lit(1)).alias("match_count"))
+    sure = F.col("hi_row.who") == F.col("lo_row.who")
+    answer = F.struct(
+        F.col("proto").isNull().alias("o1"), F.col("conn").isNull().alias("o2"), "lo", "hi", "since", "until", "proto", "conn",
+        (~sure).alias("ambiguous"),
+        F.when(sure, F.col("hi_row.who.private_ip")).alias("private_ip"),
+        F.when(sure, F.nullif("hi_row.who.subscriber_id", F.lit(""))).alias("subscriber_id"),
+        F.when(sure, F.col("hi_row.n")).alias("subscriber_name"),
+        F.when(sure, F.col("hi_row.who.port_start")).alias("port_start"),
+        F.when(sure, F.col("hi_row.who.port_end")).alias("port_end"),
+        F.when(sure, F.col("hi_row.p")).alias("protocol"),
+        F.when(sure, F.col("hi_row.r3")).alias("batch_id"),
+        "match_count",
+    )
+    # Cells that name the protocol and the connector come before those for all others.
+    return staged(found.groupBy("__ip", "port_bin").agg(F.array_sort(F.collect_list(answer)).alias("cells")))
+
+
+def with_cell(rows: DataFrame, cells: DataFrame, lookup: dict[str, Column]) -> DataFrame:
+    """Rows with the cell that answers them as ``__cell``, null where no mapping does.
+
+    A row meets one row of ``cells`` at most, by address and port bin: rows are read once
+    and never multiply, and a public address that carries a third of the traffic is split
+    over its bins.  The time only chooses inside the row.
+    """
+    named = rows.withColumns({f"__{c}": lookup[c] for c in LOOKUP})
+    port, at = F.col("__public_port"), F.unix_micros("__lookup_time")
+    in_range = F.when(port.between(0, 65535), ports.port_bin(port))
+    joined = named.join(cells, (F.col("__public_ip") == F.col("__ip")) & (in_range == F.col("port_bin")), "left")
+
+    def holds(c: Column) -> Column:
+        return (
+            port.between(c["lo"], c["hi"])
+            & (c["since"].isNull() | (c["since"] <= at))
+            & (c["until"].isNull() | (c["until"] > at))
+            & (c["proto"].isNull() | (c["proto"] == F.col("__protocol_observed")))
+            & (c["conn"].isNull() | (c["conn"] == F.col("__connector")))
+        )
+
+    return joined.withColumn("__cell", F.get(F.filter("cells", holds), F.lit(0))).select(*rows.columns, "__cell")
+
+
+ANSWER = ["private_ip", "subscriber_id", "subscriber_name", "port_start", "port_end", "protocol", "batch_id"]
+
+
+def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFrame) -> DataFrame:
+    """The subscriber behind each distinct lookup; ``lookups`` holds the ``LOOKUP`` columns (``connector`` may be null)."""
+    asked = lookups.select(*LOOKUP).distinct()
+    found = with_cell(asked, subscriber_cells(mappings, batches), {c: F.col(c) for c in LOOKUP})
     return found.select(
         *LOOKUP,
-        F.col("hi").isNotNull().alias("matched"),
-        F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"),
-        F.when(sure, F.col("hi.who.private_ip")).alias("private_ip"),
-        F.when(sure, F.nullif("hi.who.subscriber_id", F.lit(""))).alias("subscriber_id"),
-        F.when(sure, F.col("hi.n")).alias("subscriber_name"),
-        F.when(sure, F.col("hi.who.port_start")).alias("port_start"),
-        F.when(sure, F.col("hi.who.port_end")).alias("port_end"),
-        F.when(sure, F.col("hi.p")).alias("protocol"),
-        F.when(sure, F.col("hi.r3")).alias("batch_id"),
-        "match_count",
+        F.col("__cell").isNotNull().alias("matched"),
+        F.coalesce("__cell.ambiguous", F.lit(False)).alias("ambiguous"),
+        *[F.col(f"__cell.{c}").alias(c) for c in ANSWER],
+        F.coalesce("__cell.match_count", F.lit(0)).alias("match_count"),
     )
 
 
-def with_subscriber(flows: DataFrame, resolved: DataFrame, lookup: dict[str, Column]) -> DataFrame:
+def with_subscriber(flows: DataFrame, cells: DataFrame, lookup: dict[str, Column]) -> DataFrame:
     """Flows with the subscriber behind them, ``N/D`` where none is certain.
 
-    ``lookup`` gives each ``LOOKUP`` column as an expression on the flows.
+    ``cells`` come from ``subscriber_cells``; ``lookup`` gives each ``LOOKUP`` column as an
+    expression on the flows.
     """
-    named = flows.withColumns({f"__{c}": lookup[c] for c in LOOKUP})
-    known = resolved.filter("matched AND NOT ambiguous").select(
-        *[F.col(c).alias(f"__r_{c}") for c in LOOKUP], F.coalesce("subscriber_id", "private_ip").alias("__who")
-    )
-    same = F.col("__connector").eqNullSafe(F.col("__r_connector"))
-    for c in LOOKUP[:-1]:
-        same = same & (F.col(f"__{c}") == F.col(f"__r_{c}"))
-    return named.join(known, same, "left").select(*flows.columns, F.coalesce("__who", F.lit("N/D")).alias("subscriber"))
+    who = F.coalesce("__cell.subscriber_id", "__cell.private_ip", F.lit("N/D"))
+    return with_cell(flows, cells, lookup).withColumn("subscriber", who).select(*flows.columns, "subscriber")
+
+
+def event_resolution(rows: DataFrame, cells: DataFrame, lookup: dict[str, Column], keys: list[str]) -> DataFrame:
+    """``matched``, ``ambiguous`` and ``unique_private_subscribers`` of events, from the rows behind them.
+
+    An event is matched when a row has a certain subscriber, and ambiguous when a row could
+    have several.
+    """
+    cell = F.col("__cell")
+    sure = cell.isNotNull() & ~F.coalesce(cell["ambiguous"], F.lit(False))
+    who = F.concat_ws("|", F.coalesce(cell["private_ip"], F.lit("")), F.coalesce(cell["subscriber_id"], F.lit("")))
+    return with_cell(rows, cells, lookup).groupBy(*keys).agg(
+        F.max(sure).alias("matched"), F.max(F.coalesce(cell["ambiguous"], F.lit(False))).alias("ambiguous"),
+        F.count_distinct(F.when(sure, who)).alias("unique_private_subscribers"),
+    )
 
 
 def shared_public_ip(lookups: DataFrame, mappings: DataFrame, batches: DataFrame) -> DataFrame:
     """Whether any live mapping of the address covers the time, on the connector or on none.
 
-    Validity and connector belong to batches, so an address has few distinct
-    combinations; those are what the lookups meet.
+    Validity and connector belong to batches, so an address has few distinct spans: they
+    are one row of the address, which each lookup meets once.
     """
-    spans = live_mappings(mappings, batches).select(F.col("public_ip").alias("__ip"), "connector_id", "valid_from", "valid_until").distinct()
-    wanted = lookups.select("public_ip", "lookup_time", "connector").distinct()
-    connector = F.col("connector").isNull() | F.col("connector_id").isNull() | (F.col("connector_id") == F.col("connector"))
-    hits = wanted.join(spans, (F.col("public_ip") == F.col("__ip")) & connector & _covers(F.col("lookup_time")), "left_semi")
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in wanted.columns]
-    flagged = hits.withColumn("__hit", F.lit(True))
-    joined = wanted.alias("w").join(flagged.alias("h"), same[0] & same[1] & same[2], "left")
-    return joined.select(*[F.col(f"w.{c}") for c in wanted.columns], F.coalesce("__hit", F.lit(False)).alias("shared_public_ip"))
+    live = live_mappings(mappings, batches)
+    span = F.struct(F.col("connector_id").cast("bigint").alias("connector_id"), "valid_from", "valid_until")
+    spans = staged(live.groupBy(F.col("public_ip").alias("__ip")).agg(F.collect_set(span).alias("__spans")))
+    asked = lookups.select("public_ip", "lookup_time", "connector").distinct()
+    at = F.col("lookup_time")
+
+    def covers(s: Column) -> Column:
+        connector = F.col("connector").isNull() | s["connector_id"].isNull() | (s["connector_id"] == F.col("connector"))
+        return connector & (s["valid_from"].isNull() | (s["valid_from"] <= at)) & (s["valid_until"].isNull() | (s["valid_until"] >= at))
+
+    hit = F.coalesce(F.exists("__spans", covers), F.lit(False))
+    joined = asked.join(spans, F.col("public_ip") == F.col("__ip"), "left")
+    return joined.select("public_ip", "lookup_time", "connector", hit.alias("shared_public_ip"))
 
 
 def addressing_mode(events: DataFrame) -> DataFrame:
@@ -124,7 +199,8 @@ def addressing_mode(events: DataFrame) -> DataFrame:
 
     Expects ``configured_mode`` (direct_public, cgnat, mixed, auto), ``prefix_type`` of the zone
     prefix that holds the address (null outside), and ``matched``, ``ambiguous`` and
-    ``unique_private_subscribers`` of the resolution.
+    ``unique_private_subscribers`` of the resolution.  ``addressing_mode`` is the short name
+    that filters take: direct, cgnat or unresolved.
     """
     mode = F.coalesce("configured_mode", F.lit("auto"))
     nat_prefix = F.coalesce(F.col("prefix_type") == "public_cgnat", F.lit(False))
@@ -156,6 +232,7 @@ def addressing_mode(events: DataFrame) -> DataFrame:
     )
     return out.withColumns(
         {
+            "addressing_mode": F.when(F.col("effective_mode") == "direct_public", "direct").otherwise(F.col("effective_mode")),
             "cgnat_lookup_required": nat,
             "cgnat_gate": F.when(nat, F.when(block == "", "resolved").otherwise("blocked")).otherwise("not_applicable"),
             "addressing_block_reason": block,
