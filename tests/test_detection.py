@@ -1,10 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from weirgauge.functions import ip
-from weirgauge.operators import advise, detect, grouping, learn, peaks, prefixes, rates
+from weirgauge.operators import advise, detect, grouping, learn, ordered, peaks, prefixes, rates
 from weirgauge.plans import peak_analysis
 from weirgauge.sources import text_flows
 from weirgauge.streaming import ingest as si
@@ -214,3 +215,24 @@ def test_listings_return_what_is_asked(spark):
     assert [r["event_id"] for r in detect.recent_events(rows, "peaks", 120).collect()] == list(range(149, 29, -1))
     with pytest.raises(ValueError, match="limit"):
         detect.recent_events(rows, "peaks", 0)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_cooldown_counts_from_the_last_event_that_fired(spark, seed):
+    draw = random.Random(seed)
+    rows = [("every four minutes", T0 + timedelta(minutes=4 * n)) for n in range(40)]  # over several chunks when chunks are short
+    rows += [("hot", T0 + timedelta(seconds=s)) for s in sorted(draw.sample(range(0, 40_000), 900))]
+    rows += [("edge", T0 + timedelta(seconds=s, microseconds=m)) for s, m in ((0, 0), (299, 999_999), (300, 0), (599, 0), (600, 1))]
+    rows += [(None, T0), (None, T0 + timedelta(seconds=10)), (None, T0 + timedelta(seconds=301)), ("none", None), ("twice", T0), ("twice", T0)]
+    df = spark.createDataFrame(rows, "who string, bucket timestamp")
+    got = {(r["who"], r["bucket"]): r["suppressed"] for r in detect.cooldown(df, ["who"], 300).collect()}
+    assert detect.cooldown(df, ["who"], 300).count() == len(rows)
+    last = {}
+    for who, at in sorted((r for r in set(rows) if r[1]), key=lambda r: (str(r[0]), r[1])):
+        fires = who not in last or at - last[who] >= timedelta(seconds=300)
+        last[who] = at if fires else last[who]
+        assert got[(who, at)] == (not fires), (who, at)
+    assert got[("none", None)] is False
+    assert [got[("every four minutes", T0 + timedelta(minutes=4 * n))] for n in range(6)] == [False, True, False, True, False, True]
+    short = ordered.spaced(df.filter("who = 'hot'"), ["who"], "bucket", 300, 1000)
+    assert {r["bucket"] for r in short.collect()} == {at for (who, at), quiet in got.items() if who == "hot" and not quiet}

@@ -178,7 +178,8 @@ query(
 )
 query(
     "event_cooldown",
-    f"{_POINTS_CTE} SELECT sensor, dst_port, bucket, coalesce(date_diff('second', lag(bucket) OVER (PARTITION BY sensor, dst_port ORDER BY bucket), bucket) < 300, false) AS suppressed FROM pt",
+    f"""{_POINTS_CTE}, fr AS (WITH RECURSIVE f AS (SELECT sensor, dst_port, min(bucket) AS bucket FROM pt GROUP BY 1, 2 UNION ALL SELECT f.sensor, f.dst_port, min(pt.bucket) FROM f JOIN pt ON pt.sensor = f.sensor AND pt.dst_port = f.dst_port AND date_diff('second', f.bucket, pt.bucket) >= 300 GROUP BY 1, 2) SELECT * FROM f)
+SELECT pt.sensor, pt.dst_port, pt.bucket, fr.bucket IS NULL AS suppressed FROM pt LEFT JOIN fr ON fr.sensor = pt.sensor AND fr.dst_port = pt.dst_port AND fr.bucket = pt.bucket""",
 )(lambda s, d: detect.cooldown(points(s, d), ["sensor", "dst_port"], 300).select("sensor", "dst_port", "bucket", "suppressed"))
 
 _SESSION = f"""{_POINTS_CTE}, g0 AS (SELECT *, CASE WHEN date_diff('second', lag(bucket) OVER w, bucket) <= 120 THEN 0 ELSE 1 END AS opens FROM ky WINDOW w AS (PARTITION BY dedupe_key ORDER BY bucket)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirgauge.functions import ip, scalars
 from weirgauge.operators import prefixes as pfx
 from weirgauge.operators.listing import first_rows
-from weirgauge.operators.ordered import ordered_scan, time_chunk
+from weirgauge.operators.ordered import ordered_scan, spaced, time_chunk
 from weirgauge.operators.panes import merged_sums, pane_seconds, pane_sums, window_starts
 from weirgauge.session import staged
 
@@ -348,10 +348,18 @@ def consecutive(points: DataFrame, keys: list[str], window_seconds: int, needed:
 
 
 def cooldown(events: DataFrame, keys: list[str], seconds: int, ts: str = "bucket") -> DataFrame:
-    """Suppress an event that follows the previous one of its key within the cooldown."""
-    at = F.unix_seconds(F.col(ts))
-    before = ordered_scan(events, keys, time_chunk(ts, 6 * 3600), [ts], {"__prev": ("prev", at)})
-    return before.withColumn("suppressed", F.coalesce(at - F.col("__prev") < seconds, F.lit(False))).drop("__prev")
+    """Suppress events within the cooldown after the last one of their key that fired.
+
+    A suppressed event does not prolong the cooldown, so a recurring one fires again.  Events
+    of a key at one time share the verdict; one without a time is never suppressed.
+    """
+    fired = spaced(events, keys, ts, seconds, 6 * 3600).withColumn("__fires", F.lit(True))
+    named = fired.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(ts).alias("__at"), "__fires")
+    same = F.col(ts).cast("timestamp") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    verdict = F.col("__fires").isNull() & F.col(ts).isNotNull()
+    return events.join(named, same, "left").withColumn("suppressed", verdict).select(*events.columns, "suppressed")
 
 
 def event_sessions(points: DataFrame, keys: list[str], ts: str = "bucket", quiet: int = CLOSE_AFTER) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirgauge.session import staged
+
 KINDS = ("index", "sum", "max_before", "last", "prev", "next", "count_all")
 
 
@@ -43,9 +45,9 @@ def ordered_scan(
     earlier = chunk_window.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))])
 
-    staged = df.withColumn("__chunk", chunk)
+    chunked = df.withColumn("__chunk", chunk)
     inputs = {f"__v_{n}": v for n, (_, v) in running.items() if v is not None}
-    staged = staged.withColumns(inputs) if inputs else staged
+    chunked = chunked.withColumns(inputs) if inputs else chunked
     local, totals, carry, final = {}, {}, {}, {}
     for name, (kind, _) in running.items():
         value, here, total, brought = F.col(f"__v_{name}"), f"__l_{name}", f"__t_{name}", f"__c_{name}"
@@ -84,11 +86,11 @@ def ordered_scan(
         else:
             raise ValueError(f"unknown kind {kind!r}; expected one of {KINDS}")
 
-    chunks = staged.groupBy(
+    chunks = chunked.groupBy(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__k_chunk")
     ).agg(*[e.alias(n) for n, e in totals.items()])
     carried = chunks.withColumns(carry).drop(*totals)
-    rows = staged.withColumns(local) if local else staged
+    rows = chunked.withColumns(local) if local else chunked
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     matched = rows.join(
         carried, reduce(lambda a, b: a & b, same, F.col("__chunk").eqNullSafe(F.col("__k_chunk"))), "inner"
@@ -99,3 +101,37 @@ def ordered_scan(
 def time_chunk(ts: str, seconds: int) -> Column:
     """Chunk of a time order: the span of ``seconds`` the row falls in."""
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(int(seconds)))
+
+
+def spaced(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, chunk_seconds: int) -> DataFrame:
+    """(keys, ts) of the times that a greedy pass keeps: the first, then each first one at least the gap after the last kept.
+
+    Which time is kept depends on all before, so no window can say it.  Every time points to
+    the first one that may follow it; kept are those reached from the first.  A turn reaches
+    as many times again as are known and composes the pointers with themselves, so a chain
+    of n kept times takes log2(n) turns, and no turn gathers a key anywhere.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = df.filter(F.col(ts).isNotNull()).select(*keys, at.alias("__at")).distinct()
+    gap = int(gap_seconds) * 1_000_000
+    # From the last time to the first: an asked time sees the nearest event at or after it.
+    events = times.select(*keys, (-F.col("__at")).alias("__back"), F.lit(0).alias("__asks"), F.col("__at").alias("__event"), F.lit(None).cast("bigint").alias("__of"))
+    asked = times.select(*keys, (-F.col("__at") - gap).alias("__back"), F.lit(1).alias("__asks"), F.lit(None).cast("bigint").alias("__event"), F.col("__at").alias("__of"))
+    chunk = F.floor(F.col("__back") / (int(chunk_seconds) * 1_000_000))
+    seen = ordered_scan(events.unionByName(asked), keys, chunk, ["__back", "__asks"], {"__next": ("last", F.col("__event"))})
+    pointers = staged(seen.filter("__asks = 1 AND __next IS NOT NULL").select(*keys, F.col("__of").alias("__at"), "__next"))
+    kept = staged(times.groupBy(*keys).agg(F.min("__at").alias("__at")))
+
+    def followed(rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with the pointer of the time in ``column`` as ``__then``."""
+        named = pointers.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__at").alias("__p_at"), F.col("__next").alias("__then"))
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        return rows.join(named, reduce(lambda a, b: a & b, same, F.col(column) == F.col("__p_at")))
+
+    while True:
+        more = staged(followed(kept, "__at").select(*keys, F.col("__then").alias("__at")))
+        if more.isEmpty():
+            break
+        kept = staged(kept.unionByName(more))
+        pointers = staged(followed(pointers, "__next").select(*keys, "__at", F.col("__then").alias("__next")))
+    return kept.select(*keys, F.timestamp_micros("__at").alias(ts))
