@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from weirgauge.functions import ip, scalars
 from weirgauge.operators import rates
 from weirgauge.operators.filters import ts_lit
 from weirgauge.session import shared_folder
-from weirgauge.sources import dims, tables, text_flows
+from weirgauge.sources import dims, table_log, tables, text_flows
 from weirgauge.sources.lineitem_flows import flows, stream_flows, table
 from weirgauge.streaming import ingest as si
 from weirgauge.streaming import windows as sw
@@ -376,6 +377,62 @@ def _stream_ingest(s, d):
     return si.read_table(s, f"{root}/tables", "dash_dst_port").drop("exporter_ip", "sample_rate")
 
 
+@query(
+    "stream_compacted_rollup",
+    f"SELECT date_trunc('minute', flow_time) AS minute, input_if, output_if, dst_port, proto, {_ROLL}, 1 AS folders FROM {_CSV_GOOD} GROUP BY ALL",
+)
+def _stream_compacted(s, d):
+    root = f"{shared_folder(s)}/weirgauge/stream-{uuid.uuid4().hex}"
+    lines = si.stream_lines(s, land_text(csv_lines(s, d).repartition(3)), max_files=1)
+    si.start_ingest(lines, f"{root}/tables", f"{root}/checkpoint", "edge-x", "192.0.2.1", 64, rollups=("dst_port",), once=True).awaitTermination()
+    stored = si.compact_tables(s, f"{root}/tables", date(2026, 7, 11))
+    many = sum(f[0] == "dash_dst_port" for f in stored.live)
+    return si.read_table(s, f"{root}/tables", "dash_dst_port", stored).drop("exporter_ip", "sample_rate", "sensor").withColumn("folders", F.lit(many))
+
+
+@query(
+    "retention_dropped_dates",
+    """dt AS (SELECT CAST(flow_time - to_days((src_port % 40)::INT) AS DATE) AS flow_date, flow_count FROM flows), lim AS (SELECT * FROM (VALUES ('flow_raw', 7), ('flow_1m', 30), ('flow_tops_1m', 15), ('dash_protocol', 30)) t(table_name, days))
+SELECT table_name, flow_date, sum(flow_count)::BIGINT AS flows FROM dt, lim WHERE table_name <> 'flow_tops_1m' AND flow_date >= DATE '2026-07-11' - days::INT GROUP BY ALL
+UNION ALL SELECT 'flow_tops_1m', CAST(flow_time - to_days((src_port % 40)::INT) AS DATE) AS f, sum(flow_count)::BIGINT FROM flows WHERE f >= DATE '2026-07-11' - 15 GROUP BY f""",
+)
+def _retention_dates(s, d):
+    root = f"{shared_folder(s)}/weirgauge/aged-{uuid.uuid4().hex}"
+    shifted = F.expr("flow_time - make_dt_interval(src_port % 40)")
+    rows = flows(s, d).withColumn("flow_time", shifted).withColumn("flow_date", F.to_date("flow_time"))
+    si.store_batch(rows, 0, root, ("protocol",))
+    table_log.delete_unused(s, root, si.drop_old_dates(s, root, date(2026, 7, 11)))
+    out = None
+    for name, count in (("flow_raw", "flow_count"), ("flow_1m", "flows"), ("flow_tops_1m", "flows"), ("dash_protocol", "flows")):
+        kept = table_log.read(s, root, name)
+        kept = kept.filter("dimension = 'proto'") if name == "flow_tops_1m" else kept
+        part = kept.groupBy("flow_date").agg(F.sum(count).alias("flows")).select(F.lit(name).alias("table_name"), "flow_date", "flows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "ingest_progress",
+    f"""SELECT 'edge-x' AS source, count(*) FILTER (src_port % 53 >= 2) AS rows_read_total, count(*) FILTER (src_port % 53 > 2) AS rows_inserted_total, count(*) FILTER (src_port % 53 = 2) AS rows_skipped_total,
+max(flow_time) FILTER (src_port % 53 > 2) AS last_flow_time, greatest(0, date_diff('second', max(flow_time) FILTER (src_port % 53 > 2), TIMESTAMP '2026-07-10 14:01:00')) AS lag_seconds, 'warning' AS status FROM flows""",
+)
+def _progress(s, d):
+    root, rows = f"{shared_folder(s)}/weirgauge/stream-{uuid.uuid4().hex}", csv_lines(s, d)
+    half = F.xxhash64("value") % 2 == 0
+    folder = land_text(rows.filter(half))
+
+    def run():
+        lines = si.stream_lines(s, folder, max_files=4)
+        si.start_ingest(lines, f"{root}/tables", f"{root}/checkpoint", "edge-x", "192.0.2.1", 64, rollups=("dst_port",), once=True).awaitTermination()
+
+    run()
+    rows.filter(~half).write.mode("append").text(folder)
+    run()  # goes on from the checkpoint; totals go on from the last commit
+    return si.ingest_progress(s, f"{root}/tables", ts_lit("2026-07-10 14:01:00")).select(
+        "source", "rows_read_total", "rows_inserted_total", "rows_skipped_total", "last_flow_time", "lag_seconds", "status"
+    )
+
+
 @query(
     "stream_minute_rollup_closed",
     f"""m AS (SELECT max(flow_time) AS newest FROM flows) SELECT date_trunc('minute', flow_time) AS minute, sensor, exporter_ip, input_if, output_if, sample_rate, proto, {_ROLL} FROM flows, m
