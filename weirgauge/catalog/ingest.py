@@ -15,6 +15,7 @@ from weirgauge.session import shared_folder
 from weirgauge.sources import dims, table_log, tables, text_flows
 from weirgauge.sources.lineitem_flows import flows, stream_flows, table
 from weirgauge.streaming import ingest as si
+from weirgauge.streaming import lifecycle
 from weirgauge.streaming import windows as sw
 
 H = "l_orderkey*7919 + l_partkey*104729 + l_suppkey*31 + l_linenumber*17"
@@ -482,3 +483,24 @@ def _stream_events(s, d):
     events = sw.event_stream(_hits(s, d), ["sensor", "dst_ip"])
     out = sw.run_to_end(events, "events").select("sensor", "dst_ip", "first_seen", "last_seen", "peak_value", "points", "trigger_value", "last_value")
     return out.withColumns({c: F.round(c, 3) for c in ("peak_value", "trigger_value", "last_value")})
+
+
+@query(
+    "stream_event_lifecycle",
+    f"""{_HITS}, st AS (SELECT *, ws + INTERVAL 60 SECOND - INTERVAL 1 MICROSECOND AS seen FROM done), g0 AS (SELECT *, CASE WHEN epoch(seen - lag(seen) OVER w) <= 120 THEN 0 ELSE 1 END AS opens FROM st WINDOW w AS (PARTITION BY sensor, dst_ip ORDER BY seen)),
+g1 AS (SELECT *, sum(opens) OVER (PARTITION BY sensor, dst_ip ORDER BY seen) AS n FROM g0),
+se AS (SELECT sensor, dst_ip, n, min(seen) AS first_seen, max(seen) AS last_seen, max(value) AS pv, count(*) AS points, arg_min(value, seen) AS tv, arg_max(value, seen) AS lv FROM g1 GROUP BY ALL)
+SELECT sensor, dst_ip, first_seen, last_seen, round(pv, 3)::DOUBLE AS peak_value, points, round(tv, 3)::DOUBLE AS trigger_value, round(lv, 3)::DOUBLE AS last_value, CASE WHEN last_seen + INTERVAL 120 SECOND <= newest - INTERVAL 5 MINUTE THEN 'ended' ELSE 'active' END AS status FROM se, (SELECT max(flow_time) AS newest FROM flows) m""",
+)
+def _stream_lifecycle(s, d):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(provider, None)
+    lifecycle.use_timers(s)
+    try:
+        log = sw.run_to_end(lifecycle.event_log(_hits(s, d), ["sensor", "dst_ip"]), "lifecycle")
+    finally:
+        s.conf.unset(provider) if before is None else s.conf.set(provider, before)
+    out = lifecycle.current_events(log, ["sensor", "dst_ip"]).replace({"updated": "active"}, subset=["status"])
+    return out.select(
+        "sensor", "dst_ip", "first_seen", "last_seen", *[F.round(c, 3).alias(c) for c in ("peak_value", "trigger_value", "last_value")], "points", "status"
+    )
