@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weirgauge.catalog.registry import query
 from weirgauge.functions import ip
-from weirgauge.operators import advise, detect, learn, rates
+from weirgauge.operators import advise, detect, learn, rates, rollup
 from weirgauge.operators import prefixes as pfx
 from weirgauge.operators.filters import ts_lit
 from weirgauge.sources import dims
@@ -144,6 +144,32 @@ SELECT ve.vector_id, round(pk.value, 4)::DOUBLE AS value, coalesce(pk.value >= t
     )
 )
 
+query(
+    "attack_vector_samples",
+    f"""{_VECTOR_CTE.replace("vv AS (", "vq AS (SELECT vector_id, src_port % 5 AS slot, max({'bytes': bytes, 'packets': packets, 'flow_time': flow_time, 'src_ip': src_ip, 'src_port': src_port, 'dst_ip': dst_ip, 'dst_port': dst_port, 'proto': proto}) AS m FROM tg JOIN ve ON vd = direction AND (vs IS NULL OR vs = sensor) AND (vi IS NULL OR vi = interface_id)"
+    " AND (any_target OR (" + dims.sql_ip('target_ip') + " >> (32 - tlen)) = (tint >> (32 - tlen))) AND CASE decoder WHEN 'IP' THEN true WHEN 'UDP' THEN proto = 17 WHEN 'TCP' THEN proto = 6 WHEN 'DNS' THEN proto IN (6, 17) AND (src_port = 53 OR dst_port = 53) WHEN 'TCP+SYN' THEN proto = 6 AND tcp_flags & 2 <> 0 AND tcp_flags & 16 = 0 ELSE proto = 1 END GROUP BY ALL), vv AS (")}
+SELECT vector_id, m.bytes AS bytes, m.packets AS packets, m.flow_time AS flow_time, m.src_ip AS src_ip, m.src_port AS src_port, m.dst_ip AS dst_ip, m.dst_port AS dst_port, m.proto AS proto FROM vq""",
+)(
+    lambda s, d: detect.test_vectors(flows(s, d), vectors(s, d)).select("vector_id", F.explode("samples").alias("m")).select("vector_id", "m.*")
+)
+
+
+@query(
+    "distinct_counts_from_rollup",
+    """SELECT sensor, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_port) AS ports, count(DISTINCT (src_ip, src_port, dst_ip, dst_port, proto)) AS conversations, true AS within_error FROM flows GROUP BY sensor""",
+)
+def _distinct_rollup(s, d):
+    rows = flows(s, d)
+    stored = rollup.distinct_1m(rows)
+    told = rollup.distinct_counts(rollup.merge_rollup(stored), ["sensor"])
+    exact = rows.groupBy("sensor").agg(
+        F.count_distinct("src_ip").alias("sources"), F.count_distinct("dst_port").alias("ports"),
+        F.count_distinct("src_ip", "src_port", "dst_ip", "dst_port", "proto").alias("conversations"),
+    )
+    near = [F.abs(F.col(f"t.{c}") - F.col(f"e.{c}")) <= F.col(f"e.{c}") * rollup.SKETCH_ERROR for c in ("sources", "ports", "conversations")]
+    return exact.alias("e").join(told.alias("t"), "sensor").select("sensor", "e.sources", "e.ports", "e.conversations", (near[0] & near[1] & near[2]).alias("within_error"))
+
+
 # --- runs and lifecycle -----------------------------------------------------------------
 
 _POINTS_CTE = f"""

@@ -254,13 +254,22 @@ def threshold_hits(groups: DataFrame) -> DataFrame:
     )
 
 
-def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+SAMPLE = ["bytes", "packets", "flow_time", "src_ip", "src_port", "dst_ip", "dst_port", "proto"]
+
+
+def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK, samples: int = 0) -> DataFrame:
     """Value of every attack vector for every target in every lookback window.
 
     ``vectors(vector_id, target_cidr, sensor, interface_id, direction, decoder,
     threshold_value, threshold_unit)``; null sensor, interface or target mean any.  Flows
     are reduced per target and decoder first and meet vectors on ``(block, decoder, direction)``.
+
+    With ``samples`` each row carries so many flows in ``sample_<n>``: the heaviest of those
+    whose source port leaves the remainder n.  They are maxima, so they are reduced with the sums.
     """
+    numbered = [f"sample_{n}" for n in range(samples)]
+    sample = F.struct(*SAMPLE)
+    picked = [F.max(F.when(F.pmod(F.col("src_port"), F.lit(samples)) == n, F.col("__sample"))).alias(c) for n, c in enumerate(numbered)]
     looks = ["proto", "src_port", "dst_port", "tcp_flags"]
     names = [r[0] for r in vectors.select("decoder").distinct().collect()]  # at most the 23 decoder names
     wanted = F.array_intersect(scalars.decoders(*[F.col(c) for c in looks]), F.array(*[F.lit(n) for n in names]).cast("array<string>"))
@@ -271,10 +280,11 @@ def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK
         )
     ).alias("__t")
     spread = flows.select("*", F.explode(wanted).alias("decoder")).select(
-        scalars.bucket(F.col("flow_time"), lookback).alias("bucket"), "sensor", "decoder", "bytes", "packets", "flow_count", sides
-    )
+        scalars.bucket(F.col("flow_time"), lookback).alias("bucket"), "sensor", "decoder", "bytes", "packets", "flow_count", sides,
+        *(["src_port", sample.alias("__sample")] if samples else []),
+    )
     reduced = spread.groupBy("bucket", "sensor", "decoder", "__t.direction", "__t.target_ip", "__t.target_key", "__t.interface_id").agg(
-        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flow_count").alias("flows")
+        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flow_count").alias("flows"), *picked
     )
     both = F.array(F.lit("receives"), F.lit("sends"))
     bounds = pfx.prefix_table(vectors.withColumn("__cidr", F.coalesce("target_cidr", F.lit("::/0"))), "__cidr")
@@ -293,7 +303,7 @@ def vector_values(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK
     )
     seconds = float(lookback)
     totals = met.groupBy("vector_id", "bucket", "target_ip", "direction", "decoder", "threshold_value", "threshold_unit").agg(
-        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flows").alias("flows")
+        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flows").alias("flows"), *[F.max(c).alias(c) for c in numbered]
     )
     return totals.withColumns(
         {
@@ -309,13 +319,16 @@ def eval_vectors(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK)
     return vector_values(flows, vectors, lookback).filter(F.col("value") >= F.col("threshold_value"))
 
 
-def test_vectors(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """Report per vector: highest value, threshold, whether it matches and why, with the traffic behind it."""
-    values = vector_values(flows, vectors, lookback)
+def test_vectors(flows: DataFrame, vectors: DataFrame, lookback: int = LOOKBACK, samples: int = 5) -> DataFrame:
+    """Report per vector: highest value, threshold, whether it matches and why, the traffic behind it and samples of it."""
+    values = vector_values(flows, vectors, lookback, samples)
+    numbered = [f"sample_{n}" for n in range(samples)]
     peak = values.groupBy("vector_id").agg(
         F.max("value").alias("value"), F.sum("flows").alias("flows"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"),
-        F.max_by("target_ip", F.struct("value", "target_ip")).alias("top_target"),
+        F.max_by("target_ip", F.struct("value", "target_ip")).alias("top_target"), *[F.max(c).alias(c) for c in numbered],
     )
+    if samples:
+        peak = peak.withColumn("samples", F.sort_array(F.array_compact(F.array(*numbered)), asc=False)).drop(*numbered)
     known = vectors.select("vector_id", "threshold_value", "threshold_unit")
     out = known.join(peak, "vector_id", "left")
     match = F.coalesce(F.col("value") >= F.col("threshold_value"), F.lit(False))
@@ -608,17 +621,27 @@ def anomaly_series(anomalies: DataFrame, flows: DataFrame, window_seconds: int =
     """
     start = F.unix_seconds("first_seen") - 900
     end = F.greatest(F.unix_seconds("last_seen"), F.unix_seconds("first_seen") + 3600)
-    spans = anomalies.withColumns({"__start": start, "__end": end}).select(
-        "anomaly_id", F.col("dst_ip").alias("a_dst"), F.col("src_ip").alias("a_src"), F.col("dst_port").alias("a_port"), "__start", "__end",
-        F.explode(F.sequence(F.floor(F.col("__start") / bin_seconds), F.floor(F.col("__end") / bin_seconds))).alias("__bin"),
-    )
+    whole = staged(
+        anomalies.select("anomaly_id", F.col("dst_ip").alias("a_dst"), F.col("src_ip").alias("a_src"), F.col("dst_port").alias("a_port"), start.alias("__start"), end.alias("__end"))
+    )
+    slot = lambda c: F.floor(c / window_seconds)
+    # Flows are added up for each conversation and window before they meet anomalies.  Only windows
+    # that an anomaly of the target cuts keep their seconds.
+    cut = whole.select(F.col("a_dst").alias("c_dst"), F.explode(F.array(slot(F.col("__start")), slot(F.col("__end")))).alias("c_slot")).distinct()
     at = F.unix_seconds("flow_time")
-    met = flows.withColumn("__fbin", F.floor(at / bin_seconds)).join(
-        spans, (F.col("dst_ip") == F.col("a_dst")) & (F.col("__fbin") == F.col("__bin")) & at.between(F.col("__start"), F.col("__end"))
+    near = flows.join(whole.select(F.col("a_dst").alias("dst_ip")).distinct(), "dst_ip", "left_semi").withColumns({"__slot": slot(at), "__second": at})
+    split = near.join(cut, (F.col("dst_ip") == F.col("c_dst")) & (F.col("__slot") == F.col("c_slot")), "left")
+    reduced = split.groupBy("dst_ip", "src_ip", "dst_port", "__slot", F.when(F.col("c_slot").isNotNull(), F.col("__second")).alias("__second")).agg(
+        F.sum("packets").alias("packets")
+    )
+    spans = whole.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__start") / bin_seconds), F.floor(F.col("__end") / bin_seconds))))
+    moment = F.coalesce(F.col("__second"), F.col("__slot") * window_seconds)
+    met = reduced.withColumn("__at", moment).withColumn("__fbin", F.floor(F.col("__at") / bin_seconds)).join(
+        spans, (F.col("dst_ip") == F.col("a_dst")) & (F.col("__fbin") == F.col("__bin")) & F.col("__at").between(F.col("__start"), F.col("__end"))
     )
     narrow = (F.col("src_ip") == F.col("a_src")) & (F.col("dst_port") == F.col("a_port"))
     seconds = float(window_seconds)
-    points = met.groupBy("anomaly_id", scalars.bucket(F.col("flow_time"), window_seconds).alias("bucket")).agg(
+    points = met.groupBy("anomaly_id", F.timestamp_seconds(F.col("__slot") * window_seconds).alias("bucket")).agg(
         (F.sum("packets") / seconds).alias("target_packets_s"),
         (F.sum(F.when(narrow, F.col("packets"))) / seconds).alias("conversation_packets_s"),
     )
