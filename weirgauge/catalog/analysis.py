@@ -203,24 +203,24 @@ def _draft_rules(s, d):
 
 @query(
     "draft_attack_vectors",
-    f"""{CASES_CTE} SELECT case_key AS source_case, CASE WHEN dominant_protocol IN ('udp','tcp','icmp') THEN dominant_protocol ELSE 'any' END AS protocol, direction,
+    f"""{CASES_CTE} SELECT case_key AS source_case, CASE WHEN evidence_status IN ('insufficient','no_peak') THEN 'insufficient_evidence' WHEN dominant_dst_ip = '' THEN 'no_dominant_group' END AS reason, CASE WHEN dominant_protocol IN ('udp','tcp','icmp') THEN dominant_protocol ELSE 'any' END AS protocol, direction,
 CASE WHEN dominant_protocol IN ('udp','tcp','icmp') THEN upper(dominant_protocol) ELSE 'IP' END AS decoder, round_even(greatest(baseline_p99 * 1.2::DOUBLE, peak_value * 0.5::DOUBLE), 2) AS threshold_value, metric AS threshold_unit FROM cases""",
 )
 def _draft_vectors(s, d):
     out = peaks.draft_vectors(peaks.draft_rules(cases(s, d)))
-    return out.select("source_case", "protocol", "direction", "decoder", "threshold_value", "threshold_unit")
+    return out.select("source_case", "reason", "protocol", "direction", "decoder", "threshold_value", "threshold_unit")
 
 
 @query(
     "draft_response_profiles",
-    f"""{CASES_CTE} SELECT case_key AS source_case, CASE classification WHEN 'aggregate_udp_without_dominant_vector' THEN 'src_and_dst_ip' ELSE 'dst_ip' END AS target_selector,
+    f"""{CASES_CTE} SELECT case_key AS source_case, CASE WHEN evidence_status IN ('insufficient','no_peak') THEN 'insufficient_evidence' WHEN dominant_dst_ip = '' THEN 'no_dominant_group' WHEN NOT mitigation_allowed THEN 'no_safe_candidate' END AS reason, CASE classification WHEN 'aggregate_udp_without_dominant_vector' THEN 'src_and_dst_ip' ELSE 'dst_ip' END AS target_selector,
 CASE classification WHEN 'tcp_syn_flood_to_single_destination_port' THEN 'tcp' WHEN 'icmp_flood' THEN 'icmp' ELSE 'udp' END AS protocol_selector,
 CASE WHEN classification = 'icmp_flood' THEN 'any' WHEN classification = 'dns_udp_abuse_outbound' THEN 'fixed' WHEN classification = 'aggregate_udp_without_dominant_vector' OR dominant_dst_port = 0 THEN 'anomaly_dst_port' ELSE 'fixed' END AS dst_port_selector,
 CASE WHEN classification = 'icmp_flood' THEN '' WHEN classification = 'dns_udp_abuse_outbound' THEN '53' WHEN dominant_dst_port > 0 THEN dominant_dst_port::VARCHAR ELSE '' END AS dst_port_value FROM cases""",
 )
 def _draft_profiles(s, d):
     out = peaks.draft_profiles(cases(s, d))
-    return out.select("source_case", "target_selector", "protocol_selector", "dst_port_selector", "dst_port_value")
+    return out.select("source_case", "reason", "target_selector", "protocol_selector", "dst_port_selector", "dst_port_value")
 
 
 @query(

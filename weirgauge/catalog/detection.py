@@ -499,6 +499,17 @@ def _learned_quiet(s, d):
     return _rounded(learn.learn_thresholds(kept, _LEARN_KEYS))
 
 
+@query(
+    "merged_suggestions",
+    """st AS (SELECT DISTINCT 'k' || c_nationkey AS suggestion_key, 'stored' AS origin FROM customer), nw AS (SELECT DISTINCT 'k' || (s_nationkey * 2) AS suggestion_key, 'learned' AS origin FROM supplier)
+SELECT * FROM st WHERE suggestion_key NOT IN (SELECT suggestion_key FROM nw) UNION ALL SELECT * FROM nw""",
+)
+def _merged_suggestions(s, d):
+    stored = table(s, d, "customer").selectExpr("concat('k', c_nationkey) AS suggestion_key", "'stored' AS origin").distinct()
+    learned = table(s, d, "supplier").selectExpr("concat('k', s_nationkey * 2) AS suggestion_key", "'learned' AS origin").distinct()
+    return learn.merge_suggestions(stored, learned)
+
+
 _SNMP_CTE = f"""
 mn AS (SELECT sensor, input_if AS if_index, date_trunc('minute', flow_time) AS t, sum(bytes * {RATE})::BIGINT AS b FROM flows GROUP BY ALL),
 sn AS (SELECT *, sum(b * 2) OVER (PARTITION BY sensor, if_index ORDER BY t)::BIGINT % 500000000 AS in_octets FROM mn),

@@ -307,6 +307,14 @@ query(
         table(s, d, "supplier").selectExpr("s_nationkey * 2 AS k"), table(s, d, "nation").selectExpr("n_nationkey AS k", "n_name"), ["k"]
     )
 )
+query(
+    "seed_rows_first_by_order",
+    "r AS (SELECT c_nationkey AS k, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS rn FROM customer) SELECT k, c_custkey, c_name FROM r WHERE rn = 1 AND k NOT IN (SELECT s_nationkey * 2 FROM supplier)",
+)(
+    lambda s, d: tables.insert_missing(
+        table(s, d, "supplier").selectExpr("s_nationkey * 2 AS k"), table(s, d, "customer").selectExpr("c_nationkey AS k", "c_custkey", "c_name"), ["k"], ["c_name"]
+    )
+)
 query(
     "orders_within_retention",
     "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 400 DAY",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -466,6 +466,29 @@ def _ports(s, d):
     return rows.groupBy("dst_port", "tcp_flags").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "series_in_resolved_range",
+    """SELECT sensor AS key, to_timestamp(epoch(flow_time)::BIGINT // 120 * 120)::TIMESTAMP AS bucket, round(sum(bytes)::BIGINT * 8 / 120.0, 4)::DOUBLE AS value FROM flows
+WHERE date_trunc('minute', flow_time) >= TIMESTAMP '2026-07-10 12:25:00' AND flow_time < TIMESTAMP '2026-07-10 14:00:00' GROUP BY ALL""",
+)
+def _resolved_range(s, d):
+    # Asked for until six hours from now: clipped to now, 95 minutes in at most 50 points of a minute or more.
+    start, end, _ = series.resolve_range(END, start=END - timedelta(minutes=95), end=END + timedelta(hours=6))
+    size = series.choose_bucket(start, end, 50, 60)
+    stored = rollup.dash_rollup(flows(s, d), "protocol").filter((F.col("minute") >= flt.ts_lit(start)) & (F.col("minute") < flt.ts_lit(end)))
+    return series.traffic_series(stored, "sensor", "bps", size).withColumn("value", F.round("value", 4))
+
+
+@query(
+    "series_at_effective_interval",
+    "SELECT input_if, to_timestamp(epoch(flow_time)::BIGINT // 72 * 72)::TIMESTAMP AS bucket, sum(packets)::BIGINT AS raw_packets, round(sum(packets)::BIGINT / 72.0, 4)::DOUBLE AS packets_s FROM flows GROUP BY ALL",
+)
+def _effective_interval(s, d):
+    size = series.effective_interval_ms(int((END - START).total_seconds() * 1000), 1000, 100) // 1000
+    out = series.learning_series(flows(s, d), size, ["input_if"])
+    return out.select("input_if", "bucket", "raw_packets", F.round("packets_s", 4).alias("packets_s"))
+
+
 query(
     "sensor_options",
     "SELECT sensor, max(flow_time) AS last_seen, count(*) AS row_count FROM flows WHERE sensor <> '' GROUP BY sensor",

@@ -404,6 +404,29 @@ def apply_feedback(cases: DataFrame, feedback: DataFrame) -> DataFrame:
     return joined.select(*kept, *[F.col(f"__f.{c}").alias(c) for c in [*fields, "feedback_updated_at"]])
 
 
+def draft_reason(cases: DataFrame, needs_candidate: bool = False) -> Column:
+    """Why a stored case may not become an action; null when it may.
+
+    A safe candidate is one whose action is more than an alert: ``candidate_action`` where cases
+    have it, else the verdict ``mitigation_allowed``.  A technical report is asked for where
+    cases have the column.
+    """
+    reason = (
+        F.when(F.col("evidence_status").isin("insufficient", "no_peak"), "insufficient_evidence")
+        .when(F.coalesce("dominant_dst_ip", F.lit("")) == "", "no_dominant_group")
+        .when(F.coalesce("classification", F.lit("")) == "", "no_classification")
+    )
+    if needs_candidate:
+        if "candidate_action" in cases.columns:
+            safe = F.coalesce("candidate_action", F.lit("alert_only")) != "alert_only"
+        else:
+            safe = F.coalesce("mitigation_allowed", F.lit(False))
+        reason = reason.when(~safe, "no_safe_candidate")
+    if "technical_report" in cases.columns:
+        reason = reason.when(F.coalesce("technical_report", F.lit("")) == "", "no_technical_report")
+    return reason
+
+
 def draft_rules(cases: DataFrame) -> DataFrame:
     """Disabled draft detection rules from stored cases; a case that may not become one carries a reason."""
     sends = F.col("direction").isin(*sorted(SENDS))
@@ -414,15 +437,10 @@ def draft_rules(cases: DataFrame) -> DataFrame:
     known = F.when(proto.isin("UDP", "TCP", "ICMP"), proto).otherwise("ALL")
     name = F.concat_ws("_", F.lit("PH_RULE"), F.nullif(scalars.slug(F.col("classification")), F.lit("")), port.cast("string"),
                        scalars.slug(F.lower(known)))
-    reason = (
-        F.when(F.col("evidence_status").isin("insufficient", "no_peak"), "insufficient_evidence")
-        .when(F.coalesce("dominant_dst_ip", F.lit("")) == "", "no_dominant_group")
-        .when(F.coalesce("classification", F.lit("")) == "", "no_classification")
-    )
     interface = F.col("interface_id").cast("string")
     return cases.select(
         F.col("case_key").alias("source_case"),
-        reason.alias("reason"),
+        draft_reason(cases).alias("reason"),
         name.alias("vector"),
         F.when(sends, "internal_ip_to_dst").otherwise("internal_ip").alias("domain"),
         F.when(sends, "transmits").otherwise("receives").alias("direction"),
@@ -444,7 +462,7 @@ def draft_rules(cases: DataFrame) -> DataFrame:
 
 
 def draft_profiles(cases: DataFrame) -> DataFrame:
-    """Disabled draft response profiles: what a manual block would select."""
+    """Disabled draft response profiles: what a manual block would select; it takes a safe candidate."""
     kind, proto = F.col("classification"), F.lower(F.coalesce(F.nullif("dominant_protocol", F.lit("")), F.lit("udp")))
     dns = kind == "dns_udp_abuse_outbound"
     aggregate = kind == "aggregate_udp_without_dominant_vector"
@@ -458,6 +476,7 @@ def draft_profiles(cases: DataFrame) -> DataFrame:
     icmp = ~dns & ~aggregate & ~kind.contains("tcp") & kind.contains("icmp")
     return cases.select(
         F.col("case_key").alias("source_case"),
+        draft_reason(cases, needs_candidate=True).alias("reason"),
         F.concat_ws("_", F.lit("PH"), scalars.slug(kind), port, scalars.slug(proto)).alias("name"),
         F.when(aggregate, "src_and_dst_ip").otherwise("dst_ip").alias("target_selector"),
         F.when(protocol.isin("udp", "tcp", "icmp"), protocol).otherwise("anomaly_protocol").alias("protocol_selector"),
@@ -472,10 +491,11 @@ def draft_profiles(cases: DataFrame) -> DataFrame:
 
 
 def draft_vectors(rules: DataFrame) -> DataFrame:
-    """Disabled draft attack vectors from draft rules."""
+    """Disabled draft attack vectors from draft rules, with the reason that a rule carries."""
     proto = F.lower("protocol")
     return rules.select(
         "source_case",
+        "reason",
         F.col("vector").alias("name"),
         F.when(F.coalesce("dst_cidr", F.lit("")) != "", "external_ip").otherwise("any").alias("domain_type"),
         F.col("dst_cidr").alias("target_cidr"),

@@ -19,9 +19,18 @@ def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return df.groupBy(*keys).agg(newest).select(*keys, "__row.*").select(*df.columns)
 
 
-def insert_missing(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key that is not stored yet; the caller appends them."""
-    return rows.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+def insert_missing(existing: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key that is not stored yet; the caller appends them.
+
+    Of repeated keys the first by ``order`` is taken, then the least by the other columns, so reruns agree.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    new = rows.join(existing.select(*keys).distinct(), keys, "left_anti")
+    if not rest:
+        return new.distinct()
+    ranked = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("__row"))
+    return first.select(*keys, "__row.*").select(*rows.columns)
 
 
 def apply_retention(df: DataFrame, ts: str, days: int | None, now: Column) -> DataFrame:
