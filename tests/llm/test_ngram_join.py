@@ -135,7 +135,7 @@ def test_empty_table_null_and_repeated_ids(spark):
     rows = [(None, "a b c d"), (None, "e f g h"), (4, "a b c d"), (4, "a b c d"), (5, None)]
     got = ngram_join.near_classes(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()
     assert sorted((r["node"], r["component"]) for r in got) == sorted(
-        [(ngram_join.NO_ID, ngram_join.NO_ID)] * 2 + [(4, ngram_join.NO_ID)] * 2 + [(5, 5)]
+        [(ngram_join.NO_ID, 4)] * 2 + [(4, 4)] * 2 + [(5, 5)]
     )
 
 

@@ -7,7 +7,9 @@ rarest first, are scanned.  The boundary is the one of least cost for the sizes
 
 Heavy sets without any partner are dropped before lists are built: the shingles of a set
 are dealt by hash to one segment more than a linked pair can differ in, so that linked
-sets agree in a whole segment, and a set that shares no segment has no link.  Empty segments
+sets agree in a whole segment, and a set that shares no segment has no link.  Keys of segments
+are counted first; a fixed number of bits then tells most keys of a single set, which are
+not shuffled a second time.  Empty segments
 count only for sets that have so many that a pair could agree in nothing else.  What stays
 has its shingles counted exactly; a set enters the lists of its rarest shingles only
 (prefix of 0.1 n + 1 at 0.9), and a place in that order bounds the overlap that is still possible.
@@ -23,7 +25,8 @@ Equal sets are one set throughout.  Every comparison is an exact intersection.
 
 Defined results: null and empty texts have no set, link with nothing and are their own
 component; rows sharing an id (null counts as an id) are one document with the links of
-any of them; fewer words than a shingle has make one shingle; an empty table gives no rows.
+any of them; a class is named by its smallest id that is not null, if it has one; fewer words
+than a shingle has make one shingle; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,24 +58,93 @@ class Rule(NamedTuple):
 CONTRACT = Rule()
 LARGEST_BOUNDARY = 40
 CLASS_RATIO = 1.5  # sizes of a class of heavy sets differ by this factor at most
-NO_ID = -(2**63)
+NO_ID = 2**63 - 1  # a null id is the last one, so that a class is named by an id where it has one
+MARKS = 1 << 26  # bits that tell keys of several sets from others before they are shuffled again
+#: A-Z in lower case; bytes.split() parts words at the same characters as the contract.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def shingles_of(texts: list[bytes], rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values): the distinct 64-bit shingle hashes of each text, ascending, one text after another.
+
+    A text with fewer words than a shingle has is one shingle of its own kind.
+    """
+    sizes, values = [], []
+    for some in at_once(texts):
+        spoken = [t.translate(FOLDED).split() for t in some]
+        counts = [len(w) for w in spoken]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(spoken)), dtype=np.uint64, count=sum(counts))
+        padded = np.concatenate([h, np.zeros(rule.width, dtype=np.uint64)])
+        total = np.zeros(len(h), dtype=np.uint64)
+        for k in range(rule.width):
+            total += padded[k : k + len(h)] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)
+        whole = _mix(total, rule.width).view(np.int64)
+        at = 0
+        for n in counts:
+            if n >= rule.width:
+                own = np.unique(whole[at : at + n - rule.width + 1])
+            elif n:
+                own = np.array([xxhash.xxh3_64_intdigest(h[at : at + n].tobytes(), seed=n) - 2**63], dtype=np.int64)
+            else:
+                own = whole[:0]
+            sizes.append(len(own))
+            values.append(own)
+            at += n
+    return np.array(sizes, dtype=np.int64), np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
+
+
+def at_once(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """Runs of texts with about so many bytes together."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text): the id, null as ``NO_ID``, and the text as bytes."""
+    node = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID))
+    return docs.select(node.alias("node"), text_of(F.col(f"`{text}`")).cast("binary").alias("text"))
+
+
+def set_names(sizes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """128 bits for each set, as two signed numbers."""
+    out, at = [], 0
+    for n in sizes.tolist():
+        whole = xxhash.xxh3_128_intdigest(values[at : at + n].tobytes())
+        out.append(((whole >> 64) - 2**63, (whole & 2**64 - 1) - 2**63))
+        at += n
+    return out
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule = CONTRACT) -> DataFrame:
     """(node, sh) for each row; sh holds distinct 64-bit shingle hashes in ascending order."""
-    rows = docs.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)).alias("node"),
-        words(lower_ascii(text_of(F.col(f"`{text}`")))).alias("w"),
-    )
-    word = lambda k: F.get("w", k if isinstance(k, Column) else F.lit(k))
-    full = F.transform("w", lambda x, i: F.xxhash64(x, *[word(i + k) for k in range(1, rule.width)]))
-    short = F.array(F.xxhash64(*[word(k) for k in range(max(1, rule.width - 1))]))  # words that are not there do not count
-    raw = (
-        F.when(F.size("w") >= rule.width, F.slice(full, 1, F.size("w") - (rule.width - 1)))
-        .when(F.size("w") > 0, short)
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-    return rows.select("node", F.sort_array(F.array_distinct(raw)).alias("sh"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "sh"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "node bigint, sh array<bigint>")
+
+
+def named_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule = CONTRACT) -> DataFrame:
+    """(node, n, a, b) for each row: size and name of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+            names = set_names(sizes, values)
+            columns = [batch.column("node"), pa.array(sizes.astype(np.int32)), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "a", "b"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "node bigint, n int, a bigint, b bigint")
 
 
 def least_overlap(n: int, m: int, rule: Rule = CONTRACT) -> int:
@@ -184,25 +256,46 @@ def segment_keys(
     return (np.concatenate(sets), np.concatenate(keys)) if sets else (none, none)
 
 
-def meeting_keys(sets: DataFrame, boundary: int, rule: Rule = CONTRACT) -> DataFrame:
-    """(node, key): linked sets that differ share at least one key."""
+def _all_keys(sizes: np.ndarray, values: np.ndarray, boundary: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key): segments of heavy sets and subsets of small ones."""
+    sets, keys = segment_keys(sizes, values, boundary, rule)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    more = [(sets, keys)]
+    for one in np.flatnonzero((sizes > 0) & (rule.num * sizes < rule.den * boundary)):
+        own = np.fromiter(subset_keys(values[starts[one] : starts[one] + sizes[one]], boundary, rule), dtype=np.int64)
+        more.append((np.full(len(own), one), own))
+    return np.concatenate([m[0] for m in more]), np.concatenate([m[1] for m in more])
+
+
+def meeting_keys(docs: DataFrame, doc_id: str, text: str, boundary: int, rule: Rule = CONTRACT, among: np.ndarray | None = None) -> DataFrame:
+    """(key, a): linked sets that differ share at least one key; a names the set, so copies of a text are one.
+
+    ``among`` are bits of keys (``marked_keys``): keys whose bit is not set are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("sh")
-            offsets = np.asarray(column.offsets, dtype=np.int64)
-            values = np.asarray(column.values)[offsets[0] : offsets[-1]]
-            lengths, node = np.diff(offsets), np.asarray(batch.column("node"))
-            sets, keys = segment_keys(lengths, values, boundary, rule)
-            starts = offsets[:-1] - offsets[0]
-            small = np.flatnonzero((lengths > 0) & (rule.num * lengths < rule.den * boundary))
-            for one in small:
-                sh = values[starts[one] : starts[one] + lengths[one]]
-                own = np.fromiter(subset_keys(sh, boundary, rule), dtype=np.int64)
-                sets, keys = np.concatenate([sets, np.full(len(own), one)]), np.concatenate([keys, own])
-            yield pa.RecordBatch.from_arrays([pa.array(node[sets]), pa.array(keys)], ["node", "key"])
-
-    return sets.mapInArrow(run, "node bigint, key bigint")
+            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+            sets, keys = _all_keys(sizes, values, boundary, rule)
+            if shared is not None:
+                bit = keys & (MARKS - 1)
+                kept = (shared.value[bit >> 5] >> (bit & 31)) & 1 == 1
+                sets, keys = sets[kept], keys[kept]
+            names = np.array([a for a, _ in set_names(sizes, values)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[sets] if len(names) else keys)], ["key", "a"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "key bigint, a bigint")
+
+
+def marked_keys(keys: DataFrame) -> np.ndarray:
+    """Bits of ``keys`` by their last 26 bits: at most two million numbers, however many keys there are."""
+    bit = F.col("key").bitwiseAND(MARKS - 1)
+    marks = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(32)).cast("int")))
+    found = keys.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(marks.alias("bits")).toArrow()
+    out = np.zeros(MARKS // 32, dtype=np.int64)
+    out[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+    return out
 
 
 def _close(n: Column, m: Column, overlap: Column, rule: Rule) -> Column:
@@ -305,18 +398,16 @@ def links(sets: DataFrame, boundary: int, rule: Rule = CONTRACT) -> DataFrame:
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """(node, n_shingles, component) for each row of ``docs``; component is the smallest id reachable by links."""
-    sets = shingle_sets(docs, doc_id, text, rule)
-    about = staged(
-        sets.select("node", F.size("sh").alias("n"), F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("second half"), "sh").alias("b"))
-    )
+    about = staged(named_sets(docs, doc_id, text, rule))
     small = f"n between 1 and {LARGEST_BOUNDARY * rule.den // rule.num + 1}"
     sizes = {r["n"]: r["count"] for r in about.where(small).groupBy("n").count().collect()}  # one row for each small size
     boundary = choose_boundary(sizes) if rule == CONTRACT else choose_boundary(sizes, rule)
     heads = staged(about.where("n > 0").groupBy("n", "a", "b").agg(F.min("node").alias("head")))
-    keys = meeting_keys(sets, boundary, rule)
-    busy = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    partnered = keys.join(busy, "key").select("node").distinct()
-    chosen = staged(partnered.join(heads.select(F.col("head").alias("node")).distinct(), "node", "left_semi"))
+    every = meeting_keys(docs, doc_id, text, boundary, rule)
+    busy = staged(every.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key"))
+    again = meeting_keys(docs, doc_id, text, boundary, rule, marked_keys(busy))
+    partnered = staged(again.join(busy, "key", "left_semi").select("a").distinct())
+    chosen = staged(heads.join(partnered, "a", "left_semi").select(F.col("head").alias("node")).distinct())
     id_column = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID))
     texts = docs.select(id_column.alias("__id"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).join(
         chosen, F.col("__id") == F.col("node"), "left_semi"
@@ -332,7 +423,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
-    """Exactly one row of each class, one with its smallest id (null first); rows without a word all stay.
+    """Exactly one row of each class, one with its smallest id (null last); rows without a word all stay.
 
     A row is known by its id, and by id and words where several rows share the id.
     """

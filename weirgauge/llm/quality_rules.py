@@ -185,7 +185,8 @@ def judge(
             }
         )
     )
-    limits = group_fences(fences(staged(sketches(measured))))
+    # Stored, so that its size is known: a few rows, which no text has to be shuffled to meet.
+    limits = staged(group_fences(fences(staged(sketches(measured)))))
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     inside = F.lit(True)
     for name in MEASURES:
