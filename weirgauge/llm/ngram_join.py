@@ -69,41 +69,35 @@ def shingles_of(texts: list[bytes], rule: Rule = CONTRACT) -> tuple[np.ndarray,
 
     A text with fewer words than a shingle has is one shingle of its own kind.
     """
-    sizes, values = [], []
-    for some in at_once(texts):
-        spoken = [t.translate(FOLDED).split() for t in some]
-        counts = [len(w) for w in spoken]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(spoken)), dtype=np.uint64, count=sum(counts))
-        padded = np.concatenate([h, np.zeros(rule.width, dtype=np.uint64)])
-        total = np.zeros(len(h), dtype=np.uint64)
-        for k in range(rule.width):
-            total += padded[k : k + len(h)] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)
-        whole = _mix(total, rule.width).view(np.int64)
-        at = 0
-        for n in counts:
-            if n >= rule.width:
-                own = np.unique(whole[at : at + n - rule.width + 1])
-            elif n:
-                own = np.array([xxhash.xxh3_64_intdigest(h[at : at + n].tobytes(), seed=n) - 2**63], dtype=np.int64)
-            else:
-                own = whole[:0]
-            sizes.append(len(own))
-            values.append(own)
-            at += n
-    return np.array(sizes, dtype=np.int64), np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
-
-
-def at_once(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
-    """Runs of texts with about so many bytes together."""
-    run, held = [], 0
-    for text in texts:
-        run.append(text)
-        held += len(text)
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+    spoken = [t.translate(FOLDED).split() for t in texts]
+    counts = [len(w) for w in spoken]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(spoken)), dtype=np.uint64, count=sum(counts))
+    padded = np.concatenate([h, np.zeros(rule.width, dtype=np.uint64)])
+    total = np.zeros(len(h), dtype=np.uint64)
+    for k in range(rule.width):
+        total += padded[k : k + len(h)] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)
+    whole = _mix(total, rule.width).view(np.int64)
+    values, at = [whole[:0]], 0
+    for n in counts:
+        if n >= rule.width:
+            values.append(np.unique(whole[at : at + n - rule.width + 1]))
+        elif n:
+            values.append(np.array([xxhash.xxh3_64_intdigest(h[at : at + n].tobytes(), seed=n) - 2**63], dtype=np.int64))
+        else:
+            values.append(whole[:0])
+        at += n
+    return np.array([len(v) for v in values[1:]], dtype=np.int64), np.concatenate(values)
+
+
+def in_runs(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(nodes, texts) of a batch in runs of about so many bytes of text."""
+    node, texts = batch.column("node"), batch.column("text")
+    start, held = 0, 0
+    for at, length in enumerate(np.diff(np.asarray(texts.offsets, dtype=np.int64)).tolist(), 1):
+        held += length
+        if held >= size or at == len(texts):
+            yield node.slice(start, at - start), texts.slice(start, at - start).to_pylist()
+            start, held = at, 0
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -126,10 +120,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule = CONTRACT)
     """(node, sh) for each row; sh holds distinct 64-bit shingle hashes in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+        for node, texts in (run for batch in batches for run in in_runs(batch)):
+            sizes, values = shingles_of(texts, rule)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "sh"])
+            yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "sh"])
 
     return _texts(docs, doc_id, text).mapInArrow(run, "node bigint, sh array<bigint>")
 
@@ -138,10 +132,10 @@ def named_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule = CONTRACT) -
     """(node, n, a, b) for each row: size and name of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+        for node, texts in (run for batch in batches for run in in_runs(batch)):
+            sizes, values = shingles_of(texts, rule)
             names = set_names(sizes, values)
-            columns = [batch.column("node"), pa.array(sizes.astype(np.int32)), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))]
+            columns = [node, pa.array(sizes.astype(np.int32)), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "a", "b"])
 
     return _texts(docs, doc_id, text).mapInArrow(run, "node bigint, n int, a bigint, b bigint")
@@ -275,8 +269,8 @@ def meeting_keys(docs: DataFrame, doc_id: str, text: str, boundary: int, rule: R
     shared = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, values = shingles_of(batch.column("text").to_pylist(), rule)
+        for _, texts in (run for batch in batches for run in in_runs(batch)):
+            sizes, values = shingles_of(texts, rule)
             sets, keys = _all_keys(sizes, values, boundary, rule)
             if shared is not None:
                 bit = keys & (MARKS - 1)
