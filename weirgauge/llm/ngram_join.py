@@ -38,6 +38,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def in_runs(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[tuple[pa.A
     """(nodes, texts) of a batch in runs of about so many bytes of text."""
     node, texts = batch.column("node"), batch.column("text")
     start, held = 0, 0
-    for at, length in enumerate(np.diff(np.asarray(texts.offsets, dtype=np.int64)).tolist(), 1):
+    for at, length in enumerate(pc.binary_length(texts).to_pylist(), 1):
         held += length
         if held >= size or at == len(texts):
             yield node.slice(start, at - start), texts.slice(start, at - start).to_pylist()
