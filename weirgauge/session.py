@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+_noted: list[list[str]] = []  # open lists of ``noting``
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back.
 
@@ -70,4 +75,32 @@ def staged(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/weirgauge/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _noted:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The folders that ``staged`` writes inside the block."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str], kept: DataFrame) -> list[str]:
+    """Delete staged folders that ``kept`` does not read; those that it reads are returned.
+
+    Only for folders whose results were written elsewhere.  The driver's memory is collected as
+    well: Spark removes the shuffle files of plans that nobody holds any more only then.
+    """
+    read = kept.inputFiles()
+    held = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in read)]
+    for path in set(paths) - set(held):
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    spark._jvm.System.gc()
+    return held
