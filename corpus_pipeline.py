@@ -1,16 +1,21 @@
 """The corpus pipeline: stages from raw documents to packed sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
-Parquet to the shared folder and reads again as the next one's ``docs``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's ``docs``; ``run`` writes it to the shared folder.  Once the
+next stage begins, the folders that a stage made for itself are deleted, unless the new
+``docs`` still read them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weirgauge.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from weirgauge.llm.common import documents, unpacked
-from weirgauge.session import staged
+from weirgauge.session import noting, release, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,27 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_own: list[str] = []  # folders that the last stage made for itself
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, once what the one before it left behind is gone."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _own[:] = release(spark, _own, docs)
+        with noting() as made:
+            out = stage(spark, docs, sf_dir)
+        _own.extend(made)
+        return out
+
+    return begun
+
+
 STAGES = [
-    ("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near),
-    ("mixing sources to target weights", mix), ("best-fit packing", pack),
+    ("quality rules", tidy(quality)), ("line dedup", tidy(lines)), ("n-gram Jaccard join", tidy(near)),
+    ("mixing sources to target weights", tidy(mix)), ("best-fit packing", tidy(pack)),
 ]
 
 ORACLE_SQL = None  # tokenizers and packing have no SQL form; tests/llm/test_pipeline.py compares with plain Python
