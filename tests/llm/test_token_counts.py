@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +27,13 @@ def test_equal_to_the_library(texts):
     assert tc.compiled(PATH).count(texts).tolist() == library(texts)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(), st.text(alphabet="ab'retsl <|!1é"), st.lists(st.sampled_from(MIXED)).map("".join)), max_size=6))
+def test_ids_equal_to_the_library(texts):
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert SMALL.ids(texts) == want == tc.compiled(PATH).ids(texts)
+
+
 @pytest.mark.parametrize("chunks", [1, 3, 64, 4096])
 def test_any_number_of_chunks(chunks):
     draw = random.Random(chunks)

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirgauge.llm.common import documents, query
+from weirgauge.llm.token_counts import compiled
 from weirgauge.session import staged
 
 CAPACITY = 2048
 GROUPS = 300  # groups of equal cardinality
 LARGE = 3  # lengths above capacity / LARGE are grouped; a configuration has fewer than LARGE of them
-CACHED = 400_000  # chunks whose ids a task keeps
 
 
 def default_tokenizer() -> str:
@@ -42,37 +42,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_models: dict = {}  # of this Python worker: tokenizer and ids of frequent chunks, by path
-
-
-def model_of(path: str) -> tuple:
-    """The tokenizer at ``path`` and the ids known of its chunks; loaded once for a worker."""
-    if path not in _models:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-        from tokenizers import Tokenizer
-
-        _models[path] = Tokenizer.from_file(path), {}
-    return _models[path]
-
-
-def id_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers.
-
-    White space separates the words of this tokenizer and has no ids, so a text has the
-    ids of its chunks between blanks; those of frequent chunks are kept.
-    """
-    model, known = model_of(path)
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    fresh = list(set().union(*split).difference(known))
-    if len(known) + len(fresh) > CACHED:
-        known.clear()
-        fresh = list(set().union(*split))
-    for chunk, found in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-    for chunks in split:
-        yield b"".join(map(known.__getitem__, chunks))
+def id_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Token ids of each text as little-endian 32-bit numbers, by the compiled tokenizer."""
+    return compiled(path).ids(texts)
 
 
 def at_once(texts: Iterator[str], characters: int = 2_000_000) -> Iterator[list[str]]:

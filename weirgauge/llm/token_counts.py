@@ -29,6 +29,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import product
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +180,7 @@ class Merges:
                 raise ValueError(f"merge {rank} makes a known token or comes before its parts")
             self.rank[left, right] = rank
             self.parts[whole] = left, right, rank
-        self.trie, self.token = [{}], [-1]
+        self.trie, self.token, self.size = [{}], [-1], np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for text, number in vocabulary.items():
             body = text.removesuffix(end)
             symbols = [letters[c] for c in body]
@@ -193,6 +194,7 @@ class Merges:
                     self.token.append(-1)
                 node = self.trie[node][symbol]
             self.token[node] = number
+            self.size[number] = len(symbols)
         self.borders: tuple[dict, dict] = {}, {}
         self.follows: dict = {}
         self.forget()
@@ -209,17 +211,18 @@ class Merges:
         self.keys = np.full(slots, -1, dtype=np.int64)
         self.after = np.zeros(slots, dtype=np.int32)
         self.adds = np.zeros(slots, dtype=np.int8)
-        for key, (state, adds) in self.edges.items():
-            self._put(key, state, adds)
+        self.last = np.zeros(slots, dtype=np.int32)
+        for key, edge in self.edges.items():
+            self._put(key, *edge)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
 
-    def _put(self, key: int, state: int, adds: int) -> None:
+    def _put(self, key: int, state: int, adds: int, token: int) -> None:
         slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.bits)
         while self.keys[slot] >= 0:
             slot = (slot + 1) & (len(self.keys) - 1)
-        self.keys[slot], self.after[slot], self.adds[slot] = key, state, adds
+        self.keys[slot], self.after[slot], self.adds[slot], self.last[slot] = key, state, adds, token
 
     def _number(self, state: tuple) -> int:
         if state not in self.numbers:
@@ -250,8 +253,8 @@ class Merges:
             )
         return self.follows[first, second]
 
-    def edge(self, state: int, symbol: int) -> tuple[int, int]:
-        """(next state, tokens added)."""
+    def edge(self, state: int, symbol: int) -> tuple[int, int, int]:
+        """(next state, tokens added, the token that now is the last)."""
         key = state << 9 | symbol
         if key not in self.edges:
             token, adds, kept = -1, 0, []
@@ -267,14 +270,14 @@ class Merges:
                 after = START
             else:
                 after = self._number((*((c, b, n - adds) for c, b, n in kept), (0, token, 0)))
-            self.edges[key] = after, adds
+            self.edges[key] = after, adds, token
             if len(self.edges) * 3 > len(self.keys):
                 self._table(len(self.keys) * 2)
             else:
-                self._put(key, after, adds)
+                self._put(key, after, adds, token)
         return self.edges[key]
 
-    def read(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One transition for each chunk."""
         keys = states << 9 | symbols
         slots = self._slots(keys)
@@ -282,7 +285,7 @@ class Merges:
             found = self.keys[slots]
             other = np.flatnonzero(found != keys)
             if not len(other):
-                return self.after[slots].astype(np.int64), self.adds[slots]
+                return self.after[slots].astype(np.int64), self.adds[slots], self.last[slots]
             unknown = other[found[other] < 0]
             if len(unknown):
                 for key in np.unique(keys[unknown]).tolist():
@@ -291,11 +294,11 @@ class Merges:
             else:
                 slots[other] = (slots[other] + 1) & (len(self.keys) - 1)
 
-    def counts(self, symbols: np.ndarray, chunks: int) -> np.ndarray:
-        """Tokens added by each symbol; the last one must end a word."""
+    def counts(self, symbols: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens added, last token) at each symbol; the last symbol must end a word."""
         if len(self.edges) > KEPT:
             self.forget()
-        adds = np.zeros(len(symbols), dtype=np.int64)
+        adds, last = np.zeros(len(symbols), dtype=np.int64), np.zeros(len(symbols), dtype=np.int32)
         ends = np.flatnonzero(symbols > 255)
         near = np.searchsorted(ends, np.linspace(0, len(symbols), chunks, endpoint=False)[1:])
         cuts = np.unique(np.concatenate([[0], ends[near[near < len(ends)]] + 1, [len(symbols)]]))
@@ -305,14 +308,26 @@ class Merges:
         states, t, active = np.zeros(len(at), dtype=np.int64), 0, len(at)
         while active > ALONE:
             where = at[:active] + t
-            states, adds[where] = self.read(states[:active], symbols[where])
+            states, adds[where], last[where] = self.read(states[:active], symbols[where])
             t += 1
             active = int(np.searchsorted(-sizes, -t))
         for chunk in range(active):
             state = int(states[chunk])
             for i, symbol in enumerate(symbols[at[chunk] + t : at[chunk] + sizes[chunk]].tolist(), int(at[chunk]) + t):
-                state, adds[i] = self.edge(state, symbol)
-        return adds
+                state, adds[i], last[i] = self.edge(state, symbol)
+        return adds, last
+
+    def token_ends(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the tokens of the words end: from the end of each word back over its last token, again and again."""
+        found = np.zeros(len(symbols), dtype=bool)
+        ends = np.flatnonzero(symbols > 255)
+        first = np.concatenate([[0], ends[:-1] + 1])
+        while len(ends):
+            found[ends] = True
+            ends = ends - self.size[last[ends]]
+            more = ends >= first
+            ends, first = ends[more], first[more]
+        return found
 
 
 def byte_letters() -> dict[str, int]:
@@ -335,6 +350,7 @@ class Compiled:
             raise ValueError("only BPE over the bytes of words kept by a pattern is compiled")
         whole = Tokenizer.from_file(path)
         self.normalized = whole.normalizer.normalize_str
+        self.encode = lambda text: whole.encode(text, add_special_tokens=False).ids
         self.words = Words(steps[0]["pattern"]["Regex"], whole.pre_tokenizer.pre_tokenize_str)
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -356,10 +372,16 @@ class Compiled:
     def _parts(self, block: str) -> tuple[int, list[str]]:
         """(added tokens, normalised texts between them)."""
         plain = self.added.split(block) if self.added else [block]
-        return len(plain) - 1, [p.lower() if p.isascii() else self.normalized(p) for p in plain]
+        return len(plain) - 1, [self._plain(p) for p in plain]
 
-    def _stream(self, parts: list[str]) -> np.ndarray:
-        """Tokens of each part; all are read as one stream with blanks between them."""
+    def _plain(self, text: str) -> str:
+        """The normalised text; blanks need not be joined, and lower case is that of each letter alone but for a final sigma."""
+        if text.isascii() or (is_normalized("NFC", text) and "\u03a3" not in text):
+            return text.lower()
+        return self.normalized(text)
+
+    def _symbols(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, borders of the parts in them); all are one stream with blanks between them."""
         joined = "\n".join(parts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         ends = self.words.word_ends(points, min(self.chunks, len(points)))
@@ -375,12 +397,52 @@ class Compiled:
         symbols = (raw.astype(np.int64) + (ends.astype(np.int64) << 8))[kept]
         sizes = np.array([len(p) if p.isascii() else len(p.encode()) for p in parts], dtype=np.int64)
         borders = np.concatenate([[0], np.cumsum(sizes + 1)])
-        before = np.concatenate([[0], np.cumsum(kept)])[borders]
+        return symbols, np.concatenate([[0], np.cumsum(kept)])[borders]
+
+    def _stream(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each part."""
+        symbols, before = self._symbols(parts)
         if not len(symbols):
             return np.zeros(len(parts), dtype=np.int64)
-        total = np.concatenate([[0], np.cumsum(self.merges.counts(symbols, self.chunks))])
+        total = np.concatenate([[0], np.cumsum(self.merges.counts(symbols, self.chunks)[0])])
         return np.diff(total[before])
 
+    def _ids(self, parts: list[str]) -> list[np.ndarray]:
+        """Token ids of each part."""
+        symbols, before = self._symbols(parts)
+        if not len(symbols):
+            return [np.zeros(0, dtype="<u4")] * len(parts)
+        last = self.merges.counts(symbols, self.chunks)[1]
+        found = self.merges.token_ends(symbols, last)
+        every, cuts = last[found].astype("<u4"), np.concatenate([[0], np.cumsum(found)])[before]
+        return [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian 32-bit numbers; texts with added tokens are left to the library."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owner, parts, held = [], [], 0
+
+        def read() -> None:
+            for i, own in zip(owner, self._ids(parts), strict=True):
+                out[i].append(own.tobytes())
+            owner.clear()
+            parts.clear()
+
+        for i, text in enumerate(texts):
+            if self.added and self.added.search(text):
+                out[i].append(np.array(self.encode(text), dtype="<u4").tobytes())
+                continue
+            for block in self._blocks(text):
+                if parts and held + len(block) > self.block:
+                    read()
+                    held = 0
+                owner.append(i)
+                parts.append(self._plain(block))
+                held += len(block)
+        if parts:
+            read()
+        return [b"".join(found) for found in out]
+
     def count(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
         owner, parts, held = [], [], 0
