@@ -7,6 +7,8 @@ subscriber_id, subscriber_name, valid_from, valid_until, active, confidence)`` a
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def live_mappings(mappings: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 LOOKUP = ["public_ip", "public_port", "protocol_observed", "lookup_time", "connector"]
-CELL = ["__ip", "port_bin", "lo", "hi", "since", "until", "proto", "conn"]
+CELL = ["__ip", "lo", "hi", "since", "until", "proto", "conn"]
 
 
 def _intervals(cuts: Column) -> Column:
@@ -34,47 +36,54 @@ def _intervals(cuts: Column) -> Column:
     return F.arrays_zip(F.concat(open_end.cast(kind), cuts).alias("since"), F.concat(cuts, open_end.cast(kind)).alias("until"))
 
 
-def subscriber_cells(mappings: DataFrame, batches: DataFrame) -> DataFrame:
-    """What any lookup answers: one row for each public address and bin of 64 ports, with its ``cells``.
+class Cells(NamedTuple):
+    """What any lookup answers, in two tables that a lookup meets one row of each."""
+
+    pieces: DataFrame  # (__ip, port_bin, pieces): the pieces of ports in each bin of 64, as (lo, hi)
+    answers: DataFrame  # (c_ip, c_lo, cells): for each piece, its answers by time, protocol and connector
+
 
-    Inside a bin the ports are cut where a mapping begins or ends, and time where one becomes
-    valid or expires.  In such a piece, for each protocol and connector that mappings
+def subscriber_cells(mappings: DataFrame, batches: DataFrame) -> Cells:
+    """The answers to all lookups, from the mappings alone.
+
+    The ports of an address are cut where a mapping begins or ends, and time where one becomes
+    valid or expires.  In such a cell, for each protocol and connector that mappings
     there name (and for all others), every lookup has the same candidates.  They are ranked by
     exact protocol, exact connector, newest approval, batch and confidence; the connector
     ranks and does not filter.  The best rank with its lowest and with its highest identity
     come from two aggregates; if those differ the cell is ambiguous.
     """
     live = live_mappings(mappings, batches).withColumnRenamed("public_ip", "__ip")
-    first = F.col("port_bin") * ports.BIN
+    edges = live.groupBy(F.col("__ip").alias("e_ip")).agg(
+        F.array_sort(F.array_union(F.collect_set("port_start"), F.collect_set(F.col("port_end") + 1))).alias("edges")  # port numbers
+    )
+    first, last = F.array_position("edges", F.col("port_start")), F.array_position("edges", F.col("port_end") + 1)
     entries = staged(
-        live.withColumn("port_bin", F.explode(ports.bins(F.col("port_start"), F.col("port_end")))).withColumns(
+        live.join(edges, F.col("__ip") == F.col("e_ip"))
+        .withColumn("i", F.explode(F.sequence(first, last - 1)))
+        .withColumns(
             {
-                "e_lo": F.greatest("port_start", first), "e_hi": F.least("port_end", first + ports.BIN - 1),
+                "lo": F.get("edges", (F.col("i") - 1).cast("int")), "hi": F.get("edges", F.col("i").cast("int")) - 1,
                 "e_since": F.unix_micros("valid_from"), "e_until": F.unix_micros("valid_until") + 1,
             }
         )
+        .drop("edges", "e_ip", "i")
     )
-    bins = entries.groupBy("__ip", "port_bin").agg(
-        F.array_sort(F.array_union(F.collect_set("e_lo"), F.collect_set(F.col("e_hi") + 1))).alias("edges"),  # 65 numbers at most
+    ranges = entries.groupBy("__ip", "lo", "hi").agg(
         F.array_sort(F.array_union(F.collect_set("e_since"), F.collect_set("e_until"))).alias("times"),
         F.collect_set(F.when(F.col("protocol") != "any", F.col("protocol"))).alias("protocols"),
         F.collect_set(F.col("connector_id").cast("bigint")).alias("connectors"),
     )
     none = lambda kind: F.array(F.lit(None).cast(kind))
-    pieces = (
-        bins.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)))
-        .withColumns({"lo": F.get("edges", F.col("i")), "hi": F.get("edges", F.col("i") + 1) - 1})
-        .withColumn("t", F.explode(_intervals(F.col("times"))))
+    cells = (
+        ranges.withColumn("t", F.explode(_intervals(F.col("times"))))
         .withColumn("proto", F.explode(F.concat(F.col("protocols"), none("string"))))
         .withColumn("conn", F.explode(F.concat(F.col("connectors"), none("bigint"))))
-        .select("__ip", "port_bin", "lo", "hi", "t.since", "t.until", "proto", "conn")
+        .select(F.col("__ip").alias("c_ip"), F.col("lo").alias("c_lo"), "t.since", "t.until", "proto", "conn")
     )
-    cells = pieces.select(F.col("__ip").alias("c_ip"), F.col("port_bin").alias("c_bin"), *CELL[2:])
     match = (
         (F.col("__ip") == F.col("c_ip"))
-        & (F.col("port_bin") == F.col("c_bin"))
-        & (F.col("e_lo") <= F.col("lo"))
-        & (F.col("e_hi") >= F.col("hi"))
+        & (F.col("lo") == F.col("c_lo"))
         & (F.col("e_since").isNull() | F.coalesce(F.col("since") >= F.col("e_since"), F.lit(False)))
         & (F.col("e_until").isNull() | F.coalesce(F.col("until") <= F.col("e_until"), F.lit(False)))
         & ((F.col("protocol") == "any") | F.coalesce(F.col("protocol") == F.col("proto"), F.lit(False)))
@@ -93,7 +102,7 @@ def subscriber_cells(mappings: DataFrame, batches: DataFrame) -> DataFrame:
     found = entries.join(cells, match).groupBy(*CELL).agg(F.max(up).alias("hi_row"), F.min(down).alias("lo_row"), F.count(F.lit(1)).alias("match_count"))
     sure = F.col("hi_row.who") == F.col("lo_row.who")
     answer = F.struct(
-        F.col("proto").isNull().alias("o1"), F.col("conn").isNull().alias("o2"), "lo", "hi", "since", "until", "proto", "conn",
+        F.col("proto").isNull().alias("o1"), F.col("conn").isNull().alias("o2"), "since", "until", "proto", "conn",
         (~sure).alias("ambiguous"),
         F.when(sure, F.col("hi_row.who.private_ip")).alias("private_ip"),
         F.when(sure, F.nullif("hi_row.who.subscriber_id", F.lit(""))).alias("subscriber_id"),
@@ -105,25 +114,29 @@ def subscriber_cells(mappings: DataFrame, batches: DataFrame) -> DataFrame:
         "match_count",
     )
     # Cells that name the protocol and the connector come before those for all others.
-    return staged(found.groupBy("__ip", "port_bin").agg(F.array_sort(F.collect_list(answer)).alias("cells")))
+    answers = staged(found.groupBy(F.col("__ip").alias("c_ip"), F.col("lo").alias("c_lo")).agg(F.array_sort(F.collect_list(answer)).alias("cells")))
+    spread = ranges.select("__ip", "lo", "hi", F.explode(ports.bins(F.col("lo"), F.col("hi"))).alias("port_bin"))
+    pieces = staged(spread.groupBy("__ip", "port_bin").agg(F.collect_list(F.struct("lo", "hi")).alias("pieces")))  # 64 at most
+    return Cells(pieces, answers)
 
 
-def with_cell(rows: DataFrame, cells: DataFrame, lookup: dict[str, Column]) -> DataFrame:
+def with_cell(rows: DataFrame, cells: Cells, lookup: dict[str, Column]) -> DataFrame:
     """Rows with the cell that answers them as ``__cell``, null where no mapping does.
 
-    A row meets one row of ``cells`` at most, by address and port bin: rows are read once
-    and never multiply, and a public address that carries a third of the traffic is split
-    over its bins.  The time only chooses inside the row.
+    A row meets one row of each table at most, by address and port bin and by address and piece
+    of ports: rows are read once and never multiply, and a public address that carries a
+    third of the traffic is split over its bins and pieces.  The time only chooses inside a row.
     """
     named = rows.withColumns({f"__{c}": lookup[c] for c in LOOKUP})
     port, at = F.col("__public_port"), F.unix_micros("__lookup_time")
     in_range = F.when(port.between(0, 65535), ports.port_bin(port))
-    joined = named.join(cells, (F.col("__public_ip") == F.col("__ip")) & (in_range == F.col("port_bin")), "left")
+    placed = named.join(cells.pieces, (F.col("__public_ip") == F.col("__ip")) & (in_range == F.col("port_bin")), "left")
+    piece = F.get(F.filter("pieces", lambda p: port.between(p["lo"], p["hi"])), F.lit(0))["lo"]
+    joined = placed.withColumn("__lo", piece).join(cells.answers, (F.col("__public_ip") == F.col("c_ip")) & (F.col("__lo") == F.col("c_lo")), "left")
 
     def holds(c: Column) -> Column:
         return (
-            port.between(c["lo"], c["hi"])
-            & (c["since"].isNull() | (c["since"] <= at))
+            (c["since"].isNull() | (c["since"] <= at))
             & (c["until"].isNull() | (c["until"] > at))
             & (c["proto"].isNull() | (c["proto"] == F.col("__protocol_observed")))
             & (c["conn"].isNull() | (c["conn"] == F.col("__connector")))
@@ -148,7 +161,7 @@ def resolve_subscriber(lookups: DataFrame, mappings: DataFrame, batches: DataFra
     )
 
 
-def with_subscriber(flows: DataFrame, cells: DataFrame, lookup: dict[str, Column]) -> DataFrame:
+def with_subscriber(flows: DataFrame, cells: Cells, lookup: dict[str, Column]) -> DataFrame:
     """Flows with the subscriber behind them, ``N/D`` where none is certain.
 
     ``cells`` come from ``subscriber_cells``; ``lookup`` gives each ``LOOKUP`` column as an
@@ -158,7 +171,7 @@ def with_subscriber(flows: DataFrame, cells: DataFrame, lookup: dict[str, Column
     return with_cell(flows, cells, lookup).withColumn("subscriber", who).select(*flows.columns, "subscriber")
 
 
-def event_resolution(rows: DataFrame, cells: DataFrame, lookup: dict[str, Column], keys: list[str]) -> DataFrame:
+def event_resolution(rows: DataFrame, cells: Cells, lookup: dict[str, Column], keys: list[str]) -> DataFrame:
     """``matched``, ``ambiguous`` and ``unique_private_subscribers`` of events, from the rows behind them.
 
     An event is matched when a row has a certain subscriber, and ambiguous when a row could
