@@ -236,3 +236,31 @@ def test_cooldown_counts_from_the_last_event_that_fired(spark, seed):
     assert [got[("every four minutes", T0 + timedelta(minutes=4 * n))] for n in range(6)] == [False, True, False, True, False, True]
     short = ordered.spaced(df.filter("who = 'hot'"), ["who"], "bucket", 300, 1000)
     assert {r["bucket"] for r in short.collect()} == {at for (who, at), quiet in got.items() if who == "hot" and not quiet}
+
+
+ANOMALY = "anomaly_id bigint, dst_ip string, dst_port int, src_ip string, proto int, first_seen timestamp, last_seen timestamp, excluded_ports array<int>"
+
+
+def seconds_of_traffic(spark, n=4000):
+    draw = random.Random(5)
+    rows = [(T0 + timedelta(seconds=draw.randrange(5000)), f"100.64.0.{draw.randrange(4)}", draw.randrange(9), draw.choice(["8.8.8.8", "9.9.9.9", None]), draw.choice([53, 80, 443, None]), 17, draw.randrange(50), draw.randrange(20)) for _ in range(n)]
+    return spark.createDataFrame(rows, "flow_time timestamp, src_ip string, src_port int, dst_ip string, dst_port int, proto int, bytes bigint, packets bigint")
+
+
+def spans_of_anomalies(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(60):
+        begin = T0 + timedelta(seconds=draw.randrange(4500))
+        rows.append((i // 2 if i % 5 else None, draw.choice(["8.8.8.8", "9.9.9.9", "7.7.7.7", None]), draw.choice([None, 53, 80]), draw.choice([None, None, "100.64.0.1"]), None, begin, begin + timedelta(seconds=draw.choice([0, 1, 63, 300, 1500])), draw.choice([None, [53], [80, 443]])))
+    return spark.createDataFrame(rows, ANOMALY)
+
+
+def test_heaviest_flows_fill_like_all_pairs_from_few_rows(spark):
+    seen, asked = seconds_of_traffic(spark), spans_of_anomalies(spark)
+    fields = ["anomaly_id", "first_seen", "src_ip", "dst_ip", "dst_port", "proto"]
+    told = lambda related: sorted(map(str, detect.fill_from_flows(asked, related).select(*fields).collect()))
+    pairs, few = detect.related_flows(asked, seen), detect.related_flows(asked, seen, heaviest=True)
+    assert told(few) == told(pairs)
+    crowd = seen.crossJoin(spark.range(10)).drop("id")  # ten times the flows at the same times: no more rows meet
+    assert detect.related_flows(asked, crowd, heaviest=True).count() == few.count() < pairs.count()
