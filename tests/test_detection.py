@@ -264,3 +264,33 @@ def test_heaviest_flows_fill_like_all_pairs_from_few_rows(spark):
     assert told(few) == told(pairs)
     crowd = seen.crossJoin(spark.range(10)).drop("id")  # ten times the flows at the same times: no more rows meet
     assert detect.related_flows(asked, crowd, heaviest=True).count() == few.count() < pairs.count()
+
+
+def test_series_of_anomalies_by_hand(spark):
+    seen = seconds_of_traffic(spark)
+    asked = spans_of_anomalies(spark).withColumn("excluded_ports", F.lit(None).cast("array<int>"))
+    want = {}
+    flows_ = seen.collect()
+    for a in asked.collect():
+        if a.anomaly_id is None:
+            continue
+        begin, end = a.first_seen - timedelta(seconds=900), max(a.last_seen, a.first_seen + timedelta(hours=1))
+        for f in flows_:
+            if f.dst_ip is not None and f.dst_ip == a.dst_ip and begin <= f.flow_time <= end:
+                bucket = want.setdefault(a.anomaly_id, {}).setdefault(f.flow_time.replace(second=0), [0, None])
+                bucket[0] += f.packets
+                if f.dst_port is not None and (f.src_ip, f.dst_port) == (a.src_ip, a.dst_port):
+                    bucket[1] = (bucket[1] or 0) + f.packets
+    expected = set()
+    for i, buckets in want.items():
+        narrow = sum(c is not None for _, c in buckets.values()) >= 2
+        expected |= {(i, b, round((c if narrow else t) / 60, 6), "conversation" if narrow else "target") for b, (t, c) in buckets.items() if not narrow or c is not None}
+    got = detect.anomaly_series(asked, seen)
+    assert {(r.anomaly_id, r.bucket, round(r.packets_s, 6), r.scope) for r in got.collect()} == expected
+    assert {s for *_, s in expected} == {"conversation", "target"}
+
+
+def test_series_meets_one_row_for_each_window(spark):
+    asked = spans_of_anomalies(spark).filter("dst_ip = '8.8.8.8'")
+    plan = detect.anomaly_series(asked, seconds_of_traffic(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__fbin" not in plan and "__slot" in plan
