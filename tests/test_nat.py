@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weirgauge.operators import nat_import as imp
 from weirgauge.operators import nat_resolve as res
 from weirgauge.operators import ports
+from weirgauge.session import staged
 
 NETMAP = r"""# exported rules
 /ip firewall nat add action=netmap chain=NAT_A protocol=tcp src-address=100.70.0.0/28 to-addresses=198.51.100.16/28 to-ports=2000-2999
@@ -233,3 +234,17 @@ def test_flows_meet_subscribers_in_one_scan(spark):
     plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert plan.count("/lineitem.parquet]") == 1
     assert rows.count() == flows(spark, path).count()
+
+
+def test_checks_of_an_import_broadcast_no_side_that_grows_with_its_records(spark):
+    text = "198.51.100.1,100.80.0.1,2000-2999\n198.51.100.1,100.80.0.2,2500-3499\n198.51.100.2,100.80.0.3,2000-2999"
+    source = lines(spark, text)
+    rows = imp.parse_generic(source).withColumn("record_no", F.col("line_number"))
+    checked = staged(imp.check_rows(rows, source))
+    unique = staged(imp.mark_duplicates(checked))
+    marked = imp.mark_overlaps(unique)
+    assert [r["validation_status"] for r in marked.orderBy("record_no").collect()] == ["overlap", "overlap", "valid"]
+    valid = unique.withColumns({"__rid": F.struct("file", "record_no"), "__key": F.struct("file", "public_ip")})
+    for df in (imp.mark_duplicates(checked), ports.conflicting_ids(valid, "__key", ["private_ip"], "__rid"), marked):
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        assert joins and all("strategy=merge" in line for line in joins)

@@ -26,6 +26,7 @@ def ordered_scan(
     chunk: Column,
     order: list[str],
     running: dict[str, tuple[str, Column | None]],
+    many_keys: bool = False,
 ) -> DataFrame:
     """Add running columns over ``order`` within ``keys``.
 
@@ -36,6 +37,8 @@ def ordered_scan(
     - ``sum``: running total with this row; ``max_before``: maximum of earlier rows
     - ``last``: latest non-null value up to and with this row
     - ``prev`` / ``next``: value of the neighbouring row, null at the ends
+
+    With ``many_keys`` there may be as many chunks as rows: neither side is broadcast.
     """
     rank = F.struct(*[F.col(c) for c in order])
     local_window = Window.partitionBy(*keys, "__chunk").orderBy(*order)
@@ -93,7 +96,7 @@ def ordered_scan(
     rows = chunked.withColumns(local) if local else chunked
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     matched = rows.join(
-        carried, reduce(lambda a, b: a & b, same, F.col("__chunk").eqNullSafe(F.col("__k_chunk"))), "inner"
+        carried.hint("merge") if many_keys else carried, reduce(lambda a, b: a & b, same, F.col("__chunk").eqNullSafe(F.col("__k_chunk"))), "inner"
     )
     return matched.select(*df.columns, *[e.alias(n) for n, e in final.items()])
 
