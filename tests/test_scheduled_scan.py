@@ -116,3 +116,23 @@ def test_all_statuses_and_job_rows(spark):
     assert after[2] == (5, at(90)) and after[5] == (0, at(89))
     none = scan.scheduled_runs(rows, current, runs.limit(0), empty)
     assert none.count() == 0
+
+
+def test_pairs_of_flow_and_peak_are_not_shuffled(spark):
+    schema = "flow_time timestamp, sensor string, exporter_ip string, input_if int, output_if int, sample_rate bigint, bytes bigint, packets bigint, flow_count bigint, src_ip string, src_port int, dst_ip string, dst_port int, proto int"
+    rows = [(at(1) + dt.timedelta(seconds=s), "edge-0", "192.0.2.1", 1, 2, 10, 100, p, 1, "100.64.0.1", 2000, "203.0.113.1", 53, n) for s, p, n in [(0, 1, 17), (5, 2, 17), (16, 4, 6), (61, 8, 17), (240, 16, 17)]]
+    peaks_at = [("edge-0", 1, "receives", at(1), True, [-1, 6]), ("edge-0", 1, "receives", at(1) + dt.timedelta(seconds=65), False, [17])]
+    asked = spark.createDataFrame(peaks_at, "sensor string, interface_id int, direction string, peak_time timestamp, whole boolean, protocols array<int>")
+    config = spark.createDataFrame([], "exporter_ip string, if_index int, direction int, sample_rate bigint")
+    found = peaks.peak_evidence(asked, spark.createDataFrame(rows, schema), config, "receives")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "window_seconds" in line]
+    got = {(r["peak_time"] > at(1), r["scope"], r["window_seconds"], r["proto"]): r["packets"] for r in found.collect()}
+    first = {(False, -1, 5, 17): 30, (False, -1, 15, 17): 30, (False, -1, 30, 17): 30, (False, -1, 60, 17): 30}
+    tcp = {(False, s, w, 6): 40 for s in (-1, 6) for w in (30, 60)}
+    second = {(True, 17, 5, 17): 80, (True, 17, 15, 17): 80, (True, 17, 30, 17): 80, (True, 17, 60, 17): 100}
+    assert got == {**first, **tcp, **second}
+    plain = peaks.peak_evidence(asked.drop("whole", "protocols"), spark.createDataFrame(rows, schema), config, "receives")
+    assert {(r["proto"], r["packets"]) for r in plain.filter("window_seconds = 60").collect()} == {(17, 30), (6, 40), (17, 100)} and "scope" not in plain.columns
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "window_seconds" in line]

@@ -93,46 +93,58 @@ def peak_evidence(
 ) -> DataFrame:
     """5-tuple totals of the flows around each peak, once per evidence window.
 
-    A flow meets a peak through ``(sensor, interface, time bin)``, an equi-join whose
-    bin is as wide as the widest window, and exact time bounds.  Each pair is formed once
-    and then counted in every window that covers it.  Rates join the reduced rows.
+    Peaks are listed for each ``(sensor, interface, time bin)``; a flow looks up its bins and
+    takes along the peaks that lie near.  Flows are dealt once by interface, bin of the peaks,
+    source and destination, and counted for each peak and window only where they arrive:
+    pairs of flow and peak are never shuffled.
+
+    ``peaks`` may carry ``whole`` and ``protocols``: evidence then has the column ``scope``, -1
+    for peaks of all protocols (``whole``) and the number of each protocol in ``protocols``.
+    It keeps ``__bin`` then: groups that hold it and the source are added up where the rows are.
     """
     side = interface_column(direction)
     widest = max(windows)
-    size = 2 * widest
+    size = 4 * widest
     at = F.col("peak_time")
-    spans = F.sequence(
-        F.floor((F.unix_seconds(at) - widest) / size), F.floor((F.unix_seconds(at) + widest + 1) / size)
-    )
-    wanted = peaks.select(
-        F.col("sensor").alias("__sensor"), F.col("interface_id").alias("__interface"), "direction", "peak_time",
-        F.explode(spans).alias("__bin"),
+    scoped = "protocols" in peaks.columns
+    place = ["sensor", "interface_id", "__bin"]
+    asked = [F.col("whole"), F.col("protocols")] if scoped else [F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("protocols")]
+    # A bin holds as many peaks as buckets, and a peak as many protocols as there are.
+    lists = (
+        peaks.select("sensor", "interface_id", F.floor(F.unix_seconds(at) / size).alias("__bin"), "direction", "peak_time", *asked)
+        .groupBy(*[F.col(c).alias(f"__p_{c}") for c in place]).agg(F.collect_list(F.struct("direction", "peak_time", "whole", "protocols")).alias("__peaks"))
     )
-    near = flows.withColumn("__flow_bin", F.floor(F.unix_seconds("flow_time") / size)).join(
-        wanted,
-        (F.col("sensor") == F.col("__sensor")) & (F.col(side) == F.col("__interface")) & (F.col("__flow_bin") == F.col("__bin")),
-    )
-    distance = F.abs(F.unix_micros("flow_time") - F.unix_micros("peak_time")) / F.lit(1_000_000)
-    covering = F.filter(F.array(*[F.lit(w) for w in sorted(windows)]), lambda w: distance <= w)
-    counted = near.withColumn("window_seconds", F.explode(covering))
+    second = F.unix_seconds("flow_time")
+    bins = F.sequence(F.floor((second - widest) / size), F.floor((second + widest + 1) / size))
     five = ["src_ip", "src_port", "dst_ip", "dst_port", "proto"]
-    keys = ["sensor", F.col("__interface").alias("interface_id"), "direction", "peak_time", "window_seconds"]
-    partial = counted.groupBy(*keys, "exporter_ip", "input_if", "output_if", "sample_rate", *five).agg(
-        F.sum("bytes").alias("bytes"),
-        F.sum("packets").alias("packets"),
-        F.sum("flow_count").alias("flow_count"),
-        F.min("flow_time").alias("first_seen"),
-        F.max("flow_time").alias("last_seen"),
-    )
-    rated = rates.with_rate(partial, current, "output" if side == "output_if" else "input")
+    carried = ["flow_time", "exporter_ip", "input_if", "output_if", "sample_rate", "bytes", "packets", "flow_count", *five]
+    spread = flows.select("sensor", F.col(side).alias("interface_id"), *carried, F.explode(bins).alias("__bin"))
+    met = spread.join(lists, [F.col(c) == F.col(f"__p_{c}") for c in place])
+    micros = F.unix_micros("flow_time")
+
+    def taken(peak: Column) -> Column:
+        """Time of the peak, and whether the flow counts for all protocols and for its own."""
+        own = F.coalesce(F.array_contains(peak["protocols"], F.col("proto").cast("int")), F.lit(False))
+        return F.struct(peak["direction"].alias("direction"), peak["peak_time"].alias("peak_time"), peak["whole"].alias("whole"), own.alias("own"))
+
+    near = F.filter("__peaks", lambda p: F.abs(micros - F.unix_micros(p["peak_time"])) <= widest * 1_000_000)
+    told = F.filter(F.transform(near, taken), lambda p: p["whole"] | p["own"])
+    looked = met.select(*place, *carried, told.alias("__near")).filter(F.size("__near") > 0)
+    rated = rates.with_rate(looked, current, "output" if side == "output_if" else "input")
+    dealt = rated.repartition(*place, "src_ip", "dst_ip", "dst_port")
+    pairs = dealt.select("*", F.explode("__near").alias("__p")).select(*place, *carried, "rate", "__p.*")
+    distance = F.abs(micros - F.unix_micros("peak_time")) / F.lit(1_000_000)
+    covering = F.filter(F.array(*[F.lit(w) for w in sorted(windows)]), lambda w: distance <= w)
+    scopes = F.array_compact(F.array(F.when(F.col("whole"), F.lit(-1)), F.when(F.col("own"), F.col("proto").cast("int"))))
+    counted = pairs.withColumn("window_seconds", F.explode(covering))
     seconds = F.col("window_seconds") * 2
-    return (
-        rated.groupBy("sensor", "interface_id", "direction", "peak_time", "window_seconds", *five)
+    sums = (
+        counted.groupBy(*place, "direction", "peak_time", "window_seconds", "whole", "own", *five)
         .agg(
             F.min("input_if").alias("input_if"),
             F.min("output_if").alias("output_if"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
+            F.min("flow_time").alias("first_seen"),
+            F.max("flow_time").alias("last_seen"),
             F.sum("bytes").alias("raw_bytes"),
             F.sum("packets").alias("raw_packets"),
             F.max("sample_rate").alias("db_sample_rate"),
@@ -143,6 +155,9 @@ def peak_evidence(
         )
         .withColumns({"packets_s": F.col("packets") / seconds, "bits_s": F.col("bytes") * 8 / seconds})
     )
+    if scoped:
+        return sums.withColumn("scope", F.explode(scopes)).drop("whole", "own")
+    return sums.drop("__bin", "whole", "own")
 
 
 def top_peak_flows(evidence: DataFrame, keys: list[str], metric: str = "packets_s", k: int = MAX_PEAK_FLOWS) -> DataFrame:
@@ -153,15 +168,11 @@ def top_peak_flows(evidence: DataFrame, keys: list[str], metric: str = "packets_
     return evidence.withColumn("flow_rank", F.row_number().over(order)).filter(F.col("flow_rank") <= k)
 
 
-def vector_groups(flows: DataFrame, keys: list[str], metric: str = "packets_s") -> DataFrame:
-    """Attack-vector groups by destination, port and protocol with totals, peak rates and shares.
-
-    ``flows`` are evidence rows; ``window_seconds`` x 2 is the time they span.  The
-    list of sources belongs to ``vector_sources``; here they are counted.
-    """
+def vector_sums(flows: DataFrame, keys: list[str]) -> DataFrame:
+    """Attack-vector groups by destination, port and protocol with totals and peak rates."""
     named = valid_vector(flows.withColumn("protocol", scalars.vector_protocol(F.col("proto"))))
     vector = [*keys, "dst_ip", "dst_port", "protocol"]
-    groups = named.groupBy(*vector).agg(
+    return named.groupBy(*vector).agg(
         F.sum("packets").alias("total_packets"),
         F.sum("bytes").alias("total_bytes"),
         F.sum("raw_packets").alias("raw_packets"),
@@ -171,6 +182,19 @@ def vector_groups(flows: DataFrame, keys: list[str], metric: str = "packets_s")
         F.max("effective_sample_rate").alias("effective_sample_rate"),
         F.count_distinct("src_ip").alias("unique_src_count"),
     )
+
+
+def vector_groups(flows: DataFrame, keys: list[str], metric: str = "packets_s") -> DataFrame:
+    """Attack-vector groups by destination, port and protocol with totals, peak rates and shares.
+
+    ``flows`` are evidence rows; ``window_seconds`` x 2 is the time they span.  The
+    list of sources belongs to ``vector_sources``; here they are counted.
+    """
+    return with_shares(vector_sums(flows, keys), keys)
+
+
+def with_shares(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``vector_sums`` with the share of each group and its mean rates."""
     totals = groups.groupBy(*keys).agg(
         F.sum("total_packets").alias("all_packets"), F.sum("total_bytes").alias("all_bytes")
     )

@@ -120,18 +120,16 @@ def scan_peaks(points: DataFrame, scans: DataFrame, max_peaks: int | None = None
 def judged(found: DataFrame, flows: DataFrame, current: DataFrame) -> DataFrame:
     """Peaks with the class of their dominant group; evidence is gathered once for each interface, direction and time."""
     place = ["sensor", "interface_id", "direction", "peak_time"]
-    wanted = staged(found.select(*place, "scope").distinct())
-    each = [
-        peaks.peak_evidence(wanted.filter(F.col("direction") == d).select(*place).distinct(), flows, current, d) for d in ("receives", "sends")
-    ]
-    scopes = wanted.select(*[F.col(c).alias(f"__{c}") for c in place], "scope")
-    rows = each[0].unionByName(each[1])
-    here = (F.col("scope") == -1) | (F.col("scope") == F.col("proto"))
-    for c in place:
-        here = here & (F.col(c) == F.col(f"__{c}"))
-    evidence = rows.join(scopes, here).drop(*[f"__{c}" for c in place])
+    # A peak names at most as many protocols as there are.
+    wanted = staged(
+        found.groupBy(*place).agg(F.coalesce(F.max(F.col("scope") == -1), F.lit(False)).alias("whole"), F.collect_set(F.col("scope").cast("int")).alias("protocols"))
+    )
     window = [*place, "scope", "window_seconds"]
-    groups = staged(peaks.vector_groups(evidence, window))
+    each = []
+    for d in ("receives", "sends"):
+        evidence = peaks.peak_evidence(wanted.filter(F.col("direction") == d), flows, current, d)
+        each.append(peaks.vector_sums(evidence, ["__bin", *window]).drop("__bin"))
+    groups = peaks.with_shares(staged(each[0].unionByName(each[1])), window)
     best = None
     for metric in ("packets_s", "bits_s"):
         own = peaks.best_window(peaks.dominant_groups(groups, window, metric), [*place, "scope"]).withColumn("metric", F.lit(metric))
