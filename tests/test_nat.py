@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weirgauge.operators import nat_import as imp
 from weirgauge.operators import nat_resolve as res
 from weirgauge.operators import ports
-from weirgauge.session import staged
+from weirgauge.session import noting, staged
 
 NETMAP = r"""# exported rules
 /ip firewall nat add action=netmap chain=NAT_A protocol=tcp src-address=100.70.0.0/28 to-addresses=198.51.100.16/28 to-ports=2000-2999
@@ -248,3 +248,14 @@ def test_checks_of_an_import_broadcast_no_side_that_grows_with_its_records(spark
     for df in (imp.mark_duplicates(checked), ports.conflicting_ids(valid, "__key", ["private_ip"], "__rid"), marked):
         joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
         assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_mappings_of_one_kind_are_one_row_before_they_meet_cells(spark):
+    kind = "batch_id bigint, connector_id bigint, public_ip string, private_ip string, protocol string, port_start int, port_end int, subscriber_id string, subscriber_name string, valid_from timestamp, valid_until timestamp, active boolean, confidence double"
+    rows = [(1, None, "203.0.113.1", f"10.0.0.{n}", ("any", "tcp")[n % 2], 100, 199, None, None, None, None, True, 0.5) for n in range(40)]
+    told = spark.createDataFrame([(1, "active")], "id bigint, status string").selectExpr("*", "timestamp'2026-01-01' AS approved_at", "cast(null AS timestamp) AS activated_at")
+    with noting() as made:
+        cells = res.subscriber_cells(spark.createDataFrame(rows, kind), told)
+    assert spark.read.parquet(made[0]).count() == 2  # before: 40, and pairs of each with every cell
+    found = {r["proto"]: (r["ambiguous"], r["match_count"]) for r in cells.answers.select(F.explode("cells").alias("c")).select("c.*").collect()}
+    assert found == {"tcp": (True, 40), None: (True, 20)}
