@@ -175,3 +175,16 @@ def test_dns_beside_numbers_in_a_protocol_list(spark):
     rows = spark.createDataFrame([(6, 1, 80), (17, 1, 53), (17, 1, 99), (1, 0, 0)], "proto int, src_port int, dst_port int")
     kept = lambda op: sorted(tuple(r) for r in filters.apply_filters(rows, [{"field": "protocol", "operator": op, "value": ["dns", "tcp"]}]).collect())
     assert kept("in") == [(6, 1, 80), (17, 1, 53)] and kept("not_in") == [(1, 0, 0), (17, 1, 99)]
+
+
+def test_header_search_passes_over_cells_by_their_first_letter_and_runs_once(spark, tmp_path):
+    from weirgauge.sources import text_flows
+
+    first = {name[0] for name in text_flows.KNOWN_NAMES}
+    assert all(letter.isalpha() for letter in first)
+    lines = ["Src IP,\"octets\",x", " 'BYTES' ,1,2", "1.2.3.4,tcp,SYN+ACK,bytesx", "7,proto", "a,b,c", "prot,octet", "1,In-Bytes,3"]
+    found = text_flows.split_lines(spark.createDataFrame([(v,) for v in lines], "value string")).select("value", "kind").collect()
+    assert [r["kind"] for r in found] == ["header", "header", "csv", "header", "csv", "csv", "header"]
+    spark.createDataFrame([("1.2.3.4,5.6.7.8,1,2,6,0,1,1,0,0,1783684800,5,9",)], "value string").write.text(str(tmp_path / "t"))
+    plan = text_flows.parse_flow_lines(text_flows.read_lines(spark, str(tmp_path / "t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "src[-_ ]host" not in plan  # no line is a header, so none is searched a second time
