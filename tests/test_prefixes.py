@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weirgauge.catalog import QUERIES
 from weirgauge.functions import ip
 from weirgauge.operators import prefixes as pfx
+from weirgauge.session import noting
 
 DATA = "/root/testdata/sf0.001"
 
@@ -83,3 +84,21 @@ def test_whitelist_takes_the_lowest_entry_that_applies(spark):
 def test_facts_are_read_once(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert plan.count("/lineitem.parquet]") == 1
+
+
+def test_rows_of_one_block_are_one_row_before_they_are_spread(spark):
+    rows = [("10.0.0.0/26", f"c{n:02d}") for n in range(30)] + [("10.0.0.0/27", "low"), ("10.0.0.0/27", None)]
+    table = pfx.prefix_table(spark.createDataFrame(rows, "prefix string, name string"))
+    asked = spark.createDataFrame([("10.0.0.5",), ("10.0.0.40",), ("10.0.0.70",)], "ip string").withColumn("key", ip.ip_key(F.col("ip")))
+    with noting() as made:
+        named = pfx.longest_prefix(asked, "key", table, {"name": "name"})
+    assert {r["ip"]: r["name"] for r in named.collect()} == {"10.0.0.5": "low", "10.0.0.40": "c29", "10.0.0.70": None}
+    assert spark.read.parquet(made[0]).count() == 64
+    spread = []
+    real = pfx.pieces
+    pfx.pieces = lambda df: spread.append(df.count()) or real(df)
+    try:
+        pfx.longest_prefix(asked, "key", table, {"name": "name"})
+    finally:
+        pfx.pieces = real
+    assert spread == [2]  # before: 32
