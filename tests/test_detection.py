@@ -294,3 +294,27 @@ def test_series_meets_one_row_for_each_window(spark):
     asked = spans_of_anomalies(spark).filter("dst_ip = '8.8.8.8'")
     plan = detect.anomaly_series(asked, seconds_of_traffic(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "__fbin" not in plan and "__slot" in plan
+
+
+def test_sliding_windows_are_formed_after_the_shuffle(spark):
+    random.seed(4)
+    data = [(T0 + timedelta(seconds=random.randrange(3000)), f"100.64.1.{random.randrange(2)}", f"8.8.8.{random.randrange(5)}", 2000, 53, 17, 100, random.randrange(1, 9), 1, 1) for _ in range(120)]
+    df = spark.createDataFrame(data, "flow_time timestamp, src_ip string, dst_ip string, src_port int, dst_port int, proto int, bytes bigint, packets bigint, flow_count bigint, rate bigint")
+    df = df.withColumns({"src_ip_key": ip.ip_key(F.col("src_ip")), "dst_ip_key": ip.ip_key(F.col("dst_ip"))})
+    plain = {**RULE, "detection_key": "", "group_by": "src_ip", "window_seconds": 90, "warning_value": 0.001, "critical_value": 0.0}
+    rules = spark.createDataFrame([plain, {**plain, "rule_id": 2, "metric": "unique_dst_ips", "window_seconds": 60, "warning_value": 1.0}], RULE_SCHEMA)
+    found = detect.eval_rules(df, zones(spark), rules, cadence=30)
+    want = {}
+    for at, src, dst, *_, packets, _, _ in data:
+        second = int((at - T0).total_seconds())
+        for rule, window in ((1, 90), (2, 60)):
+            for start in range((second - window) // 30 * 30 + 30, second + 1, 30):
+                total, seen = want.get((rule, src, start), (0, frozenset()))
+                want[rule, src, start] = (total + packets, seen | {dst})
+    got = {(r["rule_id"], r["src_ip"], int((r["bucket"] - T0).total_seconds())): (r["packets"], r["unique_dst_ips"]) for r in found.collect()}
+    assert got == {k: (total, len(seen)) for k, (total, seen) in want.items()}
+    # no exchange between the windows and their sums: what is shuffled does not grow with the windows
+    one = detect.eval_rules(df, zones(spark), rules.filter("rule_id = 1"), cadence=30, counts=False)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("__chunk" in line for line in exchanges) and not any("bucket" in line for line in exchanges)
