@@ -318,3 +318,22 @@ def test_sliding_windows_are_formed_after_the_shuffle(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("__chunk" in line for line in exchanges) and not any("bucket" in line for line in exchanges)
+
+
+def test_sources_of_targets_are_counted_without_shuffling_pairs(spark):
+    random.seed(5)
+    data = [(T0 + timedelta(seconds=random.randrange(900)), random.choice(["100.64.1.1", "100.64.1.2", "100.64.1.3", None]), f"8.8.8.{random.randrange(2)}", random.choice([53, 80]), random.choice([6, 17]), 10, 1) for _ in range(300)]
+    df = spark.createDataFrame([*data, *data[:40]], "flow_time timestamp, src_ip string, dst_ip string, dst_port int, proto int, bytes bigint, packets bigint")
+    df = df.withColumn("dst_ip_key", ip.ip_key(F.col("dst_ip")))
+    asked = [(i, f"8.8.8.{i % 2}", 53 if i % 3 == 0 else None, "100.64.1.2" if i % 5 == 0 else None, T0 + timedelta(seconds=i * 41), T0 + timedelta(seconds=i * 41 + i * 13), [80] if i % 4 == 0 else None) for i in range(20)]
+    anomalies = spark.createDataFrame(asked, "anomaly_id int, dst_ip string, dst_port int, src_ip string, first_seen timestamp, last_seen timestamp, excluded_ports array<int>")
+
+    def told(**how):
+        related = detect.related_flows(anomalies, df, **how).withColumnRenamed("anomaly_id", "event_id")
+        return advise.target_candidates(related, None, 3)
+
+    summed = told(sources=True)
+    assert sorted(map(str, summed.collect())) == sorted(map(str, told().collect()))
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]  # between the pairs and the result: one exchange, of groups and without sources
+    assert above.count("Exchange hashpartitioning") == 1 and "src_ip" not in next(line for line in above.splitlines() if "Exchange hashpartitioning" in line)

@@ -378,10 +378,12 @@ def expired(executions: DataFrame, now: Column) -> DataFrame:
 def target_candidates(flows: DataFrame, whitelisted_keys: DataFrame | None, min_packets: int) -> DataFrame:
     """One destination-only candidate per distinct target with the reason it is refused, if any.
 
-    A source is never a target on its own.
+    A source is never a target on its own.  Rows that mark each source's first one (``new_source``)
+    are added up; others have their sources counted.
     """
+    sources = F.count_if("new_source") if "new_source" in flows.columns else F.count_distinct("src_ip")
     targets = flows.filter(F.coalesce("dst_ip", F.lit("")) != "").groupBy("event_id", "dst_ip", "dst_ip_key", "dst_port", "proto").agg(
-        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count_distinct("src_ip").alias("sources")
+        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), sources.alias("sources")
     )
     if whitelisted_keys is not None:
         known = whitelisted_keys.select(F.col("ip_key").alias("__k")).distinct().withColumn("__w", F.lit(True))
