@@ -379,9 +379,9 @@ def target_candidates(flows: DataFrame, whitelisted_keys: DataFrame | None, min_
     """One destination-only candidate per distinct target with the reason it is refused, if any.
 
     A source is never a target on its own.  Rows that mark each source's first one (``new_source``)
-    are added up; others have their sources counted.
+    are added up, with the distinct ones in ``source``; others have their sources counted.
     """
-    sources = F.count_if("new_source") if "new_source" in flows.columns else F.count_distinct("src_ip")
+    sources = F.count_if("new_source") + F.count_distinct("source") if "new_source" in flows.columns else F.count_distinct("src_ip")
     targets = flows.filter(F.coalesce("dst_ip", F.lit("")) != "").groupBy("event_id", "dst_ip", "dst_ip_key", "dst_port", "proto").agg(
         F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), sources.alias("sources")
     )
