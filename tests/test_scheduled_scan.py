@@ -136,3 +136,36 @@ def test_pairs_of_flow_and_peak_are_not_shuffled(spark):
     assert {(r["proto"], r["packets"]) for r in plain.filter("window_seconds = 60").collect()} == {(17, 30), (6, 40), (17, 100)} and "scope" not in plain.columns
     plan = plain._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "window_seconds" in line]
+
+
+def test_leading_groups_are_those_of_all_evidence(spark):
+    rng = np.random.default_rng(5)
+    start = dt.datetime(2026, 7, 10, 12, 3, 30)
+    rows = []
+    for _ in range(1500):
+        s, p, n = int(rng.integers(0, 2_000)) / 4, int(rng.integers(0, 60)), int(rng.integers(0, 4))
+        rows.append((start + dt.timedelta(seconds=s), "edge-0", f"192.0.2.{n % 2}", 1 + n % 2, 2, 1 + n, None if p == 7 else p * 70, None if p == 9 else p, 1,
+                     f"100.64.0.{n}", 2000 + n, None if p == 3 else f"203.0.113.{p % 5}", (0, 53, 80)[p % 3], (17, 6, 47)[n % 3]))
+    schema = "flow_time timestamp, sensor string, exporter_ip string, input_if int, output_if int, sample_rate bigint, bytes bigint, packets bigint, flow_count bigint, src_ip string, src_port int, dst_ip string, dst_port int, proto int"
+    flows_seen = spark.createDataFrame([*rows, *rows[:40]], schema)
+    config = spark.createDataFrame([("192.0.2.0", 1, 1, 50)], "exporter_ip string, if_index int, direction int, sample_rate bigint")
+    wanted = [("edge-0", 1 + k % 2, "receives", start + dt.timedelta(seconds=5 * k), k % 3 > 0, [[-1], [-1, 6], [17]][k % 3] if k % 3 else [17, 47]) for k in range(0, 110, 3)]
+    asked = spark.createDataFrame(wanted, "sensor string, interface_id int, direction string, peak_time timestamp, whole boolean, protocols array<int>")
+    window = ["sensor", "interface_id", "direction", "peak_time", "scope", "window_seconds"]
+
+    def dominant(evidence, totals=None):
+        groups = peaks.with_shares(peaks.vector_sums(evidence, ["__bin", *window]).drop("__bin"), window, totals)
+        out = {}
+        for metric in ("packets_s", "bits_s"):
+            for r in peaks.dominant_groups(groups, window, metric).collect():
+                out[(metric, *[r[c] for c in window])] = r.asDict()
+        return out
+
+    leads = peaks.leading_vectors(asked, peaks.vector_cells(flows_seen, 5), config, "receives", 5)
+    assert leads.count() == leads.distinct().count()
+    totals = leads.select(*window, "all_packets", "all_bytes").distinct()
+    got = dominant(peaks.peak_evidence(asked, flows_seen, config, "receives", leads=leads), totals)
+    want = dominant(peaks.peak_evidence(asked, flows_seen, config, "receives"))
+    assert len(want) > 200 and got == want
+    # Only vectors that lead go on, not every flow near a peak.
+    assert leads.select("dst_ip", "dst_port", "proto", *window).count() < len(want) * 2

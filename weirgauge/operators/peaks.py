@@ -11,6 +11,7 @@ from weirgauge.operators import rates
 from weirgauge.operators.filters import SENDS, interface_column, valid_vector
 from weirgauge.operators.ordered import ordered_scan, time_chunk
 from weirgauge.operators.series import SCAN_CHUNK_SECONDS
+from weirgauge.session import staged
 
 # Evidence floors, evidence windows and result limits.
 MIN_EVIDENCE_SHARE = 20.0
@@ -88,9 +89,96 @@ def top_peaks(peaks: DataFrame, keys: list[str], k: int | None = None) -> DataFr
 PEAK_KEYS = ["sensor", "interface_id", "direction", "peak_time"]
 
 
-def peak_evidence(
-    peaks: DataFrame, flows: DataFrame, current: DataFrame, direction: str, windows: tuple[int, ...] = EVIDENCE_WINDOWS
+def vector_cells(flows: DataFrame, grid_seconds: int) -> DataFrame:
+    """Packets and bytes of each vector, pair of interfaces and recorded rate by ``__cell`` of time.
+
+    Cells are the points of a grid of time and the open spans between them, numbered in turn: a
+    window whose ends lie on the grid is a run of whole cells, whatever times its flows have.
+    """
+    micros, step = F.unix_micros("flow_time"), int(grid_seconds) * 1_000_000
+    past = F.pmod(micros, F.lit(step))
+    cell = ((micros - past) / step).cast("bigint") * 2 + F.when(past > 0, 1).otherwise(0)
+    named = valid_vector(flows.withColumn("protocol", scalars.vector_protocol(F.col("proto"))))
+    return named.groupBy("sensor", "exporter_ip", "input_if", "output_if", "sample_rate", "proto", "dst_ip", "dst_port", cell.alias("__cell")).agg(
+        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")
+    )
+
+
+def leading_vectors(
+    peaks: DataFrame, cells: DataFrame, current: DataFrame, direction: str, grid_seconds: int, windows: tuple[int, ...] = EVIDENCE_WINDOWS
 ) -> DataFrame:
+    """The vectors with the largest share of packets or bytes around each peak, all that tie, with the totals of the window.
+
+    ``cells`` come from ``vector_cells``; peaks lie on its grid and so do ``windows``.  A vector has
+    running sums over its cells in each bin of peaks, so a window is the difference of two of them
+    and no flow meets a peak: there is a row for each vector, peak and window, however many flows.
+    ``peaks`` carry ``whole`` and ``protocols`` as in ``peak_evidence``.
+    """
+    side = interface_column(direction)
+    widest, grid = max(windows), int(grid_seconds)
+    size = 4 * widest
+    each_bin, margin = 2 * size // grid, 2 * widest // grid
+    length = each_bin + 2 * margin
+    place = ["sensor", "interface_id", "__bin"]
+    same = lambda other: [F.col(c) == F.col(f"__{other}_{c}") for c in place]
+    named = lambda other: [F.col(c).alias(f"__{other}_{c}") for c in place]
+    asked = staged(peaks.select("sensor", "interface_id", F.floor(F.unix_seconds("peak_time") / size).alias("__bin"), "peak_time", "whole", "protocols"))
+    rated = rates.with_rate(cells, current, "output" if side == "output_if" else "input")
+    bins = F.sequence(F.floor((F.col("__cell") - margin) / each_bin), F.floor((F.col("__cell") + margin) / each_bin))
+    scaled = lambda c: F.coalesce(F.col(c) * F.col("rate"), F.lit(0))
+    key = [*place, "proto", "dst_ip", "dst_port"]
+    spread = rated.select(
+        "sensor", F.col(side).alias("interface_id"), "proto", "dst_ip", "dst_port", "__cell", scaled("packets").alias("p"), scaled("bytes").alias("b"), F.explode(bins).alias("__bin")
+    )
+    near = spread.join(asked.select(*named("a")).distinct(), same("a"), "left_semi")
+    at = (F.col("__cell") - F.col("__bin") * each_bin + margin).cast("int").alias("at")
+    each = near.repartition(*key).groupBy(*key, at).agg(F.sum("p").alias("p"), F.sum("b").alias("b"))
+    own = Window.partitionBy(*key).orderBy("at")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = each.select(
+        *key, "at", (F.coalesce(F.lead("at").over(own), F.lit(length)) - F.col("at")).alias("n"), F.row_number().over(own).cast("bigint").alias("rows"),
+        F.sum("p").over(upto).alias("packets"), F.sum("b").over(upto).alias("bytes"),
+    )
+    lists = steps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "n", "rows", "packets", "bytes"))).alias("__steps"))
+    before = F.array_repeat(F.lit(0).cast("bigint"), F.col("__steps")[0]["at"] + 1)
+    held = lambda c: F.transform("__steps", lambda x: F.array_repeat(x[c], x["n"]))
+    measures = ["rows", "packets", "bytes"]
+    running = [F.concat(before, F.flatten(held(c))).alias(f"__{c}") for c in measures]
+    sums = staged(lists.select(*key, *running))
+    # A bin holds as many peaks as buckets, and a peak as many protocols as there are.
+    none = F.array().cast("array<int>")
+    scopes = F.concat(F.when(F.coalesce("whole", F.lit(False)), F.array(F.lit(-1))).otherwise(none), F.array_remove(F.coalesce("protocols", none), -1))
+    centre = (F.unix_micros("peak_time") / (grid * 1_000_000)).cast("bigint") * 2 - F.col("__bin") * each_bin + margin
+    reach = (F.col("window_seconds") * 2 / grid).cast("int")
+    found = ["scope", "peak_time", "window_seconds"]
+    spans = asked.select(*place, "peak_time", F.explode(scopes).alias("scope")).select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_seconds"))
+    spans = spans.select(*place, *found, (centre - reach).cast("int").alias("low"), (centre + reach + 1).cast("int").alias("high"))
+
+    def around(rows: DataFrame, told: list[str]) -> DataFrame:
+        """Sums of every vector in the windows of ``rows`` that hold some of its flows."""
+        listed = staged(rows.groupBy(*named("w")).agg(F.collect_list(F.struct(*found, *told, "low", "high")).alias("__wanted")))
+        met = sums.join(listed, same("w")).select(*key, *[f"__{c}" for c in measures], F.explode("__wanted").alias("__w"))
+        own = met.filter((F.col("__w.scope") == -1) | (F.col("__w.scope") == F.col("proto").cast("int")))
+        inside = F.struct(*[(F.col(f"__{c}")[F.col("__w.high")] - F.col(f"__{c}")[F.col("__w.low")]).alias(c) for c in measures])
+        # Taken as a row of its own, sums are not worked out again by each condition on them.
+        return own.select(*key, "__w", F.explode(F.array(inside)).alias("__s")).select(*key, *[f"__w.{c}" for c in [*found, *told]], "__s.*").filter("rows > 0")
+
+    sides = ("packets", "bytes")
+    totals = around(spans, []).groupBy(*place, *found).agg(
+        *[f(c).alias(f"{n}_{c}") for c in sides for n, f in (("all", F.sum), ("most", F.max), ("least", F.min))]
+    )
+    # Shares rise with the sums, or fall where the total is negative.
+    best = [F.greatest(*[scalars.pct(F.col(f"{n}_{c}"), F.col(f"all_{c}"), None) for n in ("most", "least")]).alias(f"best_{c}") for c in sides]
+    limits = spans.join(totals, [*place, *found]).select(*place, *found, "low", "high", *[f"all_{c}" for c in sides], *best)
+    known = around(limits, [f"{n}_{c}" for c in sides for n in ("all", "best")])
+    leads = [scalars.pct(F.col(c), F.col(f"all_{c}"), None) == F.col(f"best_{c}") for c in sides]
+    return known.filter(leads[0] | leads[1]).select(*place, F.lit(direction).alias("direction"), *found, "dst_ip", "dst_port", "proto", *[f"all_{c}" for c in sides])
+
+
+def peak_evidence(
+    peaks: DataFrame, flows: DataFrame, current: DataFrame, direction: str, windows: tuple[int, ...] = EVIDENCE_WINDOWS,
+    leads: DataFrame | None = None,
+) -> DataFrame:
     """5-tuple totals of the flows around each peak, once per evidence window.
 
     Peaks are listed for each ``(sensor, interface, time bin)``; a flow looks up its bins and
@@ -101,10 +189,15 @@ def peak_evidence(
     ``peaks`` may carry ``whole`` and ``protocols``: evidence then has the column ``scope``, -1
     for peaks of all protocols (``whole``) and the number of each protocol in ``protocols``.
     It keeps ``__bin`` then: groups that hold it and the source are added up where the rows are.
+
+    With ``leads`` (see ``leading_vectors``) evidence is that of the named vectors, peaks, scopes
+    and windows alone: a flow whose vector leads nowhere near meets no peak.
     """
     side = interface_column(direction)
     widest = max(windows)
     size = 4 * widest
+    if leads is not None:
+        return _lead_evidence(leads, flows, current, side, widest, size)
     at = F.col("peak_time")
     scoped = "protocols" in peaks.columns
     place = ["sensor", "interface_id", "__bin"]
@@ -137,9 +230,17 @@ def peak_evidence(
     covering = F.filter(F.array(*[F.lit(w) for w in sorted(windows)]), lambda w: distance <= w)
     scopes = F.array_compact(F.array(F.when(F.col("whole"), F.lit(-1)), F.when(F.col("own"), F.col("proto").cast("int"))))
     counted = pairs.withColumn("window_seconds", F.explode(covering))
+    sums = _evidence_sums(counted, [*place, "direction", "peak_time", "window_seconds", "whole", "own", *five])
+    if scoped:
+        return sums.withColumn("scope", F.explode(scopes)).drop("whole", "own")
+    return sums.drop("__bin", "whole", "own")
+
+
+def _evidence_sums(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of each 5-tuple; ``counted`` carry ``rate`` and ``window_seconds``."""
     seconds = F.col("window_seconds") * 2
-    sums = (
-        counted.groupBy(*place, "direction", "peak_time", "window_seconds", "whole", "own", *five)
+    return (
+        counted.groupBy(*keys)
         .agg(
             F.min("input_if").alias("input_if"),
             F.min("output_if").alias("output_if"),
@@ -155,9 +256,31 @@ def peak_evidence(
         )
         .withColumns({"packets_s": F.col("packets") / seconds, "bits_s": F.col("bytes") * 8 / seconds})
     )
-    if scoped:
-        return sums.withColumn("scope", F.explode(scopes)).drop("whole", "own")
-    return sums.drop("__bin", "whole", "own")
+
+
+def _lead_evidence(leads: DataFrame, flows: DataFrame, current: DataFrame, side: str, widest: int, size: int) -> DataFrame:
+    """Evidence of the windows in ``leads``: their vectors' flows, dealt once by source and target and counted where they arrive."""
+    place = ["sensor", "interface_id", "__bin"]
+    key = [*place, "dst_ip", "dst_port", "proto"]
+    five = ["src_ip", "src_port", "dst_ip", "dst_port", "proto"]
+    carried = ["flow_time", "exporter_ip", "input_if", "output_if", "sample_rate", "bytes", "packets", "flow_count", *five]
+    second, micros = F.unix_seconds("flow_time"), F.unix_micros("flow_time")
+    bins = F.sequence(F.floor((second - widest) / size), F.floor((second + widest + 1) / size))
+    lists = staged(
+        leads.groupBy(*[F.col(c).alias(f"__p_{c}") for c in key]).agg(F.collect_list(F.struct("direction", "peak_time", "scope", "window_seconds")).alias("__leads"))
+    )
+    # Numbers that stand for the keys, small enough to be sent to the flows; the keys are compared after.
+    code = lambda prefix: F.xxhash64(*[F.col(f"{prefix}{c}").cast("string") for c in key])
+    codes = staged(lists.select(code("__p_").alias("__code")).distinct())
+    spread = flows.select("sensor", F.col(side).alias("interface_id"), *carried, F.explode(bins).alias("__bin"))
+    few = spread.join(codes, code("") == F.col("__code"), "left_semi")
+    met = few.join(lists, [F.col(c) == F.col(f"__p_{c}") for c in key])
+    near = F.filter("__leads", lambda x: F.abs(micros - F.unix_micros(x["peak_time"])) <= x["window_seconds"] * 1_000_000)
+    looked = met.select(*place, *carried, near.alias("__near")).filter(F.size("__near") > 0)
+    rated = rates.with_rate(looked, current, "output" if side == "output_if" else "input")
+    dealt = rated.repartition(*place, "src_ip", "dst_ip", "dst_port")
+    counted = dealt.select("*", F.explode("__near").alias("__p")).select(*place, *carried, "rate", "__p.*")
+    return _evidence_sums(counted, [*place, "direction", "peak_time", "window_seconds", "scope", *five])
 
 
 def top_peak_flows(evidence: DataFrame, keys: list[str], metric: str = "packets_s", k: int = MAX_PEAK_FLOWS) -> DataFrame:
@@ -193,11 +316,12 @@ def vector_groups(flows: DataFrame, keys: list[str], metric: str = "packets_s")
     return with_shares(vector_sums(flows, keys), keys)
 
 
-def with_shares(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``vector_sums`` with the share of each group and its mean rates."""
-    totals = groups.groupBy(*keys).agg(
-        F.sum("total_packets").alias("all_packets"), F.sum("total_bytes").alias("all_bytes")
-    )
+def with_shares(groups: DataFrame, keys: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """``vector_sums`` with the share of each group and its mean rates; ``totals`` where ``groups`` are not all."""
+    if totals is None:
+        totals = groups.groupBy(*keys).agg(
+            F.sum("total_packets").alias("all_packets"), F.sum("total_bytes").alias("all_bytes")
+        )
     span = F.col("window_seconds") * 2 if "window_seconds" in keys else F.lit(1)
     return groups.join(totals, keys).withColumns(
         {

@@ -10,6 +10,8 @@ the neighbours that lie outside it.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,19 +119,28 @@ def scan_peaks(points: DataFrame, scans: DataFrame, max_peaks: int | None = None
     return kept if max_peaks is None else peaks.top_peaks(kept, ["scan"], max_peaks).drop("peak_rank")
 
 
-def judged(found: DataFrame, flows: DataFrame, current: DataFrame) -> DataFrame:
-    """Peaks with the class of their dominant group; evidence is gathered once for each interface, direction and time."""
+def judged(found: DataFrame, flows: DataFrame, current: DataFrame, window_seconds: int = 1) -> DataFrame:
+    """Peaks with the class of their dominant group; evidence is gathered once for each interface, direction and time.
+
+    Peaks begin buckets of ``window_seconds``.  Which groups lead around a peak is told by sums that
+    no flow meets a peak for; the evidence of those that lead is gathered whole.
+    """
     place = ["sensor", "interface_id", "direction", "peak_time"]
     # A peak names at most as many protocols as there are.
     wanted = staged(
         found.groupBy(*place).agg(F.coalesce(F.max(F.col("scope") == -1), F.lit(False)).alias("whole"), F.collect_set(F.col("scope").cast("int")).alias("protocols"))
     )
     window = [*place, "scope", "window_seconds"]
-    each = []
+    grid = gcd(max(1, window_seconds), *peaks.EVIDENCE_WINDOWS)
+    cells = staged(peaks.vector_cells(flows, grid))
+    each, totals = [], []
     for d in ("receives", "sends"):
-        evidence = peaks.peak_evidence(wanted.filter(F.col("direction") == d), flows, current, d)
+        own = wanted.filter(F.col("direction") == d)
+        leads = staged(peaks.leading_vectors(own, cells, current, d, grid))
+        evidence = peaks.peak_evidence(own, flows, current, d, leads=leads)
         each.append(peaks.vector_sums(evidence, ["__bin", *window]).drop("__bin"))
-    groups = peaks.with_shares(staged(each[0].unionByName(each[1])), window)
+        totals.append(leads.select(*window, "all_packets", "all_bytes").distinct())
+    groups = peaks.with_shares(staged(each[0].unionByName(each[1])), window, totals[0].unionByName(totals[1]))
     best = None
     for metric in ("packets_s", "bits_s"):
         own = peaks.best_window(peaks.dominant_groups(groups, window, metric), [*place, "scope"]).withColumn("metric", F.lit(metric))
@@ -185,7 +196,7 @@ def scheduled_runs(
     points = staged(series_points(near(0, window_seconds), current, window_seconds))
     found = staged(scan_peaks(points, scans, max_peaks))
     widest = max(peaks.EVIDENCE_WINDOWS) + window_seconds
-    cases = staged(judged(found, near(widest, widest), current))
+    cases = staged(judged(found, near(widest, widest), current, window_seconds))
     counted = cases.groupBy("scan").agg(F.count(F.lit(1)).alias("peaks_detected"))
     kept = ["scan", "peak_time", "peak_value", "score", "baseline_p95", "baseline_p99", "threshold_used", "evidence_status", "classification", "evidence_window_used", "dst_ip", "dst_port", "protocol", "unique_src_count", "share_packets", "share_bits"]
     best = peaks.best_peak(cases.select(*kept), ["scan"]).withColumnRenamed("protocol", "dominant_protocol").join(counted, "scan")
