@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weirgauge.operators import filters, prefixes, rates, rollup, series, topn
 from weirgauge.operators.ordered import ordered_scan
+from weirgauge.sources import text_flows
 from weirgauge.sources.lineitem_flows import flows
 
 DATA = "/root/testdata/sf0.001"
@@ -199,3 +200,19 @@ def test_text_of_a_stream_is_landed_by_the_tasks_that_read_it(spark, tasks, file
     folder, many = ingest.land_batches(lines, 3)
     assert many == turn and sum(name.endswith(".txt") for name in os.listdir(folder)) == files
     assert spark.read.text(folder).distinct().count() == 700
+
+
+def test_fields_of_a_record_are_looked_up_outside_whole_stages(spark):
+    rows = [('{"SRC-IP": "", "srcaddr": "10.0.0.1", "\'Protocol\'": "udp", "octets": "NULL", "in_bytes": 7, "pkts": null}',), ('[{"bytes": 3}, 5]',), ("[1, 2]",), ("{oops",)]
+    lines = spark.createDataFrame(rows, "value string").withColumn("file", F.lit("f"))
+    found = text_flows.parse_flow_lines(lines, headers=False)
+    assert sorted(r[0] for r in found.select("record_status").collect()) == ["bad", "dropped", "ok", "ok"]
+    out = text_flows.normalize_flows(found, "edge-x", "192.0.2.1")
+    assert sorted(tuple(r) for r in out.select("src_ip", "proto", "bytes", "packets").collect()) == [("10.0.0.1", 17, 7, 0), ("::", 0, 3, 0)]
+    # A whole stage's method with the names of all fields is too long to be compiled, and took several times as long.
+    text = found.select("fields", "cells", "plain").withColumn("usable", F.col("cells"))
+    plan = text.select(*[text_flows.pick(f).alias(f) for f in text_flows.ALIASES])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "*(" in line and "array_position" in line]
+    # One name, one lookup: the value is not looked up again to see whether it is blank.
+    line = next(line for line in plan.splitlines() if "array_position" in line)
+    assert line.count(", octets) as int)") == 1

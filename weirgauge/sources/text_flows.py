@@ -71,7 +71,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
 def normal_name(name: Column) -> Column:
     """Field name trimmed, without quotes, lowercase, with ``-`` and space as ``_``."""
-    bare = F.regexp_replace(F.trim(name), r"""^["']+|["']+$""", "")
+    quoted = name.contains('"') | name.contains("'")
+    bare = F.when(quoted, F.regexp_replace(F.trim(name), r"""^["']+|["']+$""", "")).otherwise(F.trim(name))
     return F.translate(F.lower(bare), "- ", "__")
 
 
@@ -165,11 +166,12 @@ def records(split: DataFrame, fallback: list[str] | None = None) -> DataFrame:
     empty = F.array().cast("array<struct<fields:array<string>,cells:array<string>,plain:boolean>>")
     from_csv = F.when(short_ok, F.array(F.struct(fields.alias("fields"), F.col("cells").alias("cells"), names.isNull().alias("plain")))).otherwise(empty)
     found = F.when(F.col("kind") == "json", F.coalesce(from_json, empty)).when(F.col("kind") == "csv", from_csv).otherwise(empty)
+    # Told of lines without records alone, so that JSON with some is not parsed a second time for it.
     status = (
         F.when(F.col("kind") == "blank", "skipped").when(F.col("kind") == "header", "header")
-        .when((F.col("kind") == "json") & items.isNull(), "bad").otherwise("dropped")
+        .when((F.col("kind") == "json") & (F.size("__found") == 0) & items.isNull(), "bad").otherwise("dropped")
     )
-    marked = split.withColumns({"__found": found, "__else": status})
+    marked = split.withColumn("__found", found).withColumn("__else", status)
     # The status hangs on the exploded record, so that a filter on it is not pushed down to
     # where the line would be split a second time.
     return marked.select("file", "value", "__else", F.explode_outer("__found").alias("r")).select(
@@ -184,17 +186,17 @@ def records(split: DataFrame, fallback: list[str] | None = None) -> DataFrame:
 def pick(field: str, fallback: list[str] | None = None) -> Column:
     """First usable value among the names of a field.
 
-    Rows in the default layout read a fixed position; others look the name up.
+    Rows in the default layout read a fixed position; others look the name up.  ``usable``
+    cells hold null where nothing is given, so a name is looked up once and the first found ends it.
     """
     fallback = fallback or DEFAULT_FIELDS
-    fixed = [scalars.blank_to_null(F.get("cells", fallback.index(a))) for a in ALIASES[field] if a in fallback]
+    fixed = [F.get("usable", F.lit(fallback.index(a))) for a in ALIASES[field] if a in fallback]
     direct = F.coalesce(*fixed) if fixed else F.lit(None).cast("string")
     # A missing name has position 0, hence index -1, which ``get`` reads as null.
-    values = F.transform(
-        _names(ALIASES[field]),
-        lambda a: scalars.blank_to_null(F.get("cells", F.array_position("fields", a).cast("int") - 1)),
-    )
-    return F.when(F.col("plain"), direct).otherwise(F.get(F.filter(values, lambda v: v.isNotNull()), 0))
+    named = [F.get("usable", F.array_position("fields", a).cast("int") - 1) for a in ALIASES[field]]
+    # A lambda keeps the lookups of all fields out of the one method of a whole stage, which would
+    # be too long for the JVM to compile; they are then compiled in pieces.
+    return F.when(scalars.bind(F.col("plain"), lambda p: p), direct).otherwise(F.coalesce(*named))
 
 
 def normalize_flows(
@@ -214,7 +216,7 @@ def normalize_flows(
         given = F.coalesce(F.col(field), F.lit(""))
         return (given if name_length is None else F.substring(given, 1, name_length)).alias(field)
 
-    ok = found.filter("fields IS NOT NULL")
+    ok = found.filter("fields IS NOT NULL").withColumn("usable", F.transform("cells", scalars.blank_to_null))
     text = ok.select("file", *[get(f).alias(f) for f in ALIASES])
     start, end = scalars.parse_ts(F.col("flow_start")), scalars.parse_ts(F.col("flow_end"))
     # A present but unreadable optional time counts as now, like the record's own time.
