@@ -338,3 +338,23 @@ def test_sources_of_targets_are_counted_without_shuffling_pairs(spark):
     plan = summed._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Join")]  # between the pairs and the result: no exchange of all sources
     assert not any("src_ip" in line for line in above.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_cardinalities_shuffle_no_pairs(spark):
+    rng = random.Random(11)
+    start = datetime(2026, 7, 10, 12, 0)
+    picked = lambda *values: rng.choice(values)
+    rows = [(start + timedelta(milliseconds=250 * rng.randrange(6000)), picked("a", "b", "c", None), picked(1, 2), picked("x", "y", None), picked(53, 80, None), picked(6, 17, None)) for _ in range(600)]
+    seen = spark.createDataFrame(rows + rows[:30] + [(None, "a", 1, "x", 53, 6)], "flow_time timestamp, src_ip string, src_port int, dst_ip string, dst_port int, proto int")
+    spans = []
+    for k in range(60):
+        first = start + timedelta(seconds=rng.randrange(1500))
+        spans.append((k % 50 if k < 58 else None, picked("x", "y", "z", None), picked(None, 53, 80), picked(None, None, "a"), first, first + timedelta(seconds=rng.randrange(-100, 400)), picked(None, [53], [80, 53])))
+    asked = spark.createDataFrame(spans, "anomaly_id int, dst_ip string, dst_port int, src_ip string, first_seen timestamp, last_seen timestamp, excluded_ports array<int>")
+    related = detect.related_flows(asked, seen, distinct=True)
+    want = {r["anomaly_id"]: tuple(r) for r in detect.cardinalities(detect.related_flows(asked, seen)).collect()}
+    assert len(want) > 15 and {r["anomaly_id"]: tuple(r) for r in detect.cardinalities(related).collect()} == want
+    once = asked.filter("anomaly_id BETWEEN 10 AND 49")
+    plan = detect.cardinalities(detect.related_flows(once, seen, distinct=True))._jdf.queryExecution().executedPlan().toString()
+    # Pairs are added up where they are formed: nothing that has an anomaly and an address is dealt.
+    assert not [line for line in plan.splitlines() if "Expand" in line or ("Exchange" in line and "anomaly_id" in line and "src_ip" in line)]
